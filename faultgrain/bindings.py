@@ -87,7 +87,7 @@ WHERE seen = 1
 # Answers of a model: well-formed, malformed and ill-typed ones. The class is a function
 # of event_type and k, so the right judgement is known for each row.
 _ANSWERS = """
-SELECT event_id, user_id, k, event_type, concat('src/f', user_id % 60, '.c') AS file,
+SELECT event_id, user_id, run_id, k, event_type, concat('src/f', user_id % 60, '.c') AS file,
   CASE event_type
     WHEN 'view' THEN CASE WHEN k % 4 = 0 THEN '[]' WHEN k % 4 = 1 THEN 'nothing wrong here'
                           WHEN k % 4 = 2 THEN concat('[', item, ',', item, ']') ELSE concat('{"issues":[', item, ']}') END

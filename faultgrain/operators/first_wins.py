@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultgrain import schemas
@@ -37,7 +37,7 @@ def insert_or_ignore(
     return first.join(existing.select(*keys), list(keys), "left_anti")
 
 
-def candidate_violation(required: Sequence[str]) -> F.Column:
+def candidate_violation(required: Sequence[str]) -> Column:
     """Why a candidate row breaks the table's constraints, NULL when it does not."""
     checks = [F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in required]
     if "status" in required:

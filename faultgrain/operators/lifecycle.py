@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultgrain.operators.first_wins import first_per_key
-from faultgrain.operators.ids import assign_ids
+from faultgrain.operators.ids import assign_ids, next_id
 from faultgrain.plans.skew import lookup
 
 # Default budgets.
@@ -164,25 +164,24 @@ def candidate_ends(
     )
 
 
-def settle(
-    outcomes: DataFrame, budget: int = ATTEMPT_BUDGET, prior: DataFrame | None = None
-) -> DataFrame:
-    """Drop runs after a candidate was settled; a spent budget reads ``inconclusive``."""
-    ends = candidate_ends(outcomes, budget, prior)
+def settle(outcomes: DataFrame, ends: DataFrame) -> DataFrame:
+    """Drop runs after a candidate was settled; a spent budget reads ``inconclusive``.
+
+    ``ends`` comes from ``candidate_ends``.
+    """
     kept = lookup(outcomes, ends, ["candidate_id"], ["run_id"]).filter(
         F.col("end_run").isNull() | (F.col("run_id") <= F.col("end_run"))
     )
-    spent = F.col("exhausted") & (F.col("run_id") == F.col("end_run"))
-    spent = F.coalesce(spent, F.lit(False))
-    spent_reason = F.format_string(
-        "no evidence after %d verification attempt(s)", F.col("attempts")
+    spent = F.coalesce(F.col("exhausted") & (F.col("run_id") == F.col("end_run")), F.lit(False))
+    spent_reason = F.concat(
+        F.lit("no evidence after "), F.col("attempts"), F.lit(" verification attempt(s)")
     )
     return kept.withColumns(
         {
             "outcome": F.when(spent, "inconclusive").otherwise(F.col("outcome")),
             "reason": F.when(spent, spent_reason).otherwise(F.col("reason")),
         }
-    ).drop("exhausted")
+    ).drop("exhausted", "attempts", "end_run")
 
 
 def confirm(proven: DataFrame, confirmed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -194,11 +193,9 @@ def confirm(proven: DataFrame, confirmed: DataFrame) -> tuple[DataFrame, DataFra
     (run_id, candidate_id) wins a key.
     """
     order = ["run_id", "candidate_id"]
-    last = confirmed.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
     first = first_per_key(proven, ["evidence_key"], order)
     new = first.join(confirmed.select("evidence_key"), "evidence_key", "left_anti")
-    new = assign_ids(new, order).crossJoin(F.broadcast(last))
-    new = new.withColumn("id", F.col("id") + F.col("_last")).drop("_last")
+    new = assign_ids(new, order, start=next_id(confirmed))
     known = confirmed.select(
         "evidence_key",
         F.col("id").alias("bug_id"),

@@ -20,12 +20,8 @@ def hot_keys(fact: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> Da
     per map task in the shuffle.
     """
     counts = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    # One row on the right: the total.
-    return (
-        counts.join(F.broadcast(total), F.col("_n") * share > F.col("_total"))
-        .select(*keys)
-    )
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.filter(F.col("_n") * share > total).select(*keys)
 
 
 def lookup(

@@ -1,32 +1,30 @@
-"""Table layouts. Every table is read with its layout, never inferred."""
+"""Table layouts as DDL. Every table is read with its layout, never inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 _SPAN = "STRUCT<start: INT, end: INT, name: STRING>"
 
-FILES = StructType.fromDDL("path STRING, content STRING")
-FILE_INDEX = StructType.fromDDL(
+FILES = "path STRING, content STRING"
+FILE_INDEX = (
     f"path STRING, language STRING, line_count INT, functions ARRAY<{_SPAN}>"
 )
-CANDIDATES = StructType.fromDDL(
+CANDIDATES = (
     "id BIGINT, file STRING, function STRING, cwe_id INT, bug_category STRING, "
     "description STRING, trigger STRING, status STRING, reject_reason STRING, verify_attempts INT"
 )
-CONFIRMED = StructType.fromDDL(
+CONFIRMED = (
     "id BIGINT, candidate_id BIGINT, probe_path STRING, evidence_key STRING"
 )
-EXPLORED = StructType.fromDDL("file STRING")
-PROBES = StructType.fromDDL("candidate_id BIGINT, interpreter ARRAY<STRING>, script STRING")
-RUN_LOG = StructType.fromDDL(
+EXPLORED = "file STRING"
+PROBES = "candidate_id BIGINT, interpreter ARRAY<STRING>, script STRING"
+RUN_LOG = (
     "candidate_id BIGINT, run_id INT, step INT, exit_code INT, timed_out BOOLEAN, "
     "stdout STRING, stderr STRING, workdir STRING, probe_path STRING"
 )
-ATTEMPTS = StructType.fromDDL(
+ATTEMPTS = (
     "candidate_id BIGINT, run_id INT, step INT, kind STRING, detail STRING"
 )
-CALLS = StructType.fromDDL("request_id BIGINT, seq INT, status STRING")
+CALLS = "request_id BIGINT, seq INT, status STRING"
 
 # The life of a candidate.
 CANDIDATE_STATUSES = ("pending", "rejected", "confirmed", "duplicate", "inconclusive")
