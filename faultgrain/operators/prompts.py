@@ -12,6 +12,7 @@ from faultgrain.operators.complete import ClientFactory, complete
 from faultgrain.operators.contracts import AUDIT_SHAPE, ISSUES_SHAPE, PROBE_SHAPE, judge_text
 from faultgrain.operators.first_wins import latest_per_key
 from faultgrain.operators.ids import assign_ids
+from faultgrain.plans.skew import lookup
 
 PART_LINES = 10_000
 # A prompt is one text value; Spark holds at most 2 GiB in one.
@@ -162,11 +163,12 @@ def audit_prompt(overview: Column) -> Column:
 def with_source(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """Candidates with the ``content`` of their file; NULL content means no audit is possible.
 
-    Contents cross the shuffle once and only for files with candidates.
+    Contents cross the shuffle once, only for files with candidates, and a file with very
+    many candidates is spread over tasks.
     """
     wanted = candidates.select(F.col("file").alias("path")).distinct()
     sources = files.join(wanted, "path", "left_semi").select(F.col("path").alias("file"), "content")
-    return candidates.join(sources, "file", "left")
+    return lookup(candidates, sources, ["file"], ["id"])
 
 
 def latest_probes(generated: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultgrain.functions import weakness
+from faultgrain.plans.skew import lookup
 
 TITLE = "# Bug report\n"
 NOTHING = "No confirmed bugs."
@@ -31,7 +32,7 @@ def confirmed_with_candidates(confirmed: DataFrame, candidates: DataFrame) -> Da
 def orphans(confirmed: DataFrame, candidates: DataFrame) -> DataFrame:
     """Confirmed bugs whose candidate does not exist."""
     known = candidates.select(F.col("id").alias("candidate_id"))
-    return confirmed.join(known, "candidate_id", "left_anti")
+    return lookup(confirmed, known, ["candidate_id"], ["id"], "left_anti")
 
 
 def check_references(confirmed: DataFrame, candidates: DataFrame) -> None:

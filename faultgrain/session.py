@@ -14,6 +14,7 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("faultgrain")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")

@@ -17,7 +17,7 @@ def write_report(blocks: DataFrame, folder: str) -> None:
     blocks.orderBy(*ORDER).select("text").write.text(folder)
 
 
-def write_probes(probes: DataFrame, folder: str) -> None:
+def write_probes(probes: DataFrame, folder: str, *carried: str) -> None:
     """The latest probes as rows (name, candidate_id, interpreter, script) in a new folder."""
-    name = F.concat(F.lit("probe_"), F.col("candidate_id"))
-    probes.select(name.alias("name"), "candidate_id", "interpreter", "script").write.parquet(folder)
+    name = F.concat(F.lit("probe_"), F.col("candidate_id")).alias("name")
+    probes.select(name, "candidate_id", "interpreter", "script", *carried).write.parquet(folder)
