@@ -7,6 +7,7 @@ a base table or another view. Every view keeps all rows of its base table.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -253,9 +254,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view ``name`` over the tables in ``sf_dir``."""
+def _over(spark: SparkSession, name: str, read: Callable[[str], DataFrame]) -> DataFrame:
     used = {t for t in BASE_TABLES if re.search(rf"\b__{t}\b", sql_of(VIEWS[name], {t: f"__{t}"}))}
     for base in used:
-        table(spark, sf_dir, base).createOrReplaceTempView(f"faultgrain_{base}")
+        read(base).createOrReplaceTempView(f"faultgrain_{base}")
     return spark.sql(sql_of(VIEWS[name], {base: f"faultgrain_{base}" for base in used}))
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view ``name`` over the tables in ``sf_dir``."""
+    return _over(spark, name, lambda base: table(spark, sf_dir, base))
+
+
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The row-wise view ``name`` over its base tables read as streams."""
+
+    def read(base: str) -> DataFrame:
+        layout = table(spark, sf_dir, base).schema
+        # A glob: a plain path has to be a folder for a stream.
+        return spark.readStream.schema(layout).parquet(f"{sf_dir}/{base}.parquet*")
+
+    return _over(spark, name, read)

@@ -1 +1,189 @@
-"""x"""
+"""Prompt and completion queries, answered by scripted clients."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from faultgrain.bindings import table, view
+from faultgrain.functions import weakness
+from faultgrain.operators import contracts, prompts
+from faultgrain.operators.complete import Client, RuleClient, complete, complete_by_stage
+from faultgrain.operators.corpus import plan_tasks
+from faultgrain.plans.explore import explore_prompts
+from faultgrain.queries.corpus import TASKS_SQL, _all_files, file_index_table
+from faultgrain.queries.ledger import LABEL_SQL
+from faultgrain.queries.registry import query
+
+_OVERVIEW = "A tree of many parts."
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_EXPLORE_SQL = f"""
+SELECT t.path AS key, concat('EXPLORE file ', t.path, ' (language: ', t.language, ').', chr(10), 'Overview of the project:', chr(10),
+  '{_OVERVIEW}', chr(10), chr(10), 'Functions: ',
+  CASE t.functions WHEN 'unknown' THEN 'none extracted' WHEN '' THEN ''
+    ELSE concat(replace(regexp_replace(t.functions, ':([0-9]+-[0-9]+)', ' (lines \\1)', 'g'), ';', ', ')) END, '.', chr(10),
+  {_sql_text(f"Report likely bugs as JSON of this shape, [] for none: {contracts.ISSUES_SHAPE}")}, chr(10), 'cwe_id is one of:', chr(10),
+  {_sql_text(weakness.listing())}, chr(10), chr(10), '```', chr(10), f.content, chr(10), '```') AS prompt
+FROM ({TASKS_SQL}) t JOIN (SELECT path, content FROM ($code_files) c WHERE NOT is_symlink
+  UNION ALL SELECT path, content FROM ($python_files) p UNION ALL SELECT path, content FROM ($text_files) x) f ON f.path = t.path
+"""
+
+
+@query(f"SELECT key, sha256(prompt) AS prompt_hash, CAST(length(prompt) AS INT) AS chars FROM ({_EXPLORE_SQL}) e")
+def exploration_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of every task with its whole source, by hash and length."""
+    tasks = plan_tasks(file_index_table(spark, sf_dir))
+    asked = explore_prompts(tasks, _all_files(spark, sf_dir), F.lit(_OVERVIEW))
+    return asked.select(
+        "key", F.sha2("prompt", 256).alias("prompt_hash"), F.length("prompt").alias("chars")
+    )
+
+
+_FINDING_SQL = (
+    "concat('candidate in file ', file, ', function ', function, '.', chr(10), 'Overview of the project:', chr(10), "
+    f"'{_OVERVIEW}', chr(10), chr(10), 'Bug type: ', {LABEL_SQL}, '.', chr(10), 'Bug category: ', bug_category, '.', chr(10), "
+    "'Description: ', description, chr(10), 'Trigger: ', trigger, chr(10))"
+)
+_PROBE_TEXT = (
+    "Write one self-contained script that triggers the bug through a public entry point and then exits non-zero. "
+    "It prints PROBE_SETUP_OK once everything it needs is loaded and PROBE_REACHED when the input enters the target. "
+    "Refuse, with a reason, only when no probe is possible.\nAnswer with JSON of this shape: " + contracts.PROBE_SHAPE
+)
+
+
+@query(
+    f"SELECT id, concat('PROBE for ', {_FINDING_SQL}, {_sql_text(_PROBE_TEXT)}, "
+    "CASE WHEN reject_reason <> '' THEN concat(chr(10), chr(10), 'The last probe was turned down, correct this:', chr(10), reject_reason) "
+    "ELSE '' END) AS prompt FROM ($candidates) c"
+)
+def probe_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probe prompts of all candidates; a stored reason serves as feedback."""
+    feedback = F.coalesce("reject_reason", F.lit(""))
+    return view(spark, sf_dir, "candidates").select(
+        "id", prompts.probe_prompt(F.lit(_OVERVIEW), feedback).alias("prompt")
+    )
+
+
+_AUDIT_TEXT = (
+    "Without running it, check that it expects what the target promises, not what the bug does, and that its "
+    "input can reach the target.\nAnswer with JSON of this shape: " + contracts.AUDIT_SHAPE + "\n\nProbe:\n```\n"
+)
+
+
+@query(
+    f"SELECT c.id, coalesce(concat('AUDIT the probe for ', {_FINDING_SQL}, {_sql_text(_AUDIT_TEXT)}, 'run(', c.id, ')', chr(10), '```', "
+    "chr(10), chr(10), 'Source of ', file, ':', chr(10), '```', chr(10), f.content || chr(10), '```'), '') AS prompt, "
+    "f.content IS NULL AS unavailable FROM ($candidates) c LEFT JOIN "
+    "(SELECT concat('src/f', o_orderkey * 2, '.c') AS path, concat('int x', o_custkey, ';') AS content FROM orders) f "
+    "ON f.path = c.file".replace("coalesce(concat(", "CASE WHEN f.content IS NULL THEN '' ELSE concat(").replace(
+        "'```'), '') AS prompt", "'```') END AS prompt"
+    )
+)
+def audit_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit prompts with the target source; without a source there is no audit."""
+    files = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("src/f"), F.col("o_orderkey") * 2, F.lit(".c")).alias("path"),
+        F.concat(F.lit("int x"), F.col("o_custkey"), F.lit(";")).alias("content"),
+    )
+    candidates = view(spark, sf_dir, "candidates").withColumn("script", F.format_string("run(%d)", "id"))
+    found = prompts.with_source(candidates, files)
+    return found.select(
+        "id",
+        F.coalesce(prompts.audit_prompt(F.lit(_OVERVIEW)), F.lit("")).alias("prompt"),
+        F.col("content").isNull().alias("unavailable"),
+    )
+
+
+def _overview_client() -> Client:
+    class Describer(RuleClient):
+        def complete(self, prompt: str) -> str:
+            if "doc/src5/" in prompt:
+                raise ConnectionError("no answer")
+            return super().complete(prompt)
+
+    return Describer([("doc/src7/", " \n"), ("doc/src3/", "tree three")], default="a tree")
+
+
+@query(
+    "SELECT source AS corpus_id, CASE WHEN n % 4 = 0 THEN concat('stored ', n) WHEN source IN ('src5', 'src7') THEN '' "
+    "WHEN source = 'src3' THEN 'tree three' ELSE 'a tree' END AS overview "
+    "FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) s"
+)
+def overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored overviews reused, blank and missing ones asked for twice at most."""
+    documents = table(spark, sf_dir, "documents")
+    index = documents.select(
+        F.col("source").alias("corpus_id"),
+        F.concat(F.lit("doc/"), "source", F.lit("/d"), "doc_id", F.lit(".c")).alias("path"),
+        F.lit("c").alias("language"),
+        F.lit(1).alias("line_count"),
+        F.lit(None).cast("array<struct<start:int,end:int,name:string>>").alias("functions"),
+    )
+    sizes = documents.groupBy(F.col("source").alias("corpus_id")).agg(F.count("*").alias("n"))
+    stored = F.when(F.col("n") % 4 == 0, F.concat(F.lit("stored "), "n")).otherwise(" \t")
+    asked, _ = prompts.overview_prompts(prompts.corpus_listing(index))
+    found = prompts.load_or_generate(
+        sizes.select("corpus_id", stored.alias("overview")), asked, _overview_client, fail_fast=False
+    )
+    return found.withColumn("overview", F.coalesce("overview", F.lit("")))
+
+
+def _moody_client() -> Client:
+    class Moody:
+        def complete(self, prompt: str) -> str:
+            mood = int(prompt.split()[1])
+            if mood == 50:
+                raise TimeoutError("too slow")
+            if mood % 3 == 0 or (mood % 3 == 1 and "could not be used: not valid JSON" in prompt):
+                return "Sure: " + '{"verdict": "ok", "feedback": "%d"}' % mood
+            return "hm"
+
+    return Moody()
+
+
+@query(
+    """SELECT event_id AS key, CAST(CASE WHEN k = 50 OR k % 3 = 0 THEN 1 WHEN k % 3 = 1 THEN 2 ELSE 3 END AS INT) AS attempts,
+  k <> 50 AND k % 3 <> 2 AS ok,
+  CASE WHEN k <> 50 AND k % 3 <> 2 THEN concat('{"verdict":"ok","feedback":"', k, '"}') ELSE '' END AS payload,
+  CASE WHEN k = 50 THEN 'TimeoutError: too slow' ELSE '' END AS failure
+FROM ($ev) e"""
+)
+def batch_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers asked for up to three times; errors fed back, broken calls kept apart."""
+    events = view(spark, sf_dir, "ev")
+    asked = events.select(F.col("event_id").alias("key"), F.concat(F.lit("mood "), "k", F.lit(" please")).alias("prompt"))
+    answers = complete(asked, _moody_client, contracts.judge_audits, contracts.AUDIT_SHAPE, retries=2)
+    none = F.lit("")
+    return answers.select(
+        "key", "attempts", "ok", F.coalesce("payload", none).alias("payload"), F.coalesce("failure", none).alias("failure")
+    )
+
+
+@query(
+    """SELECT event_type AS stage, count(*) AS n, count(*) FILTER (WHERE event_type = 'view' OR event_type = 'click' AND k % 2 = 0) AS valid,
+  CAST(max(CASE WHEN event_type = 'click' AND k % 2 = 1 THEN 2 ELSE 1 END) AS INT) AS attempts
+FROM ($ev) e WHERE event_type IN ('view', 'click') GROUP BY event_type"""
+)
+def stage_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages with a client and a contract each."""
+    events = view(spark, sf_dir, "ev").select(
+        F.col("event_id").alias("key"), F.col("event_type").alias("stage"), F.concat(F.lit("number "), F.col("k") % 2).alias("prompt")
+    )
+    answers = complete_by_stage(
+        events,
+        {
+            "view": lambda: RuleClient([], default="[]"),
+            "click": lambda: RuleClient([("number 0", '{"verdict":"ok","feedback":""}')], default="[]"),
+        },
+        {"view": contracts.judge_issues, "click": contracts.judge_audits},
+        {"view": contracts.ISSUES_SHAPE, "click": contracts.AUDIT_SHAPE},
+        retries=1,
+    )
+    return answers.groupBy("stage").agg(
+        F.count("*").alias("n"), F.count_if("ok").alias("valid"), F.max("attempts").alias("attempts")
+    )

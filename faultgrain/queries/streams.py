@@ -1 +1,78 @@
-"""x"""
+"""Streaming forms over the event file, run to its end."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from faultgrain.bindings import stream_view, view
+from faultgrain.operators.first_wins import first_per_key
+from faultgrain.queries.lifecycle import _SETTLED_FRESH
+from faultgrain.queries.registry import query
+from faultgrain.queries.triage import VERDICT_SQL
+from faultgrain.session import scratch_path
+from faultgrain.sources.ledger import Ledger
+from faultgrain.streaming.attempts import start_verification
+from faultgrain.streaming.intake import start_intake
+from faultgrain.streaming.live_triage import first_evidence
+
+
+@query(
+    "SELECT DISTINCT file, concat('fn', k % 15) AS function, CAST(79 AS INT) AS cwe_id, 'pending' AS status "
+    "FROM ($answers) a WHERE event_type IN ('click', 'error') OR (event_type = 'view' AND k % 4 = 2) "
+    "OR (event_type = 'signup' AND k % 5 = 4)"
+)
+def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers streamed into the ledger."""
+    root, checkpoint = scratch_path(spark, "ledger"), scratch_path(spark, "stream")
+    answers = stream_view(spark, sf_dir, "answers").select("file", "text")
+    start_intake(answers, root, checkpoint).awaitTermination()
+    return Ledger(spark, root).read("candidates").select("file", "function", "cwe_id", "status")
+
+
+@query(f"SELECT DISTINCT evidence_key, top_frames FROM ({VERDICT_SQL}) v WHERE verdict = 'true_positive'")
+def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-seen evidence of a streamed run log."""
+    out, checkpoint = scratch_path(spark, "evidence"), scratch_path(spark, "stream")
+    found = first_evidence(stream_view(spark, sf_dir, "run_log")).select(
+        "evidence_key", F.array_join("top_frames", "|").alias("top_frames")
+    )
+    writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("evidence_key string, top_frames string").parquet(out)
+
+
+_OUTCOME_STATUS = (
+    "CASE WHEN outcome IN ('generator_refused', 'audit_rejected', 'rejected') THEN 'rejected' "
+    "WHEN outcome IN ('inconclusive') THEN outcome WHEN outcome = 'proven' THEN 'proven' END"
+)
+
+
+@query(
+    f"SELECT candidate_id AS id, coalesce(max({_OUTCOME_STATUS}), 'pending') AS status, CAST(max(fails) AS INT) AS attempts "
+    f"FROM ({_SETTLED_FRESH}) s GROUP BY candidate_id"
+)
+def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts streamed against candidates' budgets; proven means confirmed or duplicate."""
+    root, checkpoint = scratch_path(spark, "ledger"), scratch_path(spark, "stream")
+    events = view(spark, sf_dir, "ev")
+    first = first_per_key(events, ["user_id"], ["event_id"])
+    candidates = first.select(
+        F.col("user_id").alias("id"),
+        F.concat(F.lit("src/f"), "user_id", F.lit(".c")).alias("file"),
+        F.lit("main").alias("function"),
+        F.lit(20).alias("cwe_id"),
+        F.lit("seen").alias("bug_category"),
+        F.lit("seen").alias("description"),
+        F.lit("any").alias("trigger"),
+        F.lit("pending").alias("status"),
+        F.lit(None).alias("reject_reason"),
+        F.lit(0).alias("verify_attempts"),
+    )
+    Ledger(spark, root).commit(append={"candidates": candidates})
+    attempts = stream_view(spark, sf_dir, "attempts")
+    start_verification(attempts, root, checkpoint).awaitTermination()
+    status = F.when(F.col("status").isin("confirmed", "duplicate"), "proven").otherwise(F.col("status"))
+    return Ledger(spark, root).read("candidates").select(
+        "id", status.alias("status"), F.col("verify_attempts").alias("attempts")
+    )
