@@ -15,7 +15,7 @@ import warnings
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from faultgrain.functions.text import SPACE, WORD, first_match, line_count, split_lines
@@ -120,6 +120,16 @@ def brace_lines(lines: DataFrame, signatures: Mapping[str, str] = SIGNATURES) ->
     )
 
 
+def _backwards(keys: list[str], order: str, end: int) -> WindowSpec:
+    """The rows after the current one (``end`` -1) or from it on (0).
+
+    Written as the rows before it in falling order: Spark adds row by row to a frame that
+    grows, but aggregates a frame that shrinks anew for every row.
+    """
+    falling = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    return falling.rowsBetween(Window.unboundedPreceding, end)
+
+
 def with_depth(rows: DataFrame) -> DataFrame:
     """Add the brace ``depth`` after each line and ``opening`` (n, depth), the next opening line.
 
@@ -132,7 +142,7 @@ def with_depth(rows: DataFrame) -> DataFrame:
 
     blocks = Window.partitionBy("path").orderBy("block")
     before = F.sum("_net").over(blocks.rowsBetween(Window.unboundedPreceding, -1))
-    later = F.min("_first").over(blocks.rowsBetween(1, Window.unboundedFollowing))
+    later = F.min("_first").over(_backwards(["path"], "block", -1))
     per_block = (
         local.groupBy("path", "block")
         .agg(F.sum("net").alias("_net"), F.min("_here").alias("_first"))
@@ -141,7 +151,7 @@ def with_depth(rows: DataFrame) -> DataFrame:
         .withColumn("_later", later)
         .select("path", "block", "_before", "_later")
     )
-    next_here = F.min("_here").over(in_block.rowsBetween(0, Window.unboundedFollowing))
+    next_here = F.min("_here").over(_backwards(["path", "block"], "n", 0))
     return (
         local.withColumn("_next", next_here)
         .join(per_block, ["path", "block"])
@@ -198,14 +208,13 @@ def brace_spans(rows: DataFrame) -> DataFrame:
             )
         ),
     )
-    in_block = Window.partitionBy("path", "block", "level").orderBy("start")
-    blocks = Window.partitionBy("path", "level").orderBy("block")
-    following = (1, Window.unboundedFollowing)
-    near = points.withColumn("_near", F.min("fall").over(in_block.rowsBetween(*following)))
+    near = points.withColumn(
+        "_near", F.min("fall").over(_backwards(["path", "block", "level"], "start", -1))
+    )
     per_block = (
         points.groupBy("path", "level", "block")
         .agg(F.min("fall").alias("_first"))
-        .withColumn("_later", F.min("_first").over(blocks.rowsBetween(*following)))
+        .withColumn("_later", F.min("_first").over(_backwards(["path", "level"], "block", -1)))
         .drop("_first")
     )
     return (
