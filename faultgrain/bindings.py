@@ -254,6 +254,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a table whose files give the scan fewer tasks than there are cores.
+
+    A large table has more splits than that and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _over(spark: SparkSession, name: str, read: Callable[[str], DataFrame]) -> DataFrame:
     used = {t for t in BASE_TABLES if re.search(rf"\b__{t}\b", sql_of(VIEWS[name], {t: f"__{t}"}))}
     for base in used:
@@ -263,7 +272,7 @@ def _over(spark: SparkSession, name: str, read: Callable[[str], DataFrame]) -> D
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view ``name`` over the tables in ``sf_dir``."""
-    return _over(spark, name, lambda base: table(spark, sf_dir, base))
+    return _over(spark, name, lambda base: spread(table(spark, sf_dir, base)))
 
 
 def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

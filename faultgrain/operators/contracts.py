@@ -113,30 +113,28 @@ def audit_error(document: Column) -> Column:
 
 
 def _judge(answers: DataFrame, check: Callable[[Column], Column]) -> DataFrame:
-    document = F.try_parse_json("json")
-    return (
-        extract(answers)
-        .withColumn("error", F.when(F.col("error").isNull(), check(document)).otherwise(F.col("error")))
-        .withColumn("ok", F.col("error").isNull())
-    )
+    """The parsed document gets a column of its own, so an answer is parsed once."""
+    parsed = extract(answers).withColumn("_document", F.try_parse_json("json"))
+    broken = F.when(F.col("error").isNull(), check(F.col("_document"))).otherwise(F.col("error"))
+    return parsed.withColumn("error", broken).withColumn("ok", F.col("error").isNull())
 
 
 def judge_issues(answers: DataFrame) -> DataFrame:
-    return _judge(answers, issues_error)
+    return _judge(answers, issues_error).drop("_document")
 
 
 def judge_probes(answers: DataFrame, markers: Markers = Markers()) -> DataFrame:
     """Adds ``kind`` (probe, refusal or invalid), ``interpreter``, ``script`` and ``reason``."""
     judged = _judge(answers, lambda document: probe_error(document, markers))
-    document = F.try_parse_json("json")
-    kind = F.when(~F.col("ok"), "invalid").when(has_keys(document, REFUSAL_KEYS), "refusal").otherwise("probe")
+    refusal = has_keys(F.col("_document"), REFUSAL_KEYS)
+    kind = F.when(~F.col("ok"), "invalid").when(refusal, "refusal").otherwise("probe")
     fields = F.when(
         F.col("ok"), F.from_json("json", "interpreter array<string>, script string, reason string")
     )
     return (
         judged.withColumns({"kind": kind, "_fields": fields})
         .select("*", "_fields.interpreter", "_fields.script", "_fields.reason")
-        .drop("_fields")
+        .drop("_fields", "_document")
     )
 
 
@@ -151,7 +149,7 @@ def judge_audits(answers: DataFrame) -> DataFrame:
             F.coalesce(F.concat(F.lit("audit_"), F.col("_fields.verdict")), F.lit("audit_unavailable")),
         )
         .withColumn("feedback", F.col("_fields.feedback"))
-        .drop("_fields")
+        .drop("_fields", "_document")
     )
 
 

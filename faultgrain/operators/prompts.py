@@ -13,6 +13,7 @@ from faultgrain.operators.contracts import AUDIT_SHAPE, ISSUES_SHAPE, PROBE_SHAP
 from faultgrain.operators.first_wins import latest_per_key
 from faultgrain.operators.ids import assign_ids
 from faultgrain.plans.skew import lookup
+from faultgrain.session import materialize
 
 PART_LINES = 10_000
 # A prompt is one text value; Spark holds at most 2 GiB in one.
@@ -50,7 +51,8 @@ def corpus_listing(index: DataFrame) -> DataFrame:
         paths.parts(F.col("path")).alias("_order"),
         listing_line(F.col("path"), F.col("language"), F.col("line_count"), F.col("functions")).alias("line"),
     )
-    numbered = assign_ids(lines, ["corpus_id", "_order"], column="_n")
+    # Numbering samples its input before it sorts it; write it once instead of indexing twice.
+    numbered = assign_ids(materialize(lines, "listing"), ["corpus_id", "_order"], column="_n")
     part = F.floor((F.col("_n") - 1) / PART_LINES).alias("part")
     ordered = F.sort_array(F.collect_list(F.struct("_n", "line")))
     return numbered.groupBy("corpus_id", part).agg(

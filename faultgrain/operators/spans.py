@@ -130,97 +130,108 @@ def _backwards(keys: list[str], order: str, end: int) -> WindowSpec:
     return falling.rowsBetween(Window.unboundedPreceding, end)
 
 
-def with_depth(rows: DataFrame) -> DataFrame:
+def _depth_in_block(rows: DataFrame) -> DataFrame:
     """Add the brace ``depth`` after each line and ``opening`` (n, depth), the next opening line.
 
-    ``opening`` is the line itself when it holds an opening brace.
+    Both count from the start of the block. ``opening`` is the line itself when it holds an
+    opening brace.
     """
-    in_block = Window.partitionBy("path", "block").orderBy("n")
-    local = rows.withColumn(
-        "_depth", F.sum("net").over(in_block.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    ).withColumn("_here", F.when(F.col("opens"), F.struct("n", F.col("_depth").alias("depth"))))
+    by_line = Window.partitionBy("path", "block").orderBy("n")
+    so_far = by_line.rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        rows.withColumn("depth", F.sum("net").over(so_far).cast("int"))
+        .withColumn("here", F.when(F.col("opens"), F.struct("n", "depth")))
+        .withColumn("opening", F.min("here").over(_backwards(["path", "block"], "n", 0)))
+    )
+
 
+def _depth_in_file(rows: DataFrame) -> DataFrame:
+    """``_depth_in_block`` continued over the blocks of a file, through one row per block."""
+    local = _depth_in_block(rows)
     blocks = Window.partitionBy("path").orderBy("block")
     before = F.sum("_net").over(blocks.rowsBetween(Window.unboundedPreceding, -1))
     later = F.min("_first").over(_backwards(["path"], "block", -1))
     per_block = (
         local.groupBy("path", "block")
-        .agg(F.sum("net").alias("_net"), F.min("_here").alias("_first"))
+        .agg(F.sum("net").alias("_net"), F.min("here").alias("_first"))
         .withColumn("_before", F.coalesce(before, F.lit(0)).cast("int"))
-        .withColumn("_first", _raise_depth("_first"))
+        .withColumn("_first", _raised("_first"))
         .withColumn("_later", later)
         .select("path", "block", "_before", "_later")
     )
-    next_here = F.min("_here").over(_backwards(["path", "block"], "n", 0))
     return (
-        local.withColumn("_next", next_here)
-        .join(per_block, ["path", "block"])
-        .withColumn("depth", F.col("_before") + F.col("_depth"))
-        .withColumn("opening", F.coalesce(_raise_depth("_next"), F.col("_later")))
-        .select("path", "block", "n", "last", "net", "name", "depth", "opening")
+        local.join(per_block, ["path", "block"])
+        .withColumn("depth", F.col("_before") + F.col("depth"))
+        .withColumn("opening", F.coalesce(_raised("opening"), F.col("_later")))
     )
 
 
-def _raise_depth(opening: str) -> Column:
+def _raised(opening: str) -> Column:
     """An opening's depth counted from the start of its file instead of its block."""
     raised = F.struct(f"{opening}.n", (F.col(f"{opening}.depth") + F.col("_before")).alias("depth"))
     return F.when(F.col(opening).isNotNull(), raised)
 
 
-def brace_spans(rows: DataFrame) -> DataFrame:
-    """Spans (path, name, start, end) from the rows of ``brace_lines``.
+def _span_points(rows: DataFrame) -> DataFrame:
+    """Span starts and the lines that may end one, by depth ``level``.
 
-    A span ends on the first line, from its first opening brace on, whose depth is back at
-    the depth before the signature, or else on the last line. When the opening line does
-    not end it, the end is the next line taking the depth down through that level. A line
-    taking the depth from d to d - k passes the levels d - 1 .. d - k, so it is repeated
-    once per level and the search is an ordered one among lines of one (path, level):
-    linear in the number of braces.
+    A line taking the depth from d to d - k passes the levels d - 1 .. d - k and may end a
+    span at each of them. A start already knows its ``end`` when the opening line brings
+    the depth back, or when nothing opens any more.
     """
-    rows = with_depth(rows.filter("n IS NOT NULL"))
     before = F.col("depth") - F.col("net")
-    at_once = F.coalesce(F.col("opening.depth") <= before, F.col("opening").isNull())
-    start = F.struct(
-        before.alias("level"),
-        F.lit(None).cast("int").alias("fall"),
-        F.when(F.col("opening").isNull(), F.col("last")).when(at_once, F.col("opening.n")).alias("end"),
-        F.col("name"),
-    )
+    at_once = F.col("opening.depth") <= before
+    end = F.when(F.col("opening").isNull(), F.col("last")).when(at_once, F.col("opening.n"))
+    none = F.lit(None).cast("int")
+    start = F.struct(before.alias("level"), none.alias("fall"), end.alias("end"), F.col("name"))
     falls = F.transform(
         F.sequence(F.col("depth"), before - 1),
         lambda level: F.struct(
-            level.alias("level"),
-            F.col("n").alias("fall"),
-            F.lit(None).cast("int").alias("end"),
-            F.lit(None).cast("string").alias("name"),
+            level.alias("level"), F.col("n").alias("fall"), none.alias("end"), F.lit(None).cast("string").alias("name")
         ),
     )
     nothing = F.array().cast("array<struct<level:int,fall:int,end:int,name:string>>")
-    points = rows.select(
-        "path",
-        "block",
-        F.col("n").alias("start"),
-        "last",
-        F.inline(
-            F.concat(
-                F.when(F.col("net") < 0, falls).otherwise(nothing),
-                F.when(F.col("name").isNotNull(), F.array(start)).otherwise(nothing),
-            )
-        ),
-    )
-    near = points.withColumn(
-        "_near", F.min("fall").over(_backwards(["path", "block", "level"], "start", -1))
+    points = F.concat(
+        F.when(F.col("net") < 0, falls).otherwise(nothing),
+        F.when(F.col("name").isNotNull(), F.array(start)).otherwise(nothing),
     )
+    return rows.select("path", "block", F.col("n").alias("start"), "last", F.inline(points))
+
+
+def _with_next_fall(points: DataFrame) -> DataFrame:
+    """Add ``near``, the next fall at the same level inside the block."""
+    after = _backwards(["path", "block", "level"], "start", -1)
+    return points.withColumn("near", F.min("fall").over(after))
+
+
+def brace_spans(rows: DataFrame) -> DataFrame:
+    """Spans (path, name, start, end) from the rows of ``brace_lines``.
+
+    A span ends on the first line, from its first opening brace on, whose depth is back at
+    the depth before the signature, or else on the last line. When the opening line does
+    not end it, the end is the next line taking the depth down through that level: an
+    ordered search among the lines of one (path, level), linear in the number of braces.
+
+    Files of one block need a single shuffle and no join; only longer ones are followed
+    from block to block.
+    """
+    rows = rows.filter("n IS NOT NULL")
+    one_block = F.col("last") <= BLOCK_LINES
+    short = _with_next_fall(_span_points(_depth_in_block(rows.filter(one_block))))
+    short = short.withColumn("later", F.lit(None).cast("int"))
+
+    points = _span_points(_depth_in_file(rows.filter(~one_block)))
     per_block = (
         points.groupBy("path", "level", "block")
         .agg(F.min("fall").alias("_first"))
-        .withColumn("_later", F.min("_first").over(_backwards(["path", "level"], "block", -1)))
+        .withColumn("later", F.min("_first").over(_backwards(["path", "level"], "block", -1)))
         .drop("_first")
     )
+    long = _with_next_fall(points).filter("name IS NOT NULL").join(per_block, ["path", "level", "block"])
     return (
-        near.filter("name IS NOT NULL")
-        .join(per_block, ["path", "level", "block"])
-        .select("path", "name", "start", F.coalesce("end", "_near", "_later", "last").alias("end"))
+        short.filter("name IS NOT NULL")
+        .unionByName(long)
+        .select("path", "name", "start", F.coalesce("end", "near", "later", "last").alias("end"))
     )
 
 

@@ -23,12 +23,12 @@ def store_findings(ledger: Ledger, judged: DataFrame, tag: str = "") -> tuple[Da
 
     A file joins the explored set when its answer was valid, also without an issue.
     """
-    stored, explored = ledger.read("candidates"), ledger.read("explored")
+    stored, explored = ledger.candidates(), ledger.read("explored")
     offered = materialize(contracts.explode_issues(judged), "offered")
     new = first_wins.new_candidates(offered, stored)
     new = assign_ids(new, ["file", "pos"], start=next_id(stored))
     done = first_wins.mark_explored(explored, judged.filter("ok"))
-    ledger.commit(append={"candidates": new, "explored": done}, tag=tag)
+    ledger.commit(append={"open": new, "explored": done}, tag=tag)
     return offered, new
 
 

@@ -11,7 +11,7 @@ from faultgrain.operators.report import check_references
 from faultgrain.operators.triage import triage
 from faultgrain.plans.skew import lookup
 from faultgrain.session import materialize
-from faultgrain.sources.ledger import Ledger, pending
+from faultgrain.sources.ledger import Ledger, split_by_status
 
 CARRIED = ("evidence_key", "probe_path")
 
@@ -27,10 +27,11 @@ def verify(
     """Fold the attempts of pending candidates into the ledger.
 
     Returns one row per (candidate, run) that took part: outcome, reason and bug. The
-    candidates and the confirmed bugs change in one commit.
+    candidates and the confirmed bugs change in one commit, which rewrites only what was
+    pending.
     """
-    candidates, confirmed = ledger.read("candidates"), ledger.read("confirmed")
-    open_candidates = pending(candidates).select(F.col("id").alias("candidate_id"), "verify_attempts")
+    candidates, confirmed = ledger.read("open"), ledger.read("confirmed")
+    open_candidates = candidates.select(F.col("id").alias("candidate_id"), "verify_attempts")
     outcomes = lifecycle.run_outcomes(triage(attempts, markers), rewrites, CARRIED)
     taking_part = lookup(
         outcomes, open_candidates.select("candidate_id"), ["candidate_id"], ["run_id"], "left_semi"
@@ -43,7 +44,8 @@ def verify(
     final = materialize(lifecycle.name_proven(settled, resolved), "final")
     updated = lifecycle.apply_updates(candidates, lifecycle.status_updates(final), ends)
     check_references(bugs, candidates)
-    ledger.commit(append={"confirmed": bugs}, replace={"candidates": updated}, tag=tag)
+    still_open, closed = split_by_status(materialize(updated, "candidates"))
+    ledger.commit(append={"confirmed": bugs, "closed": closed}, replace={"open": still_open}, tag=tag)
     return final
 
 

@@ -17,7 +17,7 @@ from faultgrain.queries.triage import VERDICT_SQL
 from faultgrain.schemas import CONFIRMED
 from faultgrain.session import materialize, scratch_path
 from faultgrain.sources import sinks
-from faultgrain.sources.ledger import Ledger, by_id, in_id_order, pending
+from faultgrain.sources.ledger import Ledger, by_id, in_id_order, pending, split_by_status
 
 _LABELS = " ".join(f"WHEN {i} THEN '{n.replace(chr(39), chr(39) * 2)}'" for i, n, _ in weakness.WEAKNESSES)
 _NOTES = " ".join(f"WHEN {i} THEN '{d.replace(chr(39), chr(39) * 2)}'" for i, _, d in weakness.WEAKNESSES)
@@ -141,15 +141,14 @@ def pending_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "file", "function", "cwe_id")
 
 
-@query("SELECT *, CAST(3 AS BIGINT) AS version FROM ($candidates) c")
+@query("SELECT *, CAST(2 AS INT) AS version FROM ($candidates) c")
 def ledger_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates through the versioned ledger: append, append, replace, read in id order."""
-    candidates = view(spark, sf_dir, "candidates")
+    """Candidates through the versioned ledger: append, move the settled, read in id order."""
     ledger = Ledger(spark, scratch_path(spark, "ledger"))
-    ledger.commit(append={"candidates": pending(candidates)})
-    ledger.commit(append={"candidates": candidates.filter("status <> 'pending'")})
-    ledger.commit(replace={"candidates": ledger.read("candidates")})
-    return in_id_order(ledger.read("candidates")).withColumn("version", F.lit(ledger.version))
+    ledger.commit(append={"open": view(spark, sf_dir, "candidates")})
+    still_open, closed = split_by_status(ledger.read("open"))
+    ledger.commit(append={"closed": closed}, replace={"open": still_open})
+    return in_id_order(ledger.candidates()).withColumn("version", F.lit(ledger.version))
 
 
 @query(
@@ -167,7 +166,7 @@ def rerun_adds_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = None
     for run in (1, 2):
         store_findings(ledger, judged)
-        after = ledger.read("candidates").agg(
+        after = ledger.candidates().agg(
             F.count("*").alias("candidates"), F.count_distinct("file").alias("files")
         )
         after = after.withColumn("run", F.lit(run))

@@ -27,7 +27,7 @@ def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, checkpoint = scratch_path(spark, "ledger"), scratch_path(spark, "stream")
     answers = stream_view(spark, sf_dir, "answers").select("file", "text")
     start_intake(answers, root, checkpoint).awaitTermination()
-    return Ledger(spark, root).read("candidates").select("file", "function", "cwe_id", "status")
+    return Ledger(spark, root).candidates().select("file", "function", "cwe_id", "status")
 
 
 @query(f"SELECT DISTINCT evidence_key, top_frames FROM ({VERDICT_SQL}) v WHERE verdict = 'true_positive'")
@@ -69,10 +69,10 @@ def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).alias("reject_reason"),
         F.lit(0).alias("verify_attempts"),
     )
-    Ledger(spark, root).commit(append={"candidates": candidates})
+    Ledger(spark, root).commit(append={"open": candidates})
     attempts = stream_view(spark, sf_dir, "attempts")
     start_verification(attempts, root, checkpoint).awaitTermination()
     status = F.when(F.col("status").isin("confirmed", "duplicate"), "proven").otherwise(F.col("status"))
-    return Ledger(spark, root).read("candidates").select(
+    return Ledger(spark, root).candidates().select(
         "id", status.alias("status"), F.col("verify_attempts").alias("attempts")
     )

@@ -29,4 +29,6 @@ CALLS = "request_id BIGINT, seq INT, status STRING"
 # The life of a candidate.
 CANDIDATE_STATUSES = ("pending", "rejected", "confirmed", "duplicate", "inconclusive")
 
-LEDGER_TABLES = {"candidates": CANDIDATES, "confirmed": CONFIRMED, "explored": EXPLORED}
+# Candidates are kept in two tables: pending ones, which a verification rewrites, and
+# settled ones, which only grow.
+LEDGER_TABLES = {"open": CANDIDATES, "closed": CANDIDATES, "confirmed": CONFIRMED, "explored": EXPLORED}

@@ -1,5 +1,8 @@
 """The candidate, confirmed and explored tables as versioned Parquet.
 
+A commit costs what it changes: new rows are appended, and a verification rewrites only
+the pending candidates.
+
 Every commit writes its tables into new folders and then one row per table into the
 manifest, in a single file. Spark publishes that file last and by one rename, so readers
 see all tables of a commit or none, and a failed commit leaves only unused folders. One
@@ -54,6 +57,10 @@ class Ledger:
             return self._spark.createDataFrame([], self._tables[name])
         return self._spark.read.schema(self._tables[name]).parquet(*paths)
 
+    def candidates(self) -> DataFrame:
+        """All candidates, pending and settled."""
+        return self.read("open").unionByName(self.read("closed"))
+
     def commit(
         self,
         append: Mapping[str, DataFrame] | None = None,
@@ -76,6 +83,11 @@ class Ledger:
         return version
 
 
+def split_by_status(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows for the ``open`` table and rows for the ``closed`` one."""
+    return pending(candidates), candidates.filter(F.col("status") != "pending")
+
+
 def by_id(table: DataFrame, row_id: int) -> DataFrame:
     """Zero or one row; the filter reaches the scan."""
     return table.filter(F.col("id") == row_id)

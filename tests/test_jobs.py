@@ -51,7 +51,7 @@ def run(candidate, run_id, step, out="", err="", code=0, kind="exec"):
 def test_exploration_resumes_and_repeats_nothing(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path))
     assert counts(explore(ledger, files(spark), client).first()) == (3, 0, 2, 1, 1)
-    rows = in_id_order(ledger.read("candidates")).collect()
+    rows = in_id_order(ledger.candidates()).collect()
     assert [(r.id, r.file, r.cwe_id, r.status, r.verify_attempts) for r in rows] == [
         (1, "calc.py", 369, "pending", 0), (2, "calc.py", 20, "pending", 0),
     ]
@@ -61,7 +61,7 @@ def test_exploration_resumes_and_repeats_nothing(spark, tmp_path):
     # With the explored set lost, findings already known stay single.
     ledger.commit(replace={"explored": ledger.read("explored").filter("false")})
     assert counts(explore(ledger, files(spark), client).first()) == (3, 0, 0, 3, 1)
-    assert ledger.read("candidates").count() == 2
+    assert ledger.candidates().count() == 2
 
 
 def test_scoped_runs_compose(spark, tmp_path):
@@ -83,12 +83,12 @@ def test_a_broken_service_stores_nothing(spark, tmp_path):
 def seeded(spark, root, count=6):
     ledger = Ledger(spark, str(root))
     rows = [(i, f"f{i}.c", "main", 369, "math", "d", "t", "pending", None, 0) for i in range(1, count + 1)]
-    ledger.commit(append={"candidates": spark.createDataFrame(rows, CANDIDATES)})
+    ledger.commit(append={"open": spark.createDataFrame(rows, CANDIDATES)})
     return ledger
 
 
 def states(ledger):
-    return {r.id: (r.status, r.verify_attempts) for r in ledger.read("candidates").collect()}
+    return {r.id: (r.status, r.verify_attempts) for r in ledger.candidates().collect()}
 
 
 CRASH = 'File "/w/x.py", line 3'
@@ -117,7 +117,7 @@ def test_verification_changes_both_tables_at_once(spark, tmp_path):
     assert states(ledger)[4] == ("inconclusive", 2) and states(ledger)[1] == ("confirmed", 0)
     verify(ledger, spark.createDataFrame([run(4, 3, 1, BOTH, "y.c:3", 1)], ATTEMPT), budget=2)
     assert states(ledger)[4] == ("inconclusive", 2)
-    bugs = report.confirmed_with_candidates(ledger.read("confirmed"), ledger.read("candidates"))
+    bugs = report.confirmed_with_candidates(ledger.read("confirmed"), ledger.candidates())
     assert [(r.id, r.file) for r in bugs.collect()] == [(1, "f1.c")]
     summary = summarise(explore(ledger, files(spark), client, run_id=1), final).first()
     assert (summary.files, summary.probes, summary.run_id) == (3, 3, 1)
@@ -152,5 +152,5 @@ def test_streams(spark, tmp_path):
         stream = spark.readStream.schema("file string, text string").parquet(answers)
         start_intake(stream, str(tmp_path / "intake"), str(tmp_path / "ck3")).awaitTermination()
     ledger = Ledger(spark, str(tmp_path / "intake"))
-    assert [(r.id, r.cwe_id) for r in in_id_order(ledger.read("candidates")).collect()] == [(1, 369), (2, 20)]
+    assert [(r.id, r.cwe_id) for r in in_id_order(ledger.candidates()).collect()] == [(1, 369), (2, 20)]
     assert sorted(r.file for r in ledger.read("explored").collect()) == ["calc.py", "text.py"]

@@ -7,7 +7,7 @@ from faultgrain.operators import report
 from faultgrain.operators.corpus import source_files
 from faultgrain.schemas import CANDIDATES, CONFIRMED
 from faultgrain.sources import sinks, snapshot, tree
-from faultgrain.sources.ledger import Ledger, by_id, in_id_order, pending
+from faultgrain.sources.ledger import Ledger, by_id, in_id_order, pending, split_by_status
 
 BASE = ("main", 369, "math", "what", "how")
 
@@ -19,29 +19,30 @@ def candidates(spark, *rows):
 
 def test_ledger_versions(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path))
-    assert ledger.version == 0 and ledger.read("candidates").count() == 0
+    assert ledger.version == 0 and ledger.candidates().count() == 0
     first = candidates(spark, (1, "pending", None, 0), (2, "rejected", "no", 0))
-    ledger.commit(append={"candidates": first}, tag="one")
-    old = ledger.read("candidates")
+    ledger.commit(append={"open": first}, tag="one")
+    old = ledger.candidates()
     bugs = spark.createDataFrame([(1, 3, "p", "k")], CONFIRMED)
-    ledger.commit(append={"candidates": candidates(spark, (3, "pending", None, 0)), "confirmed": bugs})
+    ledger.commit(append={"open": candidates(spark, (3, "pending", None, 0)), "confirmed": bugs})
     assert old.count() == 2 and ledger.version == 2
-    now = ledger.read("candidates")
+    now = ledger.candidates()
     assert [r.id for r in in_id_order(now).collect()] == [1, 2, 3]
     assert [r.id for r in in_id_order(pending(now)).collect()] == [1, 3]
     assert by_id(now, 2).first().reject_reason == "no" and by_id(now, 9).first() is None
-    ledger.commit(replace={"candidates": now.filter("id = 1")})
-    assert ledger.read("candidates").count() == 1 and ledger.read("confirmed").count() == 1
+    still_open, closed = split_by_status(ledger.read("open"))
+    ledger.commit(append={"closed": closed}, replace={"open": still_open})
+    assert (ledger.read("open").count(), ledger.read("closed").count(), ledger.read("confirmed").count()) == (2, 1, 1)
     assert ledger.has_tag("one") and not ledger.has_tag("two")
 
 
 def test_a_failed_commit_changes_nothing(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path))
     good = candidates(spark, (1, "pending", None, 0))
-    ledger.commit(append={"candidates": good})
+    ledger.commit(append={"open": good})
     bad = good.withColumn("file", F.raise_error(F.lit("lost")).cast("string"))
     with pytest.raises(Exception, match="lost"):
-        ledger.commit(append={"confirmed": spark.createDataFrame([(1, 1, "p", "k")], CONFIRMED), "candidates": bad})
+        ledger.commit(append={"confirmed": spark.createDataFrame([(1, 1, "p", "k")], CONFIRMED), "closed": bad})
     assert ledger.version == 1 and ledger.read("confirmed").count() == 0
 
 
