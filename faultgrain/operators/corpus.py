@@ -14,16 +14,15 @@ from faultgrain.operators.spans import HANDLERS, Handler, index_files
 def source_files(files: DataFrame) -> DataFrame:
     """Files of a known language outside hidden and vendor directories, with ``language``.
 
-    A table may mark links by ``is_symlink``; they are never read.
+    A table may mark links by ``is_symlink``; they are never read. A snapshot brings its
+    ``language`` along.
     """
     path = F.col("path")
     if "is_symlink" in files.columns:
         files = files.filter(~F.col("is_symlink")).drop("is_symlink")
-    return (
-        files.filter(~paths.in_skipped_dir(path))
-        .withColumn("language", paths.language(path))
-        .filter(F.col("language").isNotNull())
-    )
+    if "language" not in files.columns:
+        files = files.withColumn("language", paths.language(path))
+    return files.filter(F.col("language").isNotNull() & ~paths.in_skipped_dir(path))
 
 
 def build_index(files: DataFrame, handlers: Mapping[str, Handler] = HANDLERS) -> DataFrame:

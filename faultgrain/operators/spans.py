@@ -13,11 +13,13 @@ from __future__ import annotations
 import ast
 import warnings
 from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from faultgrain.functions.paths import LANGUAGE_BY_SUFFIX
 from faultgrain.functions.text import SPACE, WORD, first_match, line_count, split_lines
 from faultgrain.plans.skew import lookup
 from faultgrain.session import materialize
@@ -285,6 +287,16 @@ def brace_handler(files: DataFrame) -> DataFrame:
     )
 
 
+def unknown_handler(files: DataFrame) -> DataFrame:
+    """For languages nothing can parse: counted lines, NULL functions."""
+    return files.select(
+        "path",
+        "language",
+        line_count(F.col("content")).alias("line_count"),
+        F.lit(None).cast(_SPAN_ARRAY).alias("functions"),
+    )
+
+
 def collect_functions(spans: DataFrame) -> DataFrame:
     """Spans of a file as one array by start line (bounded by the size of one file)."""
     return spans.groupBy("path").agg(
@@ -301,17 +313,14 @@ HANDLERS: dict[str, Handler] = {
 def index_files(files: DataFrame, handlers: Mapping[str, Handler] = HANDLERS) -> DataFrame:
     """Index rows from each language's handler; languages sharing one run together.
 
-    A language without a handler gets NULL functions.
+    A language without a handler gets NULL functions. Each part filters on ``language``, so
+    a snapshot, which is stored by language, is read once over all parts.
     """
-    by_handler: dict[Handler, list[str]] = {}
-    for language, handler in handlers.items():
-        by_handler.setdefault(handler, []).append(language)
-    index = files.filter(~F.col("language").isin(*handlers)).select(
-        "path",
-        "language",
-        line_count(F.col("content")).alias("line_count"),
-        F.lit(None).cast(_SPAN_ARRAY).alias("functions"),
-    )
-    for handler, languages in by_handler.items():
-        index = index.unionByName(handler(files.filter(F.col("language").isin(*languages))))
-    return index
+    languages_of: dict[Handler | None, list[str]] = {}
+    for language in sorted(set(LANGUAGE_BY_SUFFIX.values())):
+        languages_of.setdefault(handlers.get(language), []).append(language)
+    parts = [
+        (handler or unknown_handler)(files.filter(F.col("language").isin(*languages)))
+        for handler, languages in languages_of.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -252,11 +252,25 @@ def explored_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_explored(stored, view(spark, sf_dir, "answers").filter("event_type = 'click'"))
 
 
-@query("SELECT path, content FROM ($code_files) f WHERE NOT starts_with(path, '.git/')")
+@query(
+    f"SELECT path, content, coalesce({_LANGUAGE}, '') AS language FROM ($code_files) f WHERE NOT starts_with(path, '.git/')"
+)
 def snapshot_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files frozen into a snapshot without version control folders."""
     files = view(spark, sf_dir, "code_files").drop("is_symlink")
-    return snapshot.freeze(files, scratch_path(spark, "snapshots"), "s1")
+    frozen = snapshot.freeze(files, scratch_path(spark, "snapshots"), "s1")
+    return frozen.withColumn("language", F.coalesce("language", F.lit("")))
+
+
+@query(
+    f"SELECT path, language, line_count, functions FROM ({INDEX_SQL}) i WHERE path NOT LIKE 'py/%' AND path NOT LIKE 'doc/%' "
+    "AND path NOT LIKE 'web/%'"
+)
+def snapshot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a snapshot, each language read from its own folder."""
+    files = view(spark, sf_dir, "code_files").filter("NOT is_symlink").drop("is_symlink")
+    index = ops.build_index(snapshot.freeze(files, scratch_path(spark, "snapshots"), "s1"))
+    return index.select("path", "language", "line_count", _shown(F.col("functions")).alias("functions"))
 
 
 def _write_pages(pages: DataFrame, root: str) -> None:
@@ -290,7 +304,7 @@ def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as a directory tree with links and bad bytes, then read as a file table."""
     root = scratch_path(spark, "tree")
     pages = view(spark, sf_dir, "text_files").filter("path LIKE 'web/%'")
-    _write_pages(pages, tree._local(root))
+    _write_pages(pages, tree.mounted_path(root))
     return ops.source_files(tree.read_tree(spark, root)).drop("language")
 
 

@@ -143,11 +143,11 @@ def attempt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Bugs stored before: the first run per evidence key among errors of low numbers.
+# Bugs stored before: the first run per evidence key among purchases.
 _STORED = f"""
 SELECT event_id + 1 AS id, candidate_id, probe_path, evidence_key FROM (
   SELECT *, row_number() OVER (PARTITION BY evidence_key ORDER BY event_id) AS seen
-  FROM ({VERDICT_SQL}) v WHERE verdict = 'true_positive' AND event_type = 'error' AND k % 5 < 2) s WHERE seen = 1
+  FROM ({VERDICT_SQL}) v WHERE verdict = 'true_positive' AND event_type = 'purchase') s WHERE seen = 1
 """
 _PROVEN = f"SELECT * FROM ({_SETTLED_FRESH}) s WHERE outcome = 'proven'"
 _NEW_BUGS = f"""
@@ -167,7 +167,7 @@ FROM ({_PROVEN}) p LEFT JOIN ({_NEW_BUGS}) n ON n.evidence_key = p.evidence_key
 
 def stored_bugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     proven = triage(view(spark, sf_dir, "run_log")).filter(
-        "verdict = 'true_positive' AND event_type = 'error' AND k % 5 < 2"
+        "verdict = 'true_positive' AND event_type = 'purchase'"
     )
     first = first_per_key(proven, ["evidence_key"], ["event_id"])
     bugs = first.select((F.col("event_id") + 1).alias("id"), "candidate_id", "probe_path", "evidence_key")

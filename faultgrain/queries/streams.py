@@ -14,7 +14,7 @@ from faultgrain.session import scratch_path
 from faultgrain.sources.ledger import Ledger
 from faultgrain.streaming.attempts import start_verification
 from faultgrain.streaming.intake import start_intake
-from faultgrain.streaming.live_triage import first_evidence
+from faultgrain.streaming.live_triage import first_evidence, keep_state_on_disk
 
 
 @query(
@@ -33,6 +33,7 @@ def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT DISTINCT evidence_key, top_frames FROM ({VERDICT_SQL}) v WHERE verdict = 'true_positive'")
 def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-seen evidence of a streamed run log."""
+    keep_state_on_disk(spark)
     out, checkpoint = scratch_path(spark, "evidence"), scratch_path(spark, "stream")
     found = first_evidence(stream_view(spark, sf_dir, "run_log")).select(
         "evidence_key", F.array_join("top_frames", "|").alias("top_frames")

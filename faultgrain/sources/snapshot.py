@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultgrain.functions.paths import has_part
-from faultgrain.schemas import FILES
+from faultgrain.functions.paths import has_part, language
+from faultgrain.schemas import SNAPSHOT
 
 # Folders kept out of a snapshot: the jobs' own results and version control.
 EXCLUDED = (".faultgrain", ".git")
@@ -17,11 +17,17 @@ def included(files: DataFrame, exclude: tuple[str, ...] = EXCLUDED) -> DataFrame
 
 
 def freeze(files: DataFrame, root: str, snapshot_id: str, exclude: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    """Write ``files`` once as snapshot ``snapshot_id`` and return the copy."""
+    """Write ``files`` once as snapshot ``snapshot_id`` and return the copy.
+
+    The copy is stored by language, so a job for some languages opens only their files.
+    """
     folder = f"{root.rstrip('/')}/{snapshot_id}"
-    included(files, exclude).select("path", "content").write.parquet(folder)
+    kept = included(files, exclude).select("path", "content")
+    by_language = kept.withColumn("language", language(F.col("path")))
+    by_language.write.partitionBy("language").parquet(folder)
     return read_snapshot(files.sparkSession, root, snapshot_id)
 
 
 def read_snapshot(spark: SparkSession, root: str, snapshot_id: str) -> DataFrame:
-    return spark.read.schema(FILES).parquet(f"{root.rstrip('/')}/{snapshot_id}")
+    """``files(path, content, language)`` of a snapshot."""
+    return spark.read.schema(SNAPSHOT).parquet(f"{root.rstrip('/')}/{snapshot_id}")

@@ -23,7 +23,7 @@ _ENTRY = "path string, is_dir boolean"
 _BATCH_BYTES = 16 << 20
 
 
-def _local(root: str) -> str:
+def mounted_path(root: str) -> str:
     """A ``file:`` URI or plain path as a path of the mounted file system."""
     path = root.removeprefix("file:")
     if "://" in path.lstrip("/"):
@@ -67,7 +67,7 @@ def list_tree(spark: SparkSession, root: str, skip_dirs: bool = True) -> DataFra
     Links are not followed; hidden and vendor folders are not entered unless ``skip_dirs``
     is off. One job per level of the tree.
     """
-    root = _local(root)
+    root = mounted_path(root)
     files, folders = None, spark.createDataFrame([("",)], "path string")
     while True:
         level = materialize(_list_level(folders, root, skip_dirs), "tree-level")
@@ -80,7 +80,7 @@ def list_tree(spark: SparkSession, root: str, skip_dirs: bool = True) -> DataFra
 
 def read_tree(spark: SparkSession, root: str, skip_dirs: bool = True) -> DataFrame:
     """``files(path, content)`` with bytes decoded as UTF-8, bad bytes as U+FFFD."""
-    base = _local(root)
+    base = mounted_path(root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultgrain.functions.evidence import Markers
@@ -11,12 +11,20 @@ from faultgrain.operators.triage import triage
 SALTS = 16
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB, not in executor memory."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
 def first_evidence(run_log: DataFrame, markers: Markers = Markers()) -> DataFrame:
     """Proven runs of a streaming run log, one per evidence key (the first to arrive).
 
     Two deduplications: the first per key and salt, so a key holding much of the stream is
     spread over tasks and sends at most SALTS rows to the second, which is per key. State
-    grows with the number of distinct keys.
+    grows with the number of distinct keys; call ``keep_state_on_disk`` first.
     """
     proven = triage(run_log, markers).filter("verdict = 'true_positive'")
     salt = F.pmod(F.xxhash64("candidate_id", "run_id", "step"), F.lit(SALTS))

@@ -81,7 +81,9 @@ def test_tree(spark, tmp_path):
 def test_snapshot_is_a_frozen_copy(spark, tmp_path):
     files = spark.createDataFrame([("a.py", "1"), (".faultgrain/x.py", "2"), ("b/.git/c", "3"), (".github/d", "4")], "path string, content string")
     frozen = snapshot.freeze(files, str(tmp_path), "s1")
-    assert sorted(r.path for r in frozen.collect()) == [".github/d", "a.py"]
+    assert sorted((r.path, r.language) for r in frozen.collect()) == [(".github/d", None), ("a.py", "python")]
+    plan = source_files(frozen).filter("language IN ('python')")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(language" in plan
     with pytest.raises(Exception, match="already exists"):
         snapshot.freeze(files, str(tmp_path), "s1")
 
