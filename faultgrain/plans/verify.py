@@ -32,7 +32,10 @@ def verify(
     """
     candidates, confirmed = ledger.read("open"), ledger.read("confirmed")
     open_candidates = candidates.select(F.col("id").alias("candidate_id"), "verify_attempts")
+    # The log is read once; a batch of a stream goes on in the ledger's own session, where
+    # adaptive execution is not switched off.
     outcomes = lifecycle.run_outcomes(triage(attempts, markers), rewrites, CARRIED)
+    outcomes = materialize(outcomes, "all-outcomes", ledger.spark)
     taking_part = lookup(
         outcomes, open_candidates.select("candidate_id"), ["candidate_id"], ["run_id"], "left_semi"
     )

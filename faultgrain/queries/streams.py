@@ -33,13 +33,19 @@ def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT DISTINCT evidence_key, top_frames FROM ({VERDICT_SQL}) v WHERE verdict = 'true_positive'")
 def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-seen evidence of a streamed run log."""
-    keep_state_on_disk(spark)
     out, checkpoint = scratch_path(spark, "evidence"), scratch_path(spark, "stream")
+    keep_state_on_disk(spark)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    # The state keeps the number of partitions it starts with: one per core.
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     found = first_evidence(stream_view(spark, sf_dir, "run_log")).select(
         "evidence_key", F.array_join("top_frames", "|").alias("top_frames")
     )
     writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).start().awaitTermination()
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return spark.read.schema("evidence_key string, top_frames string").parquet(out)
 
 

@@ -45,12 +45,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/faultgrain/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, spark: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, in the session ``spark`` if given.
 
     Cuts the lineage and fixes results that must not change when a lost executor's
     tasks run again: sampled range bounds, answers of outside services.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (spark or df.sparkSession).read.schema(df.schema).parquet(path)

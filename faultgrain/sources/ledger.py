@@ -28,13 +28,13 @@ class Ledger:
     def __init__(
         self, spark: SparkSession, root: str, tables: Mapping[str, str] = LEDGER_TABLES
     ) -> None:
-        self._spark, self._root, self._tables = spark, root.rstrip("/"), dict(tables)
+        self.spark, self._root, self._tables = spark, root.rstrip("/"), dict(tables)
 
     def _manifest(self) -> DataFrame:
         try:
-            return self._spark.read.schema(_MANIFEST).parquet(f"{self._root}/manifest")
+            return self.spark.read.schema(_MANIFEST).parquet(f"{self._root}/manifest")
         except AnalysisException:  # nothing was committed yet
-            return self._spark.createDataFrame([], _MANIFEST)
+            return self.spark.createDataFrame([], _MANIFEST)
 
     def _current(self) -> tuple[int, dict[str, list[str]]]:
         """The newest version and each table's folders (a handful of rows)."""
@@ -54,8 +54,8 @@ class Ledger:
     def read(self, name: str) -> DataFrame:
         paths = self._current()[1].get(name)
         if not paths:
-            return self._spark.createDataFrame([], self._tables[name])
-        return self._spark.read.schema(self._tables[name]).parquet(*paths)
+            return self.spark.createDataFrame([], self._tables[name])
+        return self.spark.read.schema(self._tables[name]).parquet(*paths)
 
     def candidates(self) -> DataFrame:
         """All candidates, pending and settled."""
@@ -78,7 +78,7 @@ class Ledger:
                 rows.select(*columns).write.parquet(folder)
                 paths[name] = [*paths.get(name, ()), folder] if mode == "append" else [folder]
         rows = [(version, name, folders, tag) for name, folders in paths.items()]
-        entry = self._spark.createDataFrame(rows, _MANIFEST).coalesce(1)
+        entry = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
         entry.write.mode("append").parquet(f"{self._root}/manifest")
         return version
 

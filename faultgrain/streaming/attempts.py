@@ -24,8 +24,9 @@ def start_verification(
     keyed state operator would not. Batches carry whole runs in run order.
     """
 
+    ledger = Ledger(attempts.sparkSession, ledger_root)
+
     def fold(batch: DataFrame, batch_id: int) -> None:
-        ledger = Ledger(batch.sparkSession, ledger_root)
         tag = f"attempts-{batch_id}"
         if not ledger.has_tag(tag):
             verify(ledger, batch, rewrites, budget, tag=tag)

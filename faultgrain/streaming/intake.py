@@ -17,11 +17,13 @@ def start_intake(answers: DataFrame, ledger_root: str, checkpoint: str) -> Strea
     A batch repeated after a failure finds its tag in the ledger and is skipped.
     """
 
+    ledger = Ledger(answers.sparkSession, ledger_root)
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        ledger = Ledger(batch.sparkSession, ledger_root)
         tag = f"intake-{batch_id}"
         if not ledger.has_tag(tag):
-            judged = materialize(judge_issues(batch), "judged")
+            # Read back in the ledger's session: a stream's own has no adaptive execution.
+            judged = materialize(judge_issues(batch), "judged", ledger.spark)
             store_findings(ledger, judged, tag)
 
     return (
