@@ -2,7 +2,9 @@
 
 Two first-order models over the characters of tokens, one of random strings and one of
 ordinary identifiers, are trained from labelled samples: the values that the fixed patterns
-find in the whole corpus, and all its other tokens. A token is a secret if its log-likelihood
+find in the whole corpus, and all its other tokens. Values of hexadecimal digits alone are left
+out, as a pattern finds all of them; a prior of evenly drawn letters and digits stands for
+random strings where values are few. A token is a secret if its log-likelihood
 ratio is high enough in total and per character.
 """
 
@@ -20,7 +22,7 @@ from faultgrain.llm.common import flat, keyed, slices, unkeyed, words
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST, TOKEN_LEAST = 12, 18, 16, 20
-RATIO_LEAST, RATIO_PER_CHARACTER = 12.0, 0.8
+RATIO_LEAST, RATIO_PER_CHARACTER = 12.0, 0.4
 _SAMPLE_LEAST = 6
 
 # The patterns of the base kinds.
@@ -35,6 +37,8 @@ _HEX[list(b"0123456789abcdef")] = True
 _NUMBER = np.zeros(256, np.int64)
 _NUMBER[list(_ALPHABET)] = np.arange(len(_ALPHABET))
 _N = len(_ALPHABET)
+_ALNUM = np.array([chr(c).isalnum() for c in _ALPHABET])
+_PRIOR = np.where(_ALNUM[:, None] & _ALNUM[None, :], 20.0, 2.0).reshape(-1)
 
 
 def _runs(data: np.ndarray, at: np.ndarray, kind: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,6 +85,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = (np.array([x[k] for x in found], np.int64) for k in (4, 5))
         np.add.at(secret, low, 1)
         np.add.at(secret, high, -1)
+        mixed = np.array([not _HEX[data[s:e]].all() for s, e in zip(low, high)], bool)
+        low, high = low[mixed], high[mixed]
         secret = np.cumsum(secret) > 0
         starts, ends, _ = _runs(data, at, _TOKEN, _SAMPLE_LEAST)
         plain = ~secret[starts]
@@ -99,7 +105,7 @@ def train(docs: DataFrame) -> np.ndarray:
     """
     rows = keyed(docs, "text").mapInArrow(_count, "label long, code long, n long")
     total = rows.groupBy("label", "code").agg(F.sum("n").alias("n"))
-    counts = np.full((2, _N * _N), 0.5)
+    counts = np.stack([_PRIOR, np.full(_N * _N, 0.2)])
     for label, code, n in total.collect():
         counts[label, code] += n
     by_first = counts.reshape(2, _N, _N)

@@ -23,13 +23,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultgrain.llm.common import keyed, slices, unkeyed
+from faultgrain.llm.common import flat, hashes, keyed, mixed, owners, parts, slices, unkeyed, windows, words
 from faultgrain.llm.components import components
 from faultgrain.session import materialize
 
 RADIUS, SHINGLE = 3, 3
-SHARD_AIM, SHARD_MOST = 256, 20_000
+SIMILARITY, WIDE_SHINGLE = 0.8, 5
+WIDE_WORDS, BANDS = 8, 48
+SHARD_AIM, SHARD_MOST, BUCKET_ROWS = 256, 20_000, 250_000
 _LEAF = 48
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 # Drawn once: vantage points need only be the same on every machine.
 _VANTAGE = np.random.default_rng(64).integers(0, 1 << 63, 64, dtype=np.int64)
@@ -68,56 +72,111 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(_fingerprints(shingle), "doc_id long, mark long")
 
 
-def links(marks: np.ndarray, radius: int) -> np.ndarray:
-    """Index pairs of a spanning forest of all links among distinct ``marks``, by a vantage-point tree."""
-    parent = np.arange(len(marks))
-    out = []
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
-    def root(i: int) -> int:
+
+class Forest:
+    """Links that join two trees each; the others are left out."""
+
+    def __init__(self, size: int):
+        self.parent, self.links = list(range(size)), []
+
+    def _root(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    def join(a: np.ndarray, b: np.ndarray) -> None:
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
         for i, j in zip(a.tolist(), b.tolist()):
-            x, y = root(i), root(j)
+            x, y = self._root(i), self._root(j)
             if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((i, j))
+                self.parent[max(x, y)] = min(x, y)
+                self.links.append((i, j))
+
+    def pairs(self) -> np.ndarray:
+        return np.array(self.links, np.int64).reshape(-1, 2)
+
 
-    stack = [(np.arange(len(marks)), np.arange(len(marks)))]
+def add_links(forest: Forest, marks: np.ndarray, rows: np.ndarray, radius: int) -> None:
+    """All links among ``rows`` of ``marks`` (one row of words each), found by a vantage-point tree."""
+    stack = [(rows, rows)]
     while stack:
         home, asking = stack.pop()
         if not len(home) or not len(asking):
             continue
         if len(home) > _LEAF:
             point = marks[home[len(home) // 2]]
-            near, far = np.bitwise_count(marks[home] ^ point), np.bitwise_count(marks[asking] ^ point)
+            near, far = _distance(marks[home], point), _distance(marks[asking], point)
             middle = int(np.partition(near, len(near) // 2)[len(near) // 2])
-            inside = near < middle if (near < middle).any() else near <= middle
             edge = middle - 1 if (near < middle).any() else middle
-            if inside.any() and not inside.all():
+            inside = near <= edge
+            if not inside.all():
                 stack.append((home[inside], asking[far <= edge + radius]))
-                stack.append((home[~inside], asking[far.astype(np.int64) > edge - radius]))
+                stack.append((home[~inside], asking[far > edge - radius]))
                 continue
         for start in range(0, len(home), _LEAF):
             some = home[start : start + _LEAF]
-            x, y = np.nonzero(np.bitwise_count(marks[some][:, None] ^ marks[asking][None, :]) <= radius)
-            a, b = some[x], asking[y]
-            join(a[a < b], b[a < b])
-            join(b[b < a], a[b < a])
-    return np.array(out, dtype=np.int64).reshape(-1, 2)
-
+            for first in range(0, len(asking), 4096):
+                other = asking[first : first + 4096]
+                x, y = np.nonzero(_distance(marks[some][:, None], marks[other][None]) <= radius)
+                forest.add(some[x], other[y])
+
+
+def _bucket_links(radius: int):
+    """Links inside every shard (or pair of a shard's pieces) of a bucket."""
+
+    def bucket_links(table: pa.Table) -> pa.Table:
+        shard = table["part"].to_numpy()
+        order = np.argsort(shard, kind="stable")
+        shard = shard[order]
+        marks = np.frombuffer(b"".join(table["mark"].to_pylist()), "<u8").reshape(len(shard), -1)[order]
+        docs = table["doc"].to_numpy()
+        # A document may be in several shards of the bucket; the forest is over documents.
+        names, row_doc = np.unique(docs[order], return_inverse=True)
+        forest = Forest(len(names))
+        cuts = np.flatnonzero(np.diff(shard, prepend=~shard[:1], append=~shard[-1:]))
+        size = np.repeat(np.diff(cuts), np.diff(cuts))
+        for apart in range(1, _LEAF):  # small shards all at once, row against the row ``apart`` rows on
+            here = np.flatnonzero((shard[apart:] == shard[:-apart]) & (size[apart:] <= _LEAF))
+            if not len(here):
+                break
+            here = here[_distance(marks[here], marks[here + apart]) <= radius]
+            forest.add(row_doc[here], row_doc[here + apart])
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            if end - start > _LEAF:
+                own = Forest(end - start)
+                add_links(own, marks[start:end], np.arange(end - start), radius)
+                pairs = own.pairs() + start
+                forest.add(row_doc[pairs[:, 0]], row_doc[pairs[:, 1]])
+        pairs = names[forest.pairs()] if len(names) else np.empty((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return bucket_links
+
+
+def shard_links(dealt: DataFrame, radius: int) -> DataFrame:
+    """``dealt(doc, mark, shard)``, marks as words -> ``a, b``: forests of the links inside each shard.
+
+    Shards of one row are dropped, those beyond SHARD_MOST are cut into pieces and every two
+    pieces meet; each is one unit of work, and a task takes many.
+    """
+    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    sizes = sizes.filter(F.col("n") > 1).select("shard", F.ceil(F.col("n") / SHARD_MOST).cast("int").alias("pieces"))
+    own = F.pmod(F.xxhash64("mark"), F.col("pieces")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
+    part = F.xxhash64("shard", "x", "y").alias("part")
+    units = dealt.join(sizes, "shard").select("doc", "mark", "shard", F.inline(met)).select("doc", "mark", part)
+    bucket = F.pmod("part", F.lit(parts(total, BUCKET_ROWS))).alias("bucket")
+    return units.select("doc", "mark", "part", bucket).groupBy("bucket").applyInArrow(_bucket_links(radius), "a long, b long")
 
-def _shard_links(radius: int):
-    def shard_links(table: pa.Table) -> pa.Table:
-        marks, first = np.unique(table["mark"].to_numpy(), return_index=True)
-        docs = table["doc"].to_numpy()[first]
-        pairs = links(marks.view(np.uint64), radius)
-        return pa.table({"a": pa.array(docs[pairs[:, 0]], pa.int64()), "b": pa.array(docs[pairs[:, 1]], pa.int64())})
 
-    return shard_links
+def _bytes_of(mark: str) -> Column:
+    """A long as eight bytes, which keep all distances."""
+    return F.unhex(F.lpad(F.hex(mark), 16, "0"))
 
 
 def _and_rings(names: Column, rings: Column) -> Column:
@@ -146,16 +205,16 @@ def near_links(marks: DataFrame, radius: int = RADIUS, blocks: int | None = None
     blocks = blocks or radius + 1
     total = marks.count()
     levels = max(1, min(24, int(np.ceil(np.log(max(total / SHARD_AIM, 1)) / np.log(5)))))
-    slack = radius // blocks
-    named = F.concat(*(_shards(block, blocks, levels, slack) for block in range(blocks)))
+    named = F.concat(*(_shards(block, blocks, levels, radius // blocks) for block in range(blocks)))
     dealt = marks.select("doc", "mark", F.explode(named).alias("shard"))
-    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    pieces = F.ceil(F.col("n") / SHARD_MOST).cast("int")
-    dealt = dealt.join(sizes.select("shard", pieces.alias("pieces")), "shard")
-    own = F.pmod(F.xxhash64("mark"), F.col("pieces")).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
-    met = dealt.select("doc", "mark", "shard", F.inline(met))
-    return met.groupBy("shard", "x", "y").applyInArrow(_shard_links(radius), "a long, b long")
+    return shard_links(dealt.withColumn("mark", _bytes_of("mark")), radius)
+
+
+def _edges_of(marked: DataFrame, marks: DataFrame) -> DataFrame:
+    """Edges from documents to the first ones with their mark, where a doc_id has several rows and marks."""
+    same = marked.groupBy("doc_id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low != high")
+    several = marked.join(same.select("doc_id"), "doc_id", "left_semi").join(marks, "mark")
+    return several.select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -170,12 +229,99 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     marked = materialize(fingerprints(keyed(docs, "text"), shingle), "fingerprints", spark)
     marks = marked.groupBy("mark").agg(F.min("doc_id").alias("doc"))
     marks = materialize(marks, "distinct-fingerprints", spark)
-    # A doc_id with several rows, hence several fingerprints, links those too.
-    same = marked.groupBy("doc_id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low != high")
-    several = marked.join(same.select("doc_id"), "doc_id", "left_semi").join(marks, "mark")
-    edges = near_links(marks, radius).union(several.select(F.col("doc_id").alias("a"), F.col("doc").alias("b")))
-    found = components(edges)
+    found = components(near_links(marks, radius).union(_edges_of(marked, marks)))
     group = marks.join(found, marks.doc == found.node, "left").select("mark", F.coalesce("component", "doc").alias("component_id"))
     return marked.join(group, "mark").select(
         unkeyed(), F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), unkeyed("component_id")
     )
+
+
+def wide_marks(batch: pa.RecordBatch, shingle: int) -> np.ndarray:
+    """A fingerprint of WIDE_WORDS words for each text, over its word shingles, A-Z lower-cased."""
+    data, at = flat(batch["text"])
+    data = _LOWER[data]
+    starts, ends, first = words(data, at)
+    h = hashes(data, starts, ends)
+    size = np.diff(first)
+    whole = size < shingle  # a shorter text is one shingle
+    owner = owners(first)
+    place = np.flatnonzero((first[owner + 1] - np.arange(len(h)) >= shingle) & ~whole[owner])
+    grams, who = windows(h, shingle)[place], owner[place]
+    short = np.flatnonzero(whole & (size > 0))
+    one = np.array([np.bitwise_xor.reduce(windows(h[first[k] : first[k + 1]], int(size[k]))) for k in short], np.uint64)
+    grams, who = np.concatenate([grams, one]), np.concatenate([who, short])
+    n = np.bincount(who, minlength=batch.num_rows)
+    marks = np.zeros((batch.num_rows, WIDE_WORDS), np.uint64)
+    for word in range(WIDE_WORDS):
+        drawn = mixed(grams + np.uint64(0x9E3779B97F4A7C15 * (word + 1) % (1 << 64)))
+        bits = []
+        for byte in drawn.astype("<u8").view(np.uint8).reshape(-1, 8).T:
+            counts = np.bincount(who * 256 + byte, minlength=256 * batch.num_rows).reshape(-1, 256)
+            bits.append(counts @ _BITS * 2 > n[:, None])
+        marks[:, word] = np.packbits(np.concatenate(bits, axis=1), axis=1, bitorder="little").view("<u8")[:, 0]
+    return marks
+
+
+def _both_fingerprints(shingle: int):
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = batch["text"].cast(pa.large_binary()).to_pylist()
+            marks = np.array([simhash(t or b"") for t in texts], dtype="<u8").view(np.int64)
+            wide = [row.tobytes() for row in wide_marks(batch, shingle).astype("<u8")]
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(marks), pa.array(wide, pa.binary())], names=["doc_id", "mark", "wide"]
+            )
+
+    return both
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every wide fingerprint once for each band of 16 of its bits."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 20_000):
+            part = batch.slice(start, 20_000)
+            data = np.frombuffer(b"".join(part["mark"].to_pylist()), np.uint8).reshape(part.num_rows, -1)
+            for band in range(BANDS):
+                low = 2 * band if band < 4 * WIDE_WORDS else 2 * (band - 4 * WIDE_WORDS) + 1
+                shard = data[:, low].astype(np.int64) | data[:, low + 1].astype(np.int64) << 8 | band << 16
+                yield pa.RecordBatch.from_arrays([part["doc"], part["mark"], pa.array(shard)], names=["doc", "mark", "shard"])
+
+
+def wide_radius(similarity: float) -> int:
+    """How many bits two fingerprints of this Jaccard similarity differ by, and 1.3 standard deviations more."""
+    bits = 64 * WIDE_WORDS
+    chance = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * chance + 1.3 * np.sqrt(bits * chance * (1 - chance)))
+
+
+def similar_links(marks: DataFrame, similarity: float) -> DataFrame:
+    """``marks(doc, mark)``, distinct wide fingerprints -> ``a, b``: forests of links of at least this similarity."""
+    return shard_links(marks.mapInArrow(_bands, "doc long, mark binary, shard long"), wide_radius(similarity))
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """Each document's group of near copies: ``doc_id, component_id``, the smallest doc_id in reach.
+
+    Two documents are linked if ``near_duplicates`` links them, or if their wide fingerprints, over
+    shingles of ``shingle`` words, are as close as ``similarity`` or more makes them. Texts this alike differ by too many
+    bits for 64 to tell: the wide fingerprint has 64 * WIDE_WORDS, and a tree for each of its
+    BANDS of 16 bits, of which two such texts share one in 97 of 100 cases at the threshold itself and
+    almost surely above 0.85. Odd rows are treated as in ``near_duplicates``.
+    """
+    spark = docs.sparkSession
+    layout = "doc_id long, mark long, wide binary"
+    marked = materialize(keyed(docs, "text").mapInArrow(_both_fingerprints(shingle), layout), "fingerprints", spark)
+    nodes = materialize(marked.groupBy("mark", "wide").agg(F.min("doc_id").alias("doc")), "distinct-fingerprints", spark)
+    marks = materialize(nodes.groupBy("mark").agg(F.min("doc").alias("doc")), "distinct-fingerprints", spark)
+    same = nodes.join(marks.withColumnRenamed("doc", "first"), "mark").select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    several = marked.join(nodes, ["mark", "wide"]).filter("doc_id != doc")
+    twice = marked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    several = several.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    wide = nodes.groupBy(F.col("wide").alias("mark")).agg(F.min("doc").alias("doc"))
+    edges = near_links(marks).union(similar_links(wide.select("doc", "mark"), similarity)).union(same).union(several)
+    edges = edges.union(
+        nodes.join(wide.select(F.col("mark").alias("wide"), F.col("doc").alias("first")), "wide").select("doc", "first")
+    )
+    found = components(edges)
+    group = nodes.join(found, nodes.doc == found.node, "left").select("mark", "wide", F.coalesce("component", "doc").alias("component_id"))
+    return marked.join(group, ["mark", "wide"]).select(unkeyed(), unkeyed("component_id"))
