@@ -14,6 +14,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -22,12 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultgrain.llm.common import keyed, slices, unkeyed
+from faultgrain.llm.common import flat, keyed, slices, unkeyed
 from faultgrain.session import materialize
 
 CAPACITY = 2048
-RANK_ROWS = 50_000
-WORD_CACHE = 500_000
+RANK_ROWS, RANK_SHARES = 5_000, 4096
+WORD_CACHE = 300_000
+
+_LETTER, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_PLAIN[0x21:0x7F] = True
+_PLAIN[ord("'")] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -39,8 +47,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordIds:
     """The ids of whole texts, tokenized word by word.
 
-    The tokenizer's own rules never join characters across a blank or a line feed, so texts are
-    cut there and each distinct word is encoded once while it stays in a cache of bounded size.
+    The tokenizer's own rules never join characters across a blank or a line feed, nor an ASCII
+    letter with ASCII punctuation other than an apostrophe or with a digit, and fold A-Z. So
+    texts are folded and cut there, and each distinct word is encoded once while it stays in a cache of
+    bounded size. Texts that might hold a special token, which is found before all that, are only cut
+    at blanks and line feeds.
     """
 
     def __init__(self, path: str, end: int = 0):
@@ -48,6 +59,11 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core already
         self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.model = self.tokenizer.model
+        # The characters that name bytes in the vocabulary: printable ones themselves, the others from 256 on.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.byte_names = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
         self._clear()
 
     def _clear(self) -> None:
@@ -62,14 +78,43 @@ class WordIds:
             self._clear()
             new = list(words)
         self.number.update(zip(new, range(len(self.size), len(self.size) + len(new))))
-        fresh = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.flat = np.concatenate([self.flat, np.array([i for ids in fresh for i in ids], np.uint32)])
-        self.size = np.concatenate([self.size, np.array([len(ids) for ids in fresh], np.int64)])
+        ids, sizes = [self.flat], [self.size]
+        for start in range(0, len(new), 2000):
+            fresh = [self._ids(word) for word in new[start : start + 2000]]
+            ids.append(np.array([i for one in fresh for i in one], np.uint32))
+            sizes.append(np.array([len(one) for one in fresh], np.int64))
+        self.flat, self.size = np.concatenate(ids), np.concatenate(sizes)
         self.begin = np.cumsum(self.size) - self.size
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def _ids(self, word: str) -> list[int]:
+        """A word's ids; one of Latin letters alone is a single piece and goes to the model at once."""
+        small = word.lower()
+        if small.isalpha() and max(small) < "\u0250":
+            coded = small if small.isascii() else "".join(map(self.byte_names.__getitem__, small.encode()))
+            return [token.id for token in self.model.tokenize(coded)]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    @staticmethod
+    def _split(texts: pa.Array) -> list[list[str]]:
+        data, at = flat(texts)
+        if not len(data):
+            return [[""] for _ in texts]
+        special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        letter, plain = _LETTER[data], _PLAIN[data]
+        cut = (letter[1:] != letter[:-1]) & plain[1:] & plain[:-1]
+        folded = _LOWER[data]
+        for text in np.unique(np.searchsorted(at, special, "right") - 1).tolist():
+            here = slice(at[text], at[text + 1])
+            cut[here], folded[here] = False, data[here]
+        places = np.flatnonzero(cut) + 1
+        folded = np.insert(folded, places, 0x20)
+        at = at + np.searchsorted(places, at, "right")
+        whole = folded.tobytes()
+        return [whole[a:b].decode().replace("\n", " ").split(" ") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Each text's ids and the end id; the texts' words are learnt together."""
-        split = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        split = self._split(texts)
         self._learn(set().union(*split))
         for own in split:
             at = np.array([self.number[w] for w in own], np.int64)
@@ -82,12 +127,18 @@ class WordIds:
             yield out
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One encoder a Python worker, for all its tasks."""
+    return WordIds(path)
+
+
 def _pieces(path: str, capacity: int, with_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(path)
+        encoder = word_ids(path)
         for batch in slices(batches):
             rows = []
-            for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(batch["text"].to_pylist())):
+            for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(batch["text"])):
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
                     rows.append((doc, piece, start, len(own), zlib.crc32(own.tobytes()), own.tolist() if with_ids else None))
@@ -206,7 +257,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = cut.sparkSession
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    spread = max(1, sum(counts.values()) // RANK_ROWS)
+    spread = max(1, min(sum(counts.values()) // RANK_ROWS, RANK_SHARES))
     share = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(spread)).cast("int")
     dealt = cut.withColumn("_share", share)
     before = Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
