@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 # A null doc_id stands for one document that comes after all others.
 NULL_ID = (1 << 63) - 1
@@ -68,13 +68,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in pieces of about SLICE_BYTES of ``column``."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of about ``most`` bytes of ``column``."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+        group = np.cumsum(sizes, dtype=np.int64) // most
         cuts = np.flatnonzero(np.diff(group)) + 1
         for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(start, end - start)

@@ -26,7 +26,7 @@ from faultgrain.llm.common import flat, hashes, keyed, owners, parts, slices, te
 WIDTH = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WIDTH - PERIOD + 1
-GROUP_BYTES = 32 << 20
+GROUP_BYTES, ASKING_BYTES = 32 << 20, 8 << 20
 
 _COVERED = np.isin(np.arange(PERIOD), COVER)
 _SENT = "bucket int, docs binary, sent binary"
@@ -105,9 +105,9 @@ def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def _ask_anchors(buckets: int) -> Callable:
+def _ask_anchors(buckets: int, most: int) -> Callable:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=most):
             s = _Slice(batch)
             place, h = s.anchors()
             h, docs, group, low, high = _groups(h, s.docs[s.owner[place]])
@@ -120,9 +120,9 @@ def _ask_anchors(buckets: int) -> Callable:
     return ask
 
 
-def _ask_windows(buckets: int) -> Callable:
+def _ask_windows(buckets: int, most: int) -> Callable:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=most):
             s = _Slice(batch)
             place, h = s.anchors()
             place = place[np.isin(s.pairs(s.owner[place], h), s.told(batch["told"]))]
@@ -185,18 +185,18 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, slice_bytes: int = ASKING_BYTES) -> DataFrame:
     """Every document without the words of windows that a smaller doc_id has: ``doc_id, n_words, n_removed, kept``.
 
-    Windows are judged on the input. ``kept`` joins the words left by one space. Texts of
+    A hash is sent once for every ``slice_bytes`` of text. Windows are judged on the input. ``kept`` joins the words left by one space. Texts of
     under 13 words, empty and null ones lose nothing. Rows of one doc_id count as one document
     for the comparison and are answered row by row; rows without doc_id count as one
     document after all others. An empty table gives no rows.
     """
     docs = keyed(docs, "text")
     buckets = parts(text_bytes(docs), GROUP_BYTES)
-    shared = _round(docs.mapInArrow(_ask_anchors(buckets), _SENT), lambda docs, low, high: low < high)
+    shared = _round(docs.mapInArrow(_ask_anchors(buckets, slice_bytes), _SENT), lambda docs, low, high: low < high)
     near = docs.join(shared, "doc_id")
-    later = _round(near.mapInArrow(_ask_windows(buckets), _SENT), lambda docs, low, high: docs > low)
+    later = _round(near.mapInArrow(_ask_windows(buckets, slice_bytes), _SENT), lambda docs, low, high: docs > low)
     told = docs.join(later, "doc_id", "left")
     return told.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept string").withColumn("doc_id", unkeyed())

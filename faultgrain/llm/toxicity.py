@@ -32,7 +32,7 @@ THRESHOLD = 0.7
 HELD_OUT_FOLD = 1
 CALIBRATE_EVERY = 4
 _BEGINNINGS = (4, 6, 8)
-_FLUSH = 2_000_000
+_FLUSH = 500_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True

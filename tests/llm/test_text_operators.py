@@ -50,13 +50,9 @@ def test_substrings(odd, tables, both, which):
     assert Counter(map(tuple, got)) == plain_substrings(both[which])
 
 
-def test_substrings_in_small_slices(odd, both, monkeypatch, spark):
-    from faultgrain.llm import common
-
+def test_substrings_in_small_slices(odd, both):
     spread = odd.repartition(9, "text")
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(common, "SLICE_BYTES", 200)
-        got = substrings.remove_repeats(spread).select("doc_id", "n_words", "n_removed", "kept").collect()
+    got = substrings.remove_repeats(spread, slice_bytes=200).select("doc_id", "n_words", "n_removed", "kept").collect()
     assert Counter(map(tuple, got)) == plain_substrings(both[0])
 
 
