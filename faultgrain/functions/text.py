@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 # ``\s``), word characters (``\w``), decimal digits (``\d``) and line ends
 # (``str.splitlines``).
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 LINE_END_CHARS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
@@ -26,7 +30,7 @@ def not_blank(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """``str.strip()``: white space of any kind off both ends."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def decode_utf8(raw: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from faultgrain.operators.contracts import Contract
 from faultgrain.operators.rules import Rule
+from faultgrain.plans.prefilter import wanted_only
 from faultgrain.session import materialize
 
 
@@ -24,6 +25,9 @@ class Client(Protocol):
         """The service's text for one prompt."""
 
 
+# Answers handed on together; prompts may be whole files.
+ROWS_AT_ONCE = 16
+
 # Built once per partition, on the executor.
 ClientFactory = Callable[[], Client]
 
@@ -56,14 +60,16 @@ def ask(prompts: DataFrame, factory: ClientFactory) -> DataFrame:
                 return None, f"{type(problem).__name__}: {problem}"
 
         for batch in batches:
-            answers = [answer(prompt) for prompt in batch["prompt"]]
-            yield pd.DataFrame(
-                {
-                    "key": batch["key"],
-                    "text": pd.Series([a for a, _ in answers], dtype=object),
-                    "failure": pd.Series([f for _, f in answers], dtype=object),
-                }
-            )
+            for start in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.iloc[start : start + ROWS_AT_ONCE].reset_index(drop=True)
+                answers = [answer(prompt) for prompt in part["prompt"]]
+                yield pd.DataFrame(
+                    {
+                        "key": part["key"],
+                        "text": pd.Series([a for a, _ in answers], dtype=object),
+                        "failure": pd.Series([f for _, f in answers], dtype=object),
+                    }
+                )
 
     key_type = dict(prompts.dtypes)["key"]
     return prompts.select("key", "prompt").mapInPandas(
@@ -98,6 +104,8 @@ def complete(
     it ends the job.
     """
     key_and_prompt = prompts.select("key", "prompt")
+    if retries:  # a retry must not build all prompts again for a few rows
+        key_and_prompt = materialize(key_and_prompt, "prompts")
     open_prompts, results = key_and_prompt, None
     for attempt in range(1, retries + 2):
         if parallel_calls:
@@ -119,7 +127,7 @@ def complete(
         rejected = judged.filter(again).select("key", "error")
         if last_try or rejected.isEmpty():
             break
-        open_prompts = key_and_prompt.join(rejected, "key")
+        open_prompts = wanted_only(key_and_prompt, "key", rejected, "key").join(rejected, "key")
         if shape is not None:
             added = F.concat("prompt", feedback_on(F.col("error"), shape))
             open_prompts = open_prompts.withColumn("prompt", added)
@@ -134,8 +142,20 @@ def complete_by_stage(
     shapes: Mapping[str, str],
     **options: object,
 ) -> DataFrame:
-    """Route each prompt to the client of its ``stage``; the routing is fixed, never a fallback."""
-    results = None
+    """Route each prompt to the client of its ``stage``; the routing is fixed, never a fallback.
+
+    Prompts of a stage without client, or of none, come back after no attempt, with a ``failure``.
+    """
+    stage_name = F.coalesce(F.col("stage"), F.lit("(none)"))
+    results = prompts.filter(~F.coalesce(F.col("stage").isin(*factories), F.lit(False))).select(
+        "key",
+        F.lit(0).alias("attempts"),
+        F.lit(False).alias("ok"),
+        F.lit(None).cast("string").alias("payload"),
+        F.lit(None).cast("string").alias("error"),
+        F.concat(F.lit("no client for stage "), stage_name).alias("failure"),
+        "stage",
+    )
     for stage, factory in factories.items():
         answered = complete(
             prompts.filter(F.col("stage") == stage),
@@ -144,5 +164,5 @@ def complete_by_stage(
             shapes[stage],
             **options,
         ).withColumn("stage", F.lit(stage))
-        results = answered if results is None else results.unionByName(answered)
+        results = results.unionByName(answered)
     return results

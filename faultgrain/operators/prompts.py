@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultgrain.functions import paths, weakness
@@ -12,6 +12,7 @@ from faultgrain.operators.complete import ClientFactory, complete
 from faultgrain.operators.contracts import AUDIT_SHAPE, ISSUES_SHAPE, PROBE_SHAPE, judge_text
 from faultgrain.operators.first_wins import latest_per_key
 from faultgrain.operators.ids import assign_ids
+from faultgrain.plans.prefilter import wanted_only
 from faultgrain.plans.skew import lookup
 from faultgrain.session import materialize
 
@@ -24,6 +25,10 @@ OVERVIEW_TASK = (
     "laid out, where callers enter it and where bugs are likely. Answer with the document only.\n\n"
     "Files:\n"
 )
+MERGE_TASK = (
+    "The texts below describe parts of one source tree, in order. Write one short Markdown document "
+    "about the whole tree. Answer with the document only.\n\n"
+)
 
 
 def span_names(functions: Column) -> Column:
@@ -40,11 +45,11 @@ def listing_line(path: Column, language: Column, lines: Column, functions: Colum
     )
 
 
-def corpus_listing(index: DataFrame) -> DataFrame:
+def corpus_listing(index: DataFrame, part_lines: int | None = None) -> DataFrame:
     """The listing of each corpus as ordered parts (corpus_id, part, text).
 
     Joined by newlines in ``part`` order the parts are the whole listing. A part holds at
-    most PART_LINES files, so a corpus with most of all files is still spread over tasks.
+    most ``part_lines`` files, PART_LINES if not given, so a corpus with most of all files is still spread over tasks.
     """
     lines = index.select(
         "corpus_id",
@@ -53,47 +58,74 @@ def corpus_listing(index: DataFrame) -> DataFrame:
     )
     # Numbering samples its input before it sorts it; write it once instead of indexing twice.
     numbered = assign_ids(materialize(lines, "listing"), ["corpus_id", "_order"], column="_n")
-    part = F.floor((F.col("_n") - 1) / PART_LINES).alias("part")
+    part = F.floor((F.col("_n") - 1) / (part_lines or PART_LINES)).alias("part")
     ordered = F.sort_array(F.collect_list(F.struct("_n", "line")))
     return numbered.groupBy("corpus_id", part).agg(
         F.array_join(F.transform(ordered, lambda row: row.line), "\n").alias("text")
     )
 
 
-def overview_prompts(
-    parts: DataFrame, max_chars: int = MAX_PROMPT_CHARS
-) -> tuple[DataFrame, DataFrame]:
-    """Prompts (corpus_id, prompt) for listings that fit one text value, and the ids of the rest.
+def _pieces(texts: DataFrame, order: str, task: str, max_chars: int) -> DataFrame:
+    """The texts of each corpus, in order, as prompts (corpus_id, piece, pieces, prompt).
 
-    The rest stays whole in ``parts``.
+    A piece takes texts until the next would make it longer than ``max_chars``-character steps
+    allow; a longer single text is a piece of its own. Only the texts' lengths are ordered per corpus.
     """
-    sizes = parts.groupBy("corpus_id").agg(F.sum(F.length("text") + 1).alias("_chars"))
-    fitting = sizes.filter(F.col("_chars") <= max_chars).select("corpus_id")
-    ordered = F.sort_array(F.collect_list(F.struct("part", "text")))
-    listing = F.array_join(F.transform(ordered, lambda row: row.text), "\n")
-    prompts = (
-        parts.join(fitting, "corpus_id", "left_semi")
-        .groupBy("corpus_id")
-        .agg(F.concat(F.lit(OVERVIEW_TASK), listing).alias("prompt"))
+    texts = texts.select("corpus_id", F.col(order).alias("_at"), "text")
+    before = Window.partitionBy("corpus_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.length("text") + 1).over(before)
+    steps = texts.select("corpus_id", "_at", F.floor((end - 1) / max_chars).alias("_step"))
+    numbered = steps.select(
+        "corpus_id", "_at", F.dense_rank().over(Window.partitionBy("corpus_id").orderBy("_step")).alias("piece")
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("_at", "text")))
+    joined = F.array_join(F.transform(ordered, lambda row: row.text), "\n")
+    pieces = texts.join(numbered, ["corpus_id", "_at"]).groupBy("corpus_id", "piece").agg(
+        F.concat(F.lit(task), joined).alias("prompt")
     )
-    return prompts, sizes.filter(F.col("_chars") > max_chars).select("corpus_id")
+    counts = numbered.groupBy("corpus_id").agg(F.max("piece").alias("pieces"))
+    return pieces.join(counts, "corpus_id").select("corpus_id", "piece", "pieces", "prompt")
+
+
+def overview_prompts(parts: DataFrame, max_chars: int = MAX_PROMPT_CHARS) -> DataFrame:
+    """Prompts (corpus_id, piece, pieces, prompt) of all corpora; a long listing has several.
+
+    ``max_chars`` bounds the listing in a prompt, but no part of a listing is cut.
+    """
+    return _pieces(parts, "part", OVERVIEW_TASK, max_chars)
 
 
 def load_or_generate(
-    existing: DataFrame, prompts: DataFrame, factory: ClientFactory, fail_fast: bool = True
+    existing: DataFrame,
+    prompts: DataFrame,
+    factory: ClientFactory,
+    fail_fast: bool = True,
+    max_chars: int = MAX_PROMPT_CHARS,
 ) -> DataFrame:
     """The overview of each corpus (corpus_id, overview): the stored one unless it is blank.
 
-    A missing one is asked for twice at most; a broken call counts as a try. A corpus
-    still without one fails the job, or stays NULL without ``fail_fast``.
+    A missing one is asked for twice at most; a broken call counts as a try. Where a corpus has several
+    pieces, each is asked for and then one overview of the answers, in as many rounds as it takes. A
+    corpus still without one fails the job, or stays NULL without ``fail_fast``.
     """
     stored = existing.filter(not_blank(F.col("overview"))).select("corpus_id", "overview")
-    missing = prompts.join(stored, "corpus_id", "left_anti").withColumnRenamed("corpus_id", "key")
-    answers = complete(missing, factory, judge_text, retries=1, retry_failures=True)
-    generated = answers.select(F.col("key").alias("corpus_id"), F.col("payload").alias("overview"))
-    if fail_fast and (lost := generated.filter("overview IS NULL").first()):
-        raise RuntimeError(f"no overview of corpus {lost.corpus_id} after two tries")
-    return stored.unionByName(generated)
+    done, asked = stored, materialize(prompts.join(stored, "corpus_id", "left_anti"), "overview-prompts")
+    while not asked.isEmpty():
+        named = asked.withColumn("key", F.to_json(F.struct("corpus_id", "piece")))
+        answers = complete(named, factory, judge_text, retries=1, retry_failures=True)
+        told = named.drop("prompt").join(answers.select("key", F.col("payload").alias("text")), "key")
+        told = materialize(told.select("corpus_id", "piece", "pieces", "text"), "overview-pieces")
+        lost = told.filter("text IS NULL").select("corpus_id").distinct()
+        if fail_fast and (first := lost.first()):
+            raise RuntimeError(f"no overview of corpus {first.corpus_id} after two tries")
+        whole = told.filter("pieces = 1").select("corpus_id", F.col("text").alias("overview"))
+        several = lost.join(told.filter("pieces > 1").select("corpus_id").distinct(), "corpus_id")
+        done = done.unionByName(whole).unionByName(several.withColumn("overview", F.lit(None).cast("string")))
+        rest = told.filter("pieces > 1").join(lost, "corpus_id", "left_anti")
+        # At least two answers a prompt, so that every round has fewer pieces.
+        most = rest.agg(F.max(F.length("text"))).first()[0] or 0
+        asked = materialize(_pieces(rest, "piece", MERGE_TASK, max(max_chars, 2 * most + 2)), "overview-prompts")
+    return done
 
 
 def _fill(*pieces: Column | str) -> Column:
@@ -165,11 +197,10 @@ def audit_prompt(overview: Column) -> Column:
 def with_source(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """Candidates with the ``content`` of their file; NULL content means no audit is possible.
 
-    Contents cross the shuffle once, only for files with candidates, and a file with very
-    many candidates is spread over tasks.
+    Files without candidates are dropped before the exchange, but for a few that share a hash bucket
+    with one, and a file with very many candidates is spread over tasks.
     """
-    wanted = candidates.select(F.col("file").alias("path")).distinct()
-    sources = files.join(wanted, "path", "left_semi").select(F.col("path").alias("file"), "content")
+    sources = wanted_only(files, "path", candidates, "file").select(F.col("path").alias("file"), "content")
     return lookup(candidates, sources, ["file"], ["id"])
 
 

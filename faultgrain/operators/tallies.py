@@ -5,20 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The outcome classes of a verification run, in report order.
-OUTCOMES = (
-    "confirmed",
-    "rejected",
-    "duplicate",
-    "audit_rejected",
-    "generator_refused",
-    "pending",
-    "setup_failure",
-    "inconclusive",
-    "failure",
-)
-
-
 def _counted(rows: DataFrame, metric: str) -> DataFrame:
     return rows.select("run_id", F.lit(metric).alias("metric"))
 

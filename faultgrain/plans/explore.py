@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from faultgrain.operators import contracts, corpus, first_wins, prompts, tallies
 from faultgrain.operators.complete import ClientFactory, complete
 from faultgrain.operators.ids import assign_ids, next_id
+from faultgrain.plans.prefilter import wanted_only
 from faultgrain.session import materialize
 from faultgrain.sources.ledger import Ledger
 
 
 def explore_prompts(tasks: DataFrame, files: DataFrame, overview: Column) -> DataFrame:
-    """Prompts (key = path, prompt). Only tasks' contents cross the shuffle."""
-    with_text = tasks.join(files.select("path", "content"), "path")
+    """Prompts (key = path, prompt). Files that are no task are dropped before the exchange, but for a few."""
+    with_text = tasks.join(wanted_only(files.select("path", "content"), "path", tasks, "path"), "path")
     return with_text.select(F.col("path").alias("key"), prompts.explore_prompt(overview).alias("prompt"))
 
 
@@ -45,18 +46,18 @@ def explore(
     """Explore the files not explored yet and store what the answers report.
 
     Returns the run's tallies. A file whose answers all failed stays unexplored. With
-    ``fail_fast`` a broken call ends the job before anything is stored.
+    ``fail_fast`` a broken call ends the job once all good answers are stored.
     """
     index = materialize(corpus.build_index(files), "index")
     tasks = corpus.plan_tasks(index, scope)
     explored = ledger.read("explored")
     todo = corpus.pending_tasks(tasks, explored)
     asked = explore_prompts(todo, files, F.lit(overview))
-    answers = complete(
-        asked, factory, contracts.judge_issues, contracts.ISSUES_SHAPE, retries, fail_fast=fail_fast
-    )
+    answers = complete(asked, factory, contracts.judge_issues, contracts.ISSUES_SHAPE, retries)
     judged = answers.select(F.col("key").alias("file"), F.col("payload").alias("json"), "ok")
     offered, new = store_findings(ledger, judged)
+    if fail_fast and (broken := answers.filter("failure IS NOT NULL").first()):
+        raise RuntimeError(f"{broken.key}: {broken.failure}")
     in_run = lambda rows: rows.withColumn("run_id", F.lit(run_id))
     skipped = corpus.skipped_tasks(tasks, explored)
     return tallies.exploration_tallies(

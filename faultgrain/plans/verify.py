@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,13 @@ def verify(
     budget: int = lifecycle.ATTEMPT_BUDGET,
     markers: Markers = Markers(),
     tag: str = "",
+    also: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Fold the attempts of pending candidates into the ledger.
 
     Returns one row per (candidate, run) that took part: outcome, reason and bug. The
     candidates and the confirmed bugs change in one commit, which rewrites only what was
-    pending.
+    pending, and gives the tables of ``also`` a new content.
     """
     candidates, confirmed = ledger.read("open"), ledger.read("confirmed")
     open_candidates = candidates.select(F.col("id").alias("candidate_id"), "verify_attempts")
@@ -48,7 +51,7 @@ def verify(
     updated = lifecycle.apply_updates(candidates, lifecycle.status_updates(final), ends)
     check_references(bugs, candidates)
     still_open, closed = split_by_status(materialize(updated, "candidates"))
-    ledger.commit(append={"confirmed": bugs, "closed": closed}, replace={"open": still_open}, tag=tag)
+    ledger.commit(append={"confirmed": bugs, "closed": closed}, replace={"open": still_open, **(also or {})}, tag=tag)
     return final
 
 

@@ -11,6 +11,7 @@ from faultgrain.operators import contracts, prompts
 from faultgrain.operators.complete import Client, RuleClient, complete, complete_by_stage
 from faultgrain.operators.corpus import plan_tasks
 from faultgrain.plans.explore import explore_prompts
+from faultgrain.plans.probe import make_probes
 from faultgrain.queries.corpus import TASKS_SQL, _all_files, file_index_table
 from faultgrain.queries.ledger import LABEL_SQL
 from faultgrain.queries.registry import query
@@ -76,13 +77,12 @@ _AUDIT_TEXT = (
 
 
 @query(
-    f"SELECT c.id, coalesce(concat('AUDIT the probe for ', {_FINDING_SQL}, {_sql_text(_AUDIT_TEXT)}, 'run(', c.id, ')', chr(10), '```', "
-    "chr(10), chr(10), 'Source of ', file, ':', chr(10), '```', chr(10), f.content || chr(10), '```'), '') AS prompt, "
+    "SELECT c.id, CASE WHEN f.content IS NULL THEN '' "
+    f"ELSE concat('AUDIT the probe for ', {_FINDING_SQL}, {_sql_text(_AUDIT_TEXT)}, 'run(', c.id, ')', chr(10), '```', "
+    "chr(10), chr(10), 'Source of ', file, ':', chr(10), '```', chr(10), f.content || chr(10), '```') END AS prompt, "
     "f.content IS NULL AS unavailable FROM ($candidates) c LEFT JOIN "
     "(SELECT concat('src/f', o_orderkey * 2, '.c') AS path, concat('int x', o_custkey, ';') AS content FROM orders) f "
-    "ON f.path = c.file".replace("coalesce(concat(", "CASE WHEN f.content IS NULL THEN '' ELSE concat(").replace(
-        "'```'), '') AS prompt", "'```') END AS prompt"
-    )
+    "ON f.path = c.file"
 )
 def audit_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit prompts with the target source; without a source there is no audit."""
@@ -106,7 +106,7 @@ def _overview_client() -> Client:
                 raise ConnectionError("no answer")
             return super().complete(prompt)
 
-    return Describer([("doc/src7/", " \n"), ("doc/src3/", "tree three")], default="a tree")
+    return Describer([("doc/src7/", " \n"), ("doc/src3/", "tree three"), ("tree three", "tree three")], default="a tree")
 
 
 @query(
@@ -126,9 +126,10 @@ def overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sizes = documents.groupBy(F.col("source").alias("corpus_id")).agg(F.count("*").alias("n"))
     stored = F.when(F.col("n") % 4 == 0, F.concat(F.lit("stored "), "n")).otherwise(" \t")
-    asked, _ = prompts.overview_prompts(prompts.corpus_listing(index))
+    # No listing fits this bound whole, so each is asked for in pieces and the answers once more.
+    asked = prompts.overview_prompts(prompts.corpus_listing(index, part_lines=3), 200)
     found = prompts.load_or_generate(
-        sizes.select("corpus_id", stored.alias("overview")), asked, _overview_client, fail_fast=False
+        sizes.select("corpus_id", stored.alias("overview")), asked, _overview_client, fail_fast=False, max_chars=200
     )
     return found.withColumn("overview", F.coalesce("overview", F.lit("")))
 
@@ -166,11 +167,12 @@ def batch_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT event_type AS stage, count(*) AS n, count(*) FILTER (WHERE event_type = 'view' OR event_type = 'click' AND k % 2 = 0) AS valid,
-  CAST(max(CASE WHEN event_type = 'click' AND k % 2 = 1 THEN 2 ELSE 1 END) AS INT) AS attempts
-FROM ($ev) e WHERE event_type IN ('view', 'click') GROUP BY event_type"""
+  CAST(max(CASE WHEN event_type NOT IN ('view', 'click') THEN 0 WHEN event_type = 'click' AND k % 2 = 1 THEN 2 ELSE 1 END) AS INT) AS attempts,
+  max(CASE WHEN event_type IN ('view', 'click') THEN '' ELSE concat('no client for stage ', event_type) END) AS failure
+FROM ($ev) e GROUP BY event_type"""
 )
 def stage_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two stages with a client and a contract each."""
+    """Two stages with a client and a contract each; the other event types have none."""
     events = view(spark, sf_dir, "ev").select(
         F.col("event_id").alias("key"), F.col("event_type").alias("stage"), F.concat(F.lit("number "), F.col("k") % 2).alias("prompt")
     )
@@ -185,5 +187,53 @@ def stage_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
         retries=1,
     )
     return answers.groupBy("stage").agg(
-        F.count("*").alias("n"), F.count_if("ok").alias("valid"), F.max("attempts").alias("attempts")
+        F.count("*").alias("n"),
+        F.count_if("ok").alias("valid"),
+        F.max("attempts").alias("attempts"),
+        F.max(F.coalesce("failure", F.lit(""))).alias("failure"),
+    )
+
+
+def _author() -> Client:
+    """Writes and judges probes by the number in the target's file name."""
+
+    class Author:
+        def complete(self, prompt: str) -> str:
+            number = int(prompt.split("candidate in file src/f")[1].split(".")[0])
+            kind = number % 7
+            if prompt.startswith("PROBE"):
+                if kind == 0:
+                    return '{"refuse":true,"reason":"no way in"}'
+                if kind == 1:
+                    return "hm"
+                version = 2 if "turned down" in prompt else 1
+                return '{"interpreter":["sh"],"script":"PROBE_SETUP_OK PROBE_REACHED v%d"}' % version
+            if kind == 2 or (kind == 3 and "v1" in prompt):
+                return '{"verdict":"invalid","feedback":"expects the bug"}'
+            return "?" if kind == 4 else '{"verdict":"ok","feedback":""}'
+
+    return Author()
+
+
+@query(
+    """WITH known AS (SELECT c.id, CAST(regexp_extract(c.file, '[0-9]+', 0) AS INT) % 7 AS kind, f.path IS NOT NULL AS held
+  FROM ($candidates) c LEFT JOIN (SELECT DISTINCT concat('src/f', o_orderkey * 2, '.c') AS path FROM orders) f ON f.path = c.file)
+SELECT id AS candidate_id,
+  CASE WHEN kind = 0 THEN 'refused' WHEN kind = 1 THEN 'generate_failed' WHEN NOT held OR kind = 4 THEN 'audit_unavailable'
+       WHEN kind = 2 THEN 'audit_invalid,audit_invalid,audit_invalid' WHEN kind = 3 THEN 'audit_invalid,audit_ok'
+       ELSE 'audit_ok' END AS steps,
+  CASE WHEN kind IN (0, 1, 2, 4) OR NOT held THEN '' WHEN kind = 3 THEN 'PROBE_SETUP_OK PROBE_REACHED v2'
+       ELSE 'PROBE_SETUP_OK PROBE_REACHED v1' END AS script
+FROM known"""
+)
+def probe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates to audited probes: what happened to each, and the script that may run."""
+    files = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("src/f"), F.col("o_orderkey") * 2, F.lit(".c")).alias("path"),
+        F.concat(F.lit("int x"), F.col("o_custkey"), F.lit(";")).alias("content"),
     )
+    probes, steps = make_probes(view(spark, sf_dir, "candidates"), files, _author, _OVERVIEW)
+    ordered = F.sort_array(F.collect_list(F.struct("step", "kind")))  # a run has a handful of steps
+    shown = steps.groupBy("candidate_id").agg(F.array_join(F.transform(ordered, lambda s: s.kind), ",").alias("steps"))
+    found = shown.join(probes.select("candidate_id", "script"), "candidate_id", "left")
+    return found.select("candidate_id", "steps", F.coalesce("script", F.lit("")).alias("script"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from faultgrain.bindings import table, view
 from faultgrain.functions import paths
 from faultgrain.functions.text import line_count
-from faultgrain.operators import corpus as ops, prompts, spans
+from faultgrain.operators import contracts, corpus as ops, prompts, spans
 from faultgrain.operators.first_wins import mark_explored
 from faultgrain.operators.ids import assign_ids
 from faultgrain.queries.registry import query
@@ -241,35 +241,31 @@ def resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT DISTINCT file FROM ($answers) a WHERE event_type = 'click' AND file NOT IN "
+    "SELECT DISTINCT file FROM ($answers) a WHERE (event_type IN ('click', 'error') OR (event_type = 'view' AND k % 4 IN (0, 2)) "
+    "OR (event_type = 'signup' AND k % 5 = 4)) AND file NOT IN "
     "(SELECT concat('src/f', s_suppkey * 3, '.c') FROM supplier)"
 )
 def explored_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files to add to a stored explored set."""
+    """Files whose answer is valid, to be added to a stored explored set."""
     stored = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("src/f"), F.col("s_suppkey") * 3, F.lit(".c")).alias("file")
     )
-    return mark_explored(stored, view(spark, sf_dir, "answers").filter("event_type = 'click'"))
+    return mark_explored(stored, contracts.judge_issues(view(spark, sf_dir, "answers")).filter("ok"))
 
 
 @query(
-    f"SELECT path, content, coalesce({_LANGUAGE}, '') AS language FROM ($code_files) f WHERE NOT starts_with(path, '.git/')"
+    f"SELECT path, content, coalesce({_LANGUAGE}, '') AS language FROM {_ALL_FILES} f WHERE NOT starts_with(path, '.git/')"
 )
 def snapshot_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files frozen into a snapshot without version control folders."""
-    files = view(spark, sf_dir, "code_files").drop("is_symlink")
-    frozen = snapshot.freeze(files, scratch_path(spark, "snapshots"), "s1")
+    """All files frozen into a snapshot, without links and version control folders."""
+    frozen = snapshot.freeze(_all_files(spark, sf_dir), scratch_path(spark, "snapshots"), "s1")
     return frozen.withColumn("language", F.coalesce("language", F.lit("")))
 
 
-@query(
-    f"SELECT path, language, line_count, functions FROM ({INDEX_SQL}) i WHERE path NOT LIKE 'py/%' AND path NOT LIKE 'doc/%' "
-    "AND path NOT LIKE 'web/%'"
-)
+@query(f"SELECT path, language, line_count, functions FROM ({INDEX_SQL}) i")
 def snapshot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of a snapshot, each language read from its own folder."""
-    files = view(spark, sf_dir, "code_files").filter("NOT is_symlink").drop("is_symlink")
-    index = ops.build_index(snapshot.freeze(files, scratch_path(spark, "snapshots"), "s1"))
+    index = ops.build_index(snapshot.freeze(_all_files(spark, sf_dir), scratch_path(spark, "snapshots"), "s1"))
     return index.select("path", "language", "line_count", _shown(F.col("functions")).alias("functions"))
 
 

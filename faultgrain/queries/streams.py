@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultgrain.bindings import stream_view, view
+from faultgrain.bindings import stream_view, table, view
 from faultgrain.operators.first_wins import first_per_key
 from faultgrain.queries.lifecycle import _SETTLED_FRESH
 from faultgrain.queries.registry import query
 from faultgrain.queries.triage import VERDICT_SQL
 from faultgrain.session import scratch_path
 from faultgrain.sources.ledger import Ledger
-from faultgrain.streaming.attempts import start_verification
+from faultgrain.streaming.attempts import finish_verification, start_verification
 from faultgrain.streaming.intake import start_intake
-from faultgrain.streaming.live_triage import first_evidence, keep_state_on_disk
+from faultgrain.streaming.live_triage import STATE_STORE, first_evidence, keep_state_on_disk
 
 
 @query(
@@ -34,6 +34,7 @@ def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-seen evidence of a streamed run log."""
     out, checkpoint = scratch_path(spark, "evidence"), scratch_path(spark, "stream")
+    provider = spark.conf.get(STATE_STORE)
     keep_state_on_disk(spark)
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     # The state keeps the number of partitions it starts with: one per core.
@@ -46,6 +47,7 @@ def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
         writer.trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set(STATE_STORE, provider)
     return spark.read.schema("evidence_key string, top_frames string").parquet(out)
 
 
@@ -60,7 +62,7 @@ _OUTCOME_STATUS = (
     f"FROM ({_SETTLED_FRESH}) s GROUP BY candidate_id"
 )
 def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts streamed against candidates' budgets; proven means confirmed or duplicate."""
+    """Attempts streamed in three batches that cut runs; proven means confirmed or duplicate."""
     root, checkpoint = scratch_path(spark, "ledger"), scratch_path(spark, "stream")
     events = view(spark, sf_dir, "ev")
     first = first_per_key(events, ["user_id"], ["event_id"])
@@ -77,8 +79,18 @@ def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("verify_attempts"),
     )
     Ledger(spark, root).commit(append={"open": candidates})
-    attempts = stream_view(spark, sf_dir, "attempts")
-    start_verification(attempts, root, checkpoint).awaitTermination()
+    folder = scratch_path(spark, "split-events")
+    day = F.dayofmonth("ts")
+    half = F.col("event_id") % 2 == 0  # the runs of days 10 and 20 are cut in two
+    events = table(spark, sf_dir, "events").withColumn(
+        "_file", (day > 10).cast("int") + (day > 20).cast("int") + (day.isin(10, 20) & half).cast("int")
+    )
+    for number in range(3):
+        arrived = events.filter(F.col("_file") == number).drop("_file")
+        arrived.write.mode("append").parquet(f"{folder}/events.parquet")
+        attempts = stream_view(spark, folder, "attempts")
+        start_verification(attempts, root, checkpoint).awaitTermination()
+    finish_verification(Ledger(spark, root))
     status = F.when(F.col("status").isin("confirmed", "duplicate"), "proven").otherwise(F.col("status"))
     return Ledger(spark, root).candidates().select(
         "id", status.alias("status"), F.col("verify_attempts").alias("attempts")

@@ -25,6 +25,10 @@ RUN_LOG = (
 ATTEMPTS = (
     "candidate_id BIGINT, run_id INT, step INT, kind STRING, detail STRING"
 )
+LOGGED_ATTEMPTS = (
+    f"{ATTEMPTS}, exit_code INT, timed_out BOOLEAN, "
+    "stdout STRING, stderr STRING, workdir STRING, probe_path STRING"
+)
 CALLS = "request_id BIGINT, seq INT, status STRING"
 
 # The life of a candidate.
@@ -32,4 +36,11 @@ CANDIDATE_STATUSES = ("pending", "rejected", "confirmed", "duplicate", "inconclu
 
 # Candidates are kept in two tables: pending ones, which a verification rewrites, and
 # settled ones, which only grow.
-LEDGER_TABLES = {"open": CANDIDATES, "closed": CANDIDATES, "confirmed": CONFIRMED, "explored": EXPLORED}
+# ``waiting`` holds the steps of runs that a stream has not seen the end of.
+LEDGER_TABLES = {
+    "open": CANDIDATES,
+    "closed": CANDIDATES,
+    "confirmed": CONFIRMED,
+    "explored": EXPLORED,
+    "waiting": LOGGED_ATTEMPTS,
+}

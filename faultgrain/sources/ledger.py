@@ -33,7 +33,9 @@ class Ledger:
     def _manifest(self) -> DataFrame:
         try:
             return self.spark.read.schema(_MANIFEST).parquet(f"{self._root}/manifest")
-        except AnalysisException:  # nothing was committed yet
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], _MANIFEST)
 
     def _current(self) -> tuple[int, dict[str, list[str]]]:

@@ -13,7 +13,9 @@ EXCLUDED = (".faultgrain", ".git")
 
 
 def included(files: DataFrame, exclude: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    return files.filter(~has_part(F.col("path"), exclude))
+    """``files`` outside the excluded folders; links are left out, as a copy has no place for them."""
+    kept = files.filter(~has_part(F.col("path"), exclude))
+    return kept.filter(~F.coalesce("is_symlink", F.lit(False))) if "is_symlink" in files.columns else kept
 
 
 def freeze(files: DataFrame, root: str, snapshot_id: str, exclude: tuple[str, ...] = EXCLUDED) -> DataFrame:

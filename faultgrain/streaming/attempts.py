@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from faultgrain.operators.lifecycle import ATTEMPT_BUDGET, REWRITE_BUDGET
+from faultgrain.plans.skew import lookup
 from faultgrain.plans.verify import verify
+from faultgrain.session import materialize
 from faultgrain.sources.ledger import Ledger
 
 
+def _by_end(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Steps of runs that a later run of their candidate follows, and the steps of the last runs."""
+    last = steps.groupBy("candidate_id").agg(F.max("run_id").alias("last_run"))
+    known = lookup(steps, last, ["candidate_id"], ["run_id", "step"])
+    ended = F.col("run_id") < F.col("last_run")
+    return known.filter(ended).drop("last_run"), known.filter(~ended).drop("last_run")
+
+
 def start_verification(
     attempts: DataFrame,
     ledger_root: str,
@@ -17,11 +28,12 @@ def start_verification(
     rewrites: int = REWRITE_BUDGET,
     budget: int = ATTEMPT_BUDGET,
 ) -> StreamingQuery:
-    """Fold each batch of whole runs into the ledger.
+    """Fold the runs into the ledger as they end; ``finish_verification`` folds the last ones.
 
-    The ledger is the state: it holds every candidate's status and attempt count, survives
-    any executor, and the fold keeps a busy candidate's rows spread over tasks, which a
-    keyed state operator would not. Batches carry whole runs in run order.
+    The ledger is the state: it holds every candidate's status and attempt count, and the steps
+    of each candidate's last run, which the next batch may go on with. It survives any executor, and
+    the fold keeps a busy candidate's rows spread over tasks, which a keyed state operator would
+    not. A candidate's runs have to arrive in run order; batches may cut them anywhere.
     """
 
     ledger = Ledger(attempts.sparkSession, ledger_root)
@@ -29,7 +41,10 @@ def start_verification(
     def fold(batch: DataFrame, batch_id: int) -> None:
         tag = f"attempts-{batch_id}"
         if not ledger.has_tag(tag):
-            verify(ledger, batch, rewrites, budget, tag=tag)
+            waiting = ledger.read("waiting")
+            new = materialize(batch.select(*waiting.columns), "attempts", ledger.spark)
+            ended, waiting = _by_end(waiting.unionByName(new))
+            verify(ledger, ended, rewrites, budget, tag=tag, also={"waiting": waiting})
 
     return (
         attempts.writeStream.foreachBatch(fold)
@@ -37,3 +52,9 @@ def start_verification(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def finish_verification(ledger: Ledger, rewrites: int = REWRITE_BUDGET, budget: int = ATTEMPT_BUDGET) -> DataFrame:
+    """Fold the runs still waiting for more steps: no more will come."""
+    waiting = ledger.read("waiting")
+    return verify(ledger, waiting, rewrites, budget, also={"waiting": waiting.limit(0)})

@@ -10,7 +10,7 @@ from faultgrain.plans.verify import summarise, verify
 from faultgrain.operators.complete import RuleClient
 from faultgrain.schemas import CANDIDATES
 from faultgrain.sources.ledger import Ledger, in_id_order
-from faultgrain.streaming.attempts import start_verification
+from faultgrain.streaming.attempts import finish_verification, start_verification
 from faultgrain.streaming.intake import start_intake
 from faultgrain.streaming.live_triage import first_evidence
 
@@ -71,13 +71,14 @@ def test_scoped_runs_compose(spark, tmp_path):
     assert counts(explore(ledger, files(spark), quiet).first())[:2] == (2, 1)
 
 
-def test_a_broken_service_stores_nothing(spark, tmp_path):
+def test_a_broken_service_keeps_the_good_answers(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path))
-    mute = lambda: RuleClient([("calc", "[]")])
+    mute = lambda: RuleClient([("calc", REPORTS)])
     with pytest.raises(RuntimeError):
         explore(ledger, files(spark), mute)
-    assert ledger.version == 0
-    assert counts(explore(ledger, files(spark), mute, fail_fast=False).first()) == (3, 0, 0, 0, 2)
+    assert ledger.candidates().count() == 2
+    assert [r.file for r in ledger.read("explored").collect()] == ["calc.py"]
+    assert counts(explore(ledger, files(spark), mute, fail_fast=False).first()) == (2, 1, 0, 0, 2)
 
 
 def seeded(spark, root, count=6):
@@ -123,6 +124,19 @@ def test_verification_changes_both_tables_at_once(spark, tmp_path):
     assert (summary.files, summary.probes, summary.run_id) == (3, 3, 1)
 
 
+def test_a_run_may_be_cut_by_batches(spark, tmp_path):
+    steps = [run(1, 1, n, kind="audit_invalid") for n in (1, 2, 3)] + [run(None, 1, 1), run(2, 1, 1, "", "", 1)]
+    source = str(tmp_path / "attempts")
+    ledger = seeded(spark, tmp_path / "ledger", 2)
+    for batch in (steps[:2], steps[2:]):
+        spark.createDataFrame(batch, ATTEMPT).coalesce(1).write.mode("append").parquet(source)
+        attempts = spark.readStream.schema(ATTEMPT).parquet(source)
+        start_verification(attempts, str(tmp_path / "ledger"), str(tmp_path / "ck")).awaitTermination()
+        assert states(ledger)[1] == ("pending", 0)
+    finish_verification(ledger)
+    assert states(ledger) == {1: ("rejected", 0), 2: ("pending", 1)}
+
+
 def test_streams(spark, tmp_path):
     """Attempts and answers arriving in batches leave the ledger one batch would."""
     log = [
@@ -136,6 +150,9 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(batch, ATTEMPT).coalesce(1).write.mode("append").parquet(source)
         attempts = spark.readStream.schema(ATTEMPT).parquet(source)
         start_verification(attempts, str(tmp_path / "streamed"), str(tmp_path / "ck1")).awaitTermination()
+    assert states(streamed)[1] == ("pending", 2)
+    finish_verification(streamed)
+    assert streamed.read("waiting").count() == 0
     verify(whole, spark.read.parquet(source))
     assert states(streamed) == states(whole) == {
         1: ("inconclusive", 3), 2: ("confirmed", 0), 3: ("duplicate", 0), 4: ("rejected", 0), 5: ("pending", 0), 6: ("pending", 0),

@@ -27,10 +27,22 @@ def test_listing_parts_join_to_the_whole(spark, monkeypatch):
         monkeypatch.setattr(prompts, "PART_LINES", part_lines)
         parts = prompts.corpus_listing(index(spark).withColumn("corpus_id", F.lit("c")))
         assert "\n".join(r.text for r in parts.orderBy("part").collect()) == expected
-        (prompt,) = prompts.overview_prompts(parts)[0].collect()
-        assert prompt.prompt == prompts.OVERVIEW_TASK + expected
-    fitting, rest = prompts.overview_prompts(parts, max_chars=10)
-    assert fitting.count() == 0 and [r.corpus_id for r in rest.collect()] == ["c"]
+        (prompt,) = prompts.overview_prompts(parts).collect()
+        assert prompt.prompt == prompts.OVERVIEW_TASK + expected and prompt.pieces == 1
+    single = prompts.corpus_listing(index(spark).withColumn("corpus_id", F.lit("c")), part_lines=1)
+    pieces = prompts.overview_prompts(single, max_chars=10).orderBy("piece").collect()
+    assert [(r.piece, r.pieces) for r in pieces] == [(1, 3), (2, 3), (3, 3)]
+    assert "\n".join(r.prompt.removeprefix(prompts.OVERVIEW_TASK) for r in pieces) == expected
+
+
+def test_a_long_listing_still_gets_an_overview(spark):
+    rows = [(f"d/{c}{i}.c", "c", 1, [], c) for c in "ab" for i in range(9)] + [("e/z.c", "c", 1, [], "z")]
+    index_ = spark.createDataFrame(rows, FILE_INDEX + ", corpus_id string")
+    asked = prompts.overview_prompts(prompts.corpus_listing(index_, part_lines=1), max_chars=40)
+    none = spark.createDataFrame([], "corpus_id string, overview string")
+    client = lambda: RuleClient([("all of a", "all of a"), ("d/a", "about a"), ("about a", "all of a"), ("d/b4", " "), ("d/b", "about b")], default="small")
+    found = prompts.load_or_generate(none, asked, client, fail_fast=False, max_chars=30)
+    assert {r.corpus_id: r.overview for r in found.collect()} == {"a": "all of a", "b": None, "z": "small"}
 
 
 def test_explore_prompt_tells_unknown_from_none(spark):
@@ -45,7 +57,7 @@ def test_explore_prompt_tells_unknown_from_none(spark):
 
 def test_overview_is_loaded_or_generated(spark):
     existing = spark.createDataFrame([("have", "kept "), ("blank", " \n")], "corpus_id string, overview string")
-    asked = spark.createDataFrame([("have", "p have"), ("blank", "p blank"), ("new", "p new")], "corpus_id string, prompt string")
+    asked = spark.createDataFrame([(c, 1, 1, f"p {c}") for c in ("have", "blank", "new")], "corpus_id string, piece int, pieces int, prompt string")
     client = lambda: RuleClient([("blank", "fresh"), ("new", "made")])
     found = prompts.load_or_generate(existing, asked, client)
     assert {r.corpus_id: r.overview for r in found.collect()} == {"have": "kept ", "blank": "fresh", "new": "made"}
