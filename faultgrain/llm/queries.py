@@ -75,7 +75,96 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _template_rows() -> str:
+    rows = []
+    for number, template in enumerate([*licenses.BASE, *licenses.MORE]):
+        own = template.words.split()
+        for place, word in enumerate(own):
+            key = place < (template.key or len(own))
+            rows.append(f"({number}, '{template.label}', {number < len(licenses.BASE)}, {place}, '{word}', {key})")
+    return ", ".join(rows)
+
+
+_LICENSE_SQL = f"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+places AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM texts),
+templates(t, label, base, place, word, key) AS (VALUES {_template_rows()}),
+sizes AS (SELECT t, count(*) AS words, count(*) FILTER (key) AS keys FROM templates GROUP BY t),
+hits AS (SELECT doc_id, t, label, base, pos - place AS start, count(*) AS n, count(*) FILTER (key) AS k
+  FROM places JOIN templates USING (word) GROUP BY ALL),
+found AS (SELECT doc_id, t, label, base, count(*) AS n, min(start) AS low, max(start) AS high, sum(h.n) / (any_value(words) * count(*)) AS share
+  FROM hits h JOIN sizes USING (t) WHERE k = keys AND start >= 0 GROUP BY doc_id, t, label, base)
+SELECT doc_id, any_value(len(w)) AS n_words, CAST(coalesce(sum(n) FILTER (base), 0) AS BIGINT) AS n_base,
+  min(low) FILTER (base) AS first_word, max(high) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND share >= {licenses.LEAST_SCORE}), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share >= {licenses.LEAST_SCORE}), '') AS labels,
+  coalesce(max(share), 0.0) AS score
+FROM texts LEFT JOIN found USING (doc_id) GROUP BY doc_id"""
+
+
+def _host_sql(url: str) -> str:
+    return f"coalesce(translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '')"
+
+
+def _path_sql(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _key_sql(url: str) -> str:
+    host = f"regexp_replace({_host_sql(url)}, '^(www\\.|m\\.)', '')"
+    return f"CASE WHEN {host} <> '' THEN concat({host}, regexp_replace({_path_sql(url)}, '(/index\\.html?|\\.html?|/+)$', '')) END"
+
+
+def _rule_sql(column: int) -> str:
+    cases = []
+    for rule in sorted(urls.RULES, key=lambda r: (-len(r.host + r.path), r.verdict)):
+        fits = f"(host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}')"
+        cases.append(f"WHEN {fits} THEN '{(rule.host + rule.path, rule.verdict)[column]}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+_CANONICAL = """(?is)(<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>)"""
+_HREF = """(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)"""
+_REFRESH = """(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*\\burl\\s*=\\s*["'']?([^"''>\\s]+)"""
+
+_URL_SQL = f"""
+WITH RECURSIVE linked AS (SELECT url, unnest([regexp_extract(regexp_extract(html, '{_CANONICAL}', 1), '{_HREF}', 1),
+  regexp_extract(html, '{_REFRESH}', 1)]) AS link FROM pages),
+absolute AS (SELECT url, CASE WHEN contains(link, '://') THEN link
+  WHEN starts_with(link, '//') THEN concat(regexp_extract(url, '(?s)^(.*?:)//', 1), link)
+  WHEN starts_with(link, '/') THEN concat(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), link) END AS link FROM linked WHERE link <> ''),
+pairs AS (SELECT {_key_sql("url")} AS a, {_key_sql("link")} AS b FROM absolute),
+edges AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b),
+reach AS (SELECT a AS node, a AS other FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
+named AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+split AS (SELECT page_id, {_host_sql("url")} AS host, {_path_sql("url")} AS path, {_key_sql("url")} AS node FROM pages),
+judged AS (SELECT page_id, host, path, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS own, coalesce(component, s.node) AS alias_of
+  FROM split s LEFT JOIN named n ON n.node = s.node),
+spread AS (SELECT alias_of, bool_or(own = 'block') AND NOT coalesce(bool_or(own = 'allow'), FALSE) AS blocked FROM judged GROUP BY alias_of)
+SELECT page_id, host, path, rule, j.alias_of,
+  coalesce(own, CASE WHEN j.alias_of IS NOT NULL AND blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN spread s ON s.alias_of = j.alias_of"""
+
+_SUBSTRING_SQL = """
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM texts),
+spans AS (SELECT doc_id, pos, array_to_string(w[pos : pos + 12], ' ') AS key FROM starts),
+firsts AS (SELECT key, min(doc_id) AS low FROM spans GROUP BY key),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM spans JOIN firsts USING (key), range(13) r(k) WHERE doc_id > low),
+places AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM texts),
+judged AS (SELECT p.doc_id, p.pos, word, g.pos IS NOT NULL AS gone FROM places p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.pos = p.pos),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS line FROM judged GROUP BY doc_id)
+SELECT t.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id"""
+
 ORACLES: dict[str, str] = {
+    "op1_license_scans": _LICENSE_SQL,
+    "op2_url_filters": _URL_SQL,
+    "op5_substring_dedup": _SUBSTRING_SQL,
     "op6_line_dedup": f"""
 WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 split AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM texts),

@@ -5,13 +5,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from faultgrain.llm import chunks, components, decontaminate, packing, simhash, toxicity, urls
+from faultgrain.llm import chunks, components, decontaminate, packing, queries, simhash, toxicity, urls
 
 LAST = (1 << 63) - 1
 
@@ -166,6 +167,12 @@ def test_blocks_reach_aliases(spark):
         (None, None, link.format("http://bad.com/de/x")),
     ]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+        con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+        stated = con.sql(queries.ORACLES["op2_url_filters"])
+        stated = sorted(map(repr, stated.select(*got.columns).fetchall()))
+    assert sorted(repr(tuple(r)) for r in got.collect()) == stated
     got = sorted((r["page_id"] or 0, r["verdict"], r["alias_of"]) for r in got.collect())
     # 6 is an alias of a blocked page, but also of one that a rule allows.
     assert got == [

@@ -97,13 +97,17 @@ def sorted_like(rows):
     return list(Counter(rows).elements())
 
 
-def test_lines_agree_with_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_agree_with_sql(spark, name):
     folder = "/root/testdata/sf0.01"
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
-    want = con.sql(queries.ORACLES["op6_line_dedup"])
-    got = queries.op6_line_dedup(spark, folder)
-    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+    with duckdb.connect() as con:
+        for table in ("documents", "pages"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+        want = con.sql(queries.ORACLES[name])
+        got = queries.QUERIES[name](spark, folder)
+        assert sorted(got.columns) == sorted(want.columns)
+        rows = sorted(map(tuple, got.select(*want.columns).collect()), key=repr)
+        assert rows == sorted(want.fetchall(), key=repr)
 
 
 def test_runs_over_batches(spark):
