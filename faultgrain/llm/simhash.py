@@ -157,19 +157,21 @@ def _bucket_links(radius: int):
     return bucket_links
 
 
-def shard_links(dealt: DataFrame, radius: int) -> DataFrame:
+def shard_links(dealt: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
     """``dealt(doc, mark, shard)``, marks as words -> ``a, b``: forests of the links inside each shard.
 
-    Shards of one row are dropped, those beyond SHARD_MOST are cut into pieces and every two
-    pieces meet; each is one unit of work, and a task takes many.
+    ``sizes(shard, n)`` counts the shards' rows, in any number of parts. Shards beyond SHARD_MOST are cut
+    into pieces and every two pieces meet; each is one unit of work, and a task takes many. The
+    large shards are stored first, so that Spark knows how few they are and the rows are shuffled once.
     """
-    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("shard").agg(F.sum("n").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    sizes = sizes.filter(F.col("n") > 1).select("shard", F.ceil(F.col("n") / SHARD_MOST).cast("int").alias("pieces"))
+    large = sizes.filter(F.col("n") > SHARD_MOST).select("shard", F.ceil(F.col("n") / SHARD_MOST).cast("int").alias("cut"))
+    dealt = dealt.join(materialize(large, "large-shards"), "shard", "left").withColumn("pieces", F.coalesce("cut", F.lit(1)))
     own = F.pmod(F.xxhash64("mark"), F.col("pieces")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
     part = F.xxhash64("shard", "x", "y").alias("part")
-    units = dealt.join(sizes, "shard").select("doc", "mark", "shard", F.inline(met)).select("doc", "mark", part)
+    units = dealt.select("doc", "mark", "shard", F.inline(met)).select("doc", "mark", part)
     bucket = F.pmod("part", F.lit(parts(total, BUCKET_ROWS))).alias("bucket")
     return units.select("doc", "mark", "part", bucket).groupBy("bucket").applyInArrow(_bucket_links(radius), "a long, b long")
 
@@ -207,7 +209,8 @@ def near_links(marks: DataFrame, radius: int = RADIUS, blocks: int | None = None
     levels = max(1, min(24, int(np.ceil(np.log(max(total / SHARD_AIM, 1)) / np.log(5)))))
     named = F.concat(*(_shards(block, blocks, levels, radius // blocks) for block in range(blocks)))
     dealt = marks.select("doc", "mark", F.explode(named).alias("shard"))
-    return shard_links(dealt.withColumn("mark", _bytes_of("mark")), radius)
+    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"))
+    return shard_links(dealt.withColumn("mark", _bytes_of("mark")), sizes, radius)
 
 
 def _edges_of(marked: DataFrame, marks: DataFrame) -> DataFrame:
@@ -275,16 +278,26 @@ def _both_fingerprints(shingle: int):
     return both
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every wide fingerprint once for each band of 16 of its bits."""
+def _band_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Wide fingerprints with their shard in each band of 16 bits, band by band."""
     for batch in batches:
         for start in range(0, batch.num_rows, 20_000):
             part = batch.slice(start, 20_000)
             data = np.frombuffer(b"".join(part["mark"].to_pylist()), np.uint8).reshape(part.num_rows, -1)
             for band in range(BANDS):
                 low = 2 * band if band < 4 * WIDE_WORDS else 2 * (band - 4 * WIDE_WORDS) + 1
-                shard = data[:, low].astype(np.int64) | data[:, low + 1].astype(np.int64) << 8 | band << 16
-                yield pa.RecordBatch.from_arrays([part["doc"], part["mark"], pa.array(shard)], names=["doc", "mark", "shard"])
+                yield part, data[:, low].astype(np.int64) | data[:, low + 1].astype(np.int64) << 8 | band << 16
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, shard in _band_shards(batches):
+        yield pa.RecordBatch.from_arrays([part["doc"], part["mark"], pa.array(shard)], names=["doc", "mark", "shard"])
+
+
+def _band_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, shard in _band_shards(batches):
+        shard, n = np.unique(shard, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(n)], names=["shard", "n"])
 
 
 def wide_radius(similarity: float) -> int:
@@ -296,7 +309,8 @@ def wide_radius(similarity: float) -> int:
 
 def similar_links(marks: DataFrame, similarity: float) -> DataFrame:
     """``marks(doc, mark)``, distinct wide fingerprints -> ``a, b``: forests of links of at least this similarity."""
-    return shard_links(marks.mapInArrow(_bands, "doc long, mark binary, shard long"), wide_radius(similarity))
+    sizes = marks.mapInArrow(_band_sizes, "shard long, n long")
+    return shard_links(marks.mapInArrow(_bands, "doc long, mark binary, shard long"), sizes, wide_radius(similarity))
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
