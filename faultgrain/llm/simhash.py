@@ -30,7 +30,7 @@ from faultgrain.session import materialize
 RADIUS, SHINGLE = 3, 3
 SIMILARITY, WIDE_SHINGLE = 0.8, 5
 WIDE_WORDS, BANDS = 8, 48
-SHARD_AIM, SHARD_MOST, BUCKET_ROWS = 256, 20_000, 250_000
+SHARD_AIM, SHARD_MOST, BUCKET_ROWS = 256, 20_000, 20_000
 _LEAF = 48
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -100,9 +100,10 @@ class Forest:
         return np.array(self.links, np.int64).reshape(-1, 2)
 
 
-def add_links(forest: Forest, marks: np.ndarray, rows: np.ndarray, radius: int) -> None:
-    """All links among ``rows`` of ``marks`` (one row of words each), found by a vantage-point tree."""
-    stack = [(rows, rows)]
+def tree_links(marks: np.ndarray, radius: int) -> np.ndarray:
+    """Row pairs of a spanning forest of all links among ``marks`` (a row of words each), by a vantage-point tree."""
+    label, out = np.arange(len(marks)), []
+    stack = [(label.copy(), label.copy())]
     while stack:
         home, asking = stack.pop()
         if not len(home) or not len(asking):
@@ -117,12 +118,15 @@ def add_links(forest: Forest, marks: np.ndarray, rows: np.ndarray, radius: int)
                 stack.append((home[inside], asking[far <= edge + radius]))
                 stack.append((home[~inside], asking[far > edge - radius]))
                 continue
-        for start in range(0, len(home), _LEAF):
-            some = home[start : start + _LEAF]
-            for first in range(0, len(asking), 4096):
-                other = asking[first : first + 4096]
-                x, y = np.nonzero(_distance(marks[some][:, None], marks[other][None]) <= radius)
-                forest.add(some[x], other[y])
+        for one in home.tolist():
+            # What is in one component already needs no comparison.
+            other = asking[label[asking] != label[one]]
+            other = other[_distance(marks[other], marks[one]) <= radius]
+            if len(other):
+                apart, first = np.unique(label[other], return_index=True)
+                out += [(one, k) for k in other[first].tolist()]
+                label[np.isin(label, apart)] = label[one]
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def _bucket_links(radius: int):
@@ -147,9 +151,7 @@ def _bucket_links(radius: int):
             forest.add(row_doc[here], row_doc[here + apart])
         for start, end in zip(cuts[:-1], cuts[1:]):
             if end - start > _LEAF:
-                own = Forest(end - start)
-                add_links(own, marks[start:end], np.arange(end - start), radius)
-                pairs = own.pairs() + start
+                pairs = tree_links(marks[start:end], radius) + start
                 forest.add(row_doc[pairs[:, 0]], row_doc[pairs[:, 1]])
         pairs = names[forest.pairs()] if len(names) else np.empty((0, 2), np.int64)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
