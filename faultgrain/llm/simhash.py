@@ -29,7 +29,7 @@ from faultgrain.session import materialize
 
 RADIUS, SHINGLE = 3, 3
 SIMILARITY, WIDE_SHINGLE = 0.8, 5
-WIDE_WORDS, BANDS = 8, 48
+BANDS, BAND_ROWS, PIECE_GRAMS = 32, 6, 400_000
 SHARD_AIM, SHARD_MOST, BUCKET_ROWS = 256, 20_000, 20_000
 _LEAF = 48
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -37,6 +37,9 @@ _LOWER[0x41:0x5B] += 32
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 # Drawn once: vantage points need only be the same on every machine.
 _VANTAGE = np.random.default_rng(64).integers(0, 1 << 63, 64, dtype=np.int64)
+# Odd factors and masks that order the shingles anew for each MinHash value.
+_ORDERS = np.random.default_rng(65).integers(0, 1 << 32, (BANDS * BAND_ROWS, 2), dtype=np.uint32) | np.array([1, 0], np.uint32)
+_SECOND = 0xD6E8FEB86659FD93
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -241,8 +244,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     )
 
 
-def wide_marks(batch: pa.RecordBatch, shingle: int) -> np.ndarray:
-    """A fingerprint of WIDE_WORDS words for each text, over its word shingles, A-Z lower-cased."""
+def _shingles(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word shingle of each text, A-Z lower-cased, and each text's first one (n + 1 numbers)."""
     data, at = flat(batch["text"])
     data = _LOWER[data]
     starts, ends, first = words(data, at)
@@ -253,91 +256,153 @@ def wide_marks(batch: pa.RecordBatch, shingle: int) -> np.ndarray:
     place = np.flatnonzero((first[owner + 1] - np.arange(len(h)) >= shingle) & ~whole[owner])
     grams, who = windows(h, shingle)[place], owner[place]
     short = np.flatnonzero(whole & (size > 0))
-    one = np.array([np.bitwise_xor.reduce(windows(h[first[k] : first[k + 1]], int(size[k]))) for k in short], np.uint64)
+    one = np.array([windows(h[first[k] : first[k + 1]], int(size[k]))[0] for k in short], np.uint64)
     grams, who = np.concatenate([grams, one]), np.concatenate([who, short])
-    n = np.bincount(who, minlength=batch.num_rows)
-    marks = np.zeros((batch.num_rows, WIDE_WORDS), np.uint64)
-    for word in range(WIDE_WORDS):
-        drawn = mixed(grams + np.uint64(0x9E3779B97F4A7C15 * (word + 1) % (1 << 64)))
-        bits = []
-        for byte in drawn.astype("<u8").view(np.uint8).reshape(-1, 8).T:
-            counts = np.bincount(who * 256 + byte, minlength=256 * batch.num_rows).reshape(-1, 256)
-            bits.append(counts @ _BITS * 2 > n[:, None])
-        marks[:, word] = np.packbits(np.concatenate(bits, axis=1), axis=1, bitorder="little").view("<u8")[:, 0]
-    return marks
-
-
-def _both_fingerprints(shingle: int):
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(who, kind="stable")
+    return grams[order], np.searchsorted(who[order], np.arange(batch.num_rows + 1))
+
+
+def minhash_bands(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BANDS keys for each text with shingles: every one a hash of BAND_ROWS smallest values under drawn orders."""
+    keys = np.zeros((BANDS, len(first) - 1), np.uint64)
+    filled = np.flatnonzero(np.diff(first))
+    if not len(filled):
+        return keys.T
+    low = (grams >> np.uint64(32)).astype(np.uint32)
+    for band in range(BANDS):
+        key = np.full(len(filled), band + 1, np.uint64)
+        for row in range(BAND_ROWS):
+            factor, mask = _ORDERS[band * BAND_ROWS + row]
+            ordered = (low ^ mask) * factor
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(ordered ^ (ordered >> np.uint32(15)), first[filled]))
+        keys[band, filled] = key
+    return keys.T
+
+
+def _all_marks(shingle: int):
+    def all_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch["text"].cast(pa.large_binary()).to_pylist()
             marks = np.array([simhash(t or b"") for t in texts], dtype="<u8").view(np.int64)
-            wide = [row.tobytes() for row in wide_marks(batch, shingle).astype("<u8")]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(marks), pa.array(wide, pa.binary())], names=["doc_id", "mark", "wide"]
+            grams, first = _shingles(batch, shingle)
+            n = np.diff(first)
+            # Sums of two hashes of all shingles: texts that share both have the same shingles.
+            sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(g, dtype=np.uint64)]) for g in (grams, mixed(grams ^ np.uint64(_SECOND)))]
+            same = np.stack([s[first[1:]] - s[first[:-1]] for s in sums] + [n.astype(np.uint64)], axis=1)
+            keys = minhash_bands(grams, first).view(np.int64)
+            filled = np.where(n > 0, BANDS, 0)
+            bands = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(filled)]), pa.int32()), pa.array(keys[n > 0].reshape(-1))
             )
+            columns = [batch["doc_id"], pa.array(marks), pa.array([row.tobytes() for row in same], pa.binary()), pa.array(n, pa.int64()), bands]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "same", "n", "bands"])
 
-    return both
+    return all_marks
 
 
-def _band_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Wide fingerprints with their shard in each band of 16 bits, band by band."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 20_000):
-            part = batch.slice(start, 20_000)
-            data = np.frombuffer(b"".join(part["mark"].to_pylist()), np.uint8).reshape(part.num_rows, -1)
-            for band in range(BANDS):
-                low = 2 * band if band < 4 * WIDE_WORDS else 2 * (band - 4 * WIDE_WORDS) + 1
-                yield part, data[:, low].astype(np.int64) | data[:, low + 1].astype(np.int64) << 8 | band << 16
-
+def _distinct_shingles(shingle: int):
+    def distinct_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            grams, first = _shingles(batch, shingle)
+            sets = [np.unique(grams[s:e]).astype("<u8").tobytes() for s, e in zip(first[:-1], first[1:])]
+            columns = [batch[name] for name in ("doc_id", "component", "piece", "cut")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.large_binary())], names=["doc", "component", "piece", "cut", "grams"])
+
+    return distinct_shingles
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Row pairs of a spanning forest of all links among ``sets`` of distinct numbers: those of at least this Jaccard similarity."""
+    size = np.array([len(s) for s in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.empty(0, np.int64)
+    at = np.concatenate([[0], np.cumsum(size)])
+    held = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    label, out = np.arange(len(sets)), []
+    for one in range(len(sets) - 1):
+        # What is in one component already, or differs too much in size, needs no comparison.
+        later, own = size[one + 1 :], size[one]
+        fits = (np.minimum(later, own) >= similarity * np.maximum(later, own) * (1 - 1e-9)) & (later > 0) & (label[one + 1 :] != label[one])
+        other = np.flatnonzero(fits) + one + 1
+        if not len(other):
+            continue
+        held[ids[at[one] : at[one + 1]]] = True
+        hits = held[np.concatenate([ids[at[k] : at[k + 1]] for k in other.tolist()])]
+        shared = np.add.reduceat(hits, np.concatenate([[0], np.cumsum(size[other])[:-1]]), dtype=np.int64)
+        held[ids[at[one] : at[one + 1]]] = False
+        other = other[shared / (own + size[other] - shared) >= similarity]
+        if len(other):
+            apart, nearest = np.unique(label[other], return_index=True)
+            out += [(one, k) for k in other[nearest].tolist()]
+            label[np.isin(label, apart)] = label[one]
+    return np.array(out, np.int64).reshape(-1, 2)
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, shard in _band_shards(batches):
-        yield pa.RecordBatch.from_arrays([part["doc"], part["mark"], pa.array(shard)], names=["doc", "mark", "shard"])
 
+def _alike_in(similarity: float):
+    """Verified links inside every unit of a bucket."""
 
-def _band_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, shard in _band_shards(batches):
-        shard, n = np.unique(shard, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(n)], names=["shard", "n"])
+    def alike_in(table: pa.Table) -> pa.Table:
+        unit = table["unit"].to_numpy()
+        order = np.argsort(unit, kind="stable")
+        docs, sets = table["doc"].to_numpy(), table["grams"].to_pylist()
+        cuts = np.flatnonzero(np.diff(unit[order], prepend=np.int64(0), append=np.int64(0)) != 0)
+        cuts = np.unique(np.concatenate([[0], cuts, [len(order)]]))
+        pairs = [np.empty((0, 2), np.int64)]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            rows = order[start:end]
+            pairs.append(docs[rows[alike([np.frombuffer(sets[k], "<u8") for k in rows], similarity)]].reshape(-1, 2))
+        pairs = np.concatenate(pairs)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
+    return alike_in
 
-def wide_radius(similarity: float) -> int:
-    """How many bits two fingerprints of this Jaccard similarity differ by, and 1.3 standard deviations more."""
-    bits = 64 * WIDE_WORDS
-    chance = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * chance + 1.3 * np.sqrt(bits * chance * (1 - chance)))
 
+def similar_links(docs: DataFrame, sizes: DataFrame, candidates: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``docs(doc_id, text)``, ``sizes(doc_id, n)``, ``candidates(node, component)`` -> ``a, b``.
 
-def similar_links(marks: DataFrame, similarity: float) -> DataFrame:
-    """``marks(doc, mark)``, distinct wide fingerprints -> ``a, b``: forests of links of at least this similarity."""
-    sizes = marks.mapInArrow(_band_sizes, "shard long, n long")
-    return shard_links(marks.mapInArrow(_bands, "doc long, mark binary, shard long"), sizes, wide_radius(similarity))
+    The links have the same components as all pairs of one candidate component whose distinct shingles have at
+    least this Jaccard similarity. A component of more than PIECE_GRAMS shingles is cut into pieces of
+    which every two meet in a unit of their own; each unit compares what no link joins yet.
+    """
+    candidates = candidates.withColumnRenamed("node", "doc_id")
+    total = sizes.join(candidates, "doc_id").groupBy("component").agg(F.sum("n").alias("n"))
+    total = materialize(total.select("component", "n", F.ceil(F.col("n") / PIECE_GRAMS).cast("int").alias("cut")), "candidate-sizes")
+    work = total.agg(F.sum(F.col("n") * F.col("cut"))).first()[0] or 0
+    large = total.filter("cut > 1").select("component", "cut")
+    texts = docs.join(candidates, "doc_id").join(large, "component", "left").withColumn("cut", F.coalesce("cut", F.lit(1)))
+    texts = texts.select("doc_id", "component", F.pmod(F.xxhash64("doc_id", "text"), F.col("cut")).cast("int").alias("piece"), "cut", "text")
+    sets = texts.mapInArrow(_distinct_shingles(shingle), "doc long, component long, piece int, cut int, grams binary")
+    own = F.col("piece")
+    met = F.transform(F.sequence(F.lit(0), F.col("cut") - 1), lambda j: F.struct(F.least(own, j).alias("x"), F.greatest(own, j).alias("y")))
+    units = sets.select("doc", "component", "grams", F.inline(met)).select("doc", "grams", F.xxhash64("component", "x", "y").alias("unit"))
+    bucket = F.pmod("unit", F.lit(parts(work, PIECE_GRAMS))).alias("bucket")
+    return units.select("doc", "grams", "unit", bucket).groupBy("bucket").applyInArrow(_alike_in(similarity), "a long, b long")
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
     """Each document's group of near copies: ``doc_id, component_id``, the smallest doc_id in reach.
 
-    Two documents are linked if ``near_duplicates`` links them, or if their wide fingerprints, over
-    shingles of ``shingle`` words, are as close as ``similarity`` or more makes them. Texts this alike differ by too many
-    bits for 64 to tell: the wide fingerprint has 64 * WIDE_WORDS, and a tree for each of its
-    BANDS of 16 bits, of which two such texts share one in 97 of 100 cases at the threshold itself and
-    almost surely above 0.85. Odd rows are treated as in ``near_duplicates``.
+    Two documents are linked if their distinct shingles of ``shingle`` words (a shorter text is one) have a Jaccard
+    similarity of at least ``similarity``, computed exactly. Fingerprints only find the candidates: what
+    ``near_duplicates`` links, and texts that share one of BANDS MinHash bands of BAND_ROWS values, which two
+    texts of similarity s do with a chance of 1 - (1 - s ** BAND_ROWS) ** BANDS whatever their length, 0.9999 at 0.8.
+    All pairs of a component of candidates are judged. Odd rows are treated as in ``near_duplicates``.
     """
     spark = docs.sparkSession
-    layout = "doc_id long, mark long, wide binary"
-    marked = materialize(keyed(docs, "text").mapInArrow(_both_fingerprints(shingle), layout), "fingerprints", spark)
-    nodes = materialize(marked.groupBy("mark", "wide").agg(F.min("doc_id").alias("doc")), "distinct-fingerprints", spark)
-    marks = materialize(nodes.groupBy("mark").agg(F.min("doc").alias("doc")), "distinct-fingerprints", spark)
-    same = nodes.join(marks.withColumnRenamed("doc", "first"), "mark").select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    several = marked.join(nodes, ["mark", "wide"]).filter("doc_id != doc")
-    twice = marked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    layout = "doc_id long, mark long, same binary, n long, bands array<long>"
+    texts = keyed(docs, "text")
+    marked = materialize(texts.mapInArrow(_all_marks(shingle), layout), "fingerprints", spark)
+    nodes = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("doc")), "distinct-fingerprints", spark)
+    first = marked.join(nodes.withColumnRenamed("doc", "doc_id"), ["same", "doc_id"]).select(F.col("doc_id").alias("doc"), "mark", "bands")
+    first = materialize(first, "first-fingerprints", spark)
+    marks = materialize(first.groupBy("mark").agg(F.min("doc").alias("doc")), "distinct-fingerprints", spark)
+    close = first.join(marks.withColumnRenamed("doc", "least"), "mark").select(F.col("doc").alias("a"), F.col("least").alias("b"))
+    keys = first.select("doc", F.explode("bands").alias("key"))
+    heads = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).filter("least != last")
+    shared = keys.join(heads, "key").select(F.col("doc").alias("a"), F.col("least").alias("b"))
+    candidates = components(near_links(marks).union(close).union(shared).filter("a != b"))
+    several = marked.select("doc_id", "same").join(nodes, "same").filter("doc_id != doc")
+    twice = marked.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
     several = several.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
-    wide = nodes.groupBy(F.col("wide").alias("mark")).agg(F.min("doc").alias("doc"))
-    edges = near_links(marks).union(similar_links(wide.select("doc", "mark"), similarity)).union(same).union(several)
-    edges = edges.union(
-        nodes.join(wide.select(F.col("mark").alias("wide"), F.col("doc").alias("first")), "wide").select("doc", "first")
-    )
-    found = components(edges)
-    group = nodes.join(found, nodes.doc == found.node, "left").select("mark", "wide", F.coalesce("component", "doc").alias("component_id"))
-    return marked.join(group, ["mark", "wide"]).select(unkeyed(), unkeyed("component_id"))
+    found = components(similar_links(texts, marked.select("doc_id", "n"), candidates, similarity, shingle).union(several))
+    group = nodes.join(found, nodes.doc == found.node, "left").select("same", F.coalesce("component", "doc").alias("component_id"))
+    return marked.select("doc_id", "same").join(group, "same").select(unkeyed(), unkeyed("component_id"))

@@ -95,6 +95,43 @@ def test_near_copies(spark):
     assert all(group[d] != d - d % 10 for d, j in want.items() if j < 0.5)
 
 
+def edited_to(pick, low, high, n_words):
+    """Two texts of about this many words whose shingles have a similarity in [low, high)."""
+    while True:
+        w = [f"v{pick.randrange(10**9)}" for _ in range(n_words)]
+        other = list(w)
+        for at in pick.sample(range(n_words), pick.randint(1, max(1, n_words // 12))):
+            other[at] = f"x{pick.randrange(10**9)}"
+        if low <= jaccard(" ".join(w), " ".join(other)) < high:
+            return " ".join(w), " ".join(other)
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    pick, rows = random.Random(12), []
+    for low, high, n_words in ((0.8, 0.82, 300), (0.78, 0.8, 300), (0.75, 0.78, 300), (0.8, 0.85, 120), (0.7, 0.75, 120)):
+        for _ in range(40):
+            rows += [(len(rows) + k, text) for k, text in enumerate(edited_to(pick, low, high, n_words))]
+    for n_words in range(5, 13):  # an end word differs: n - 5 of n - 3 shingles are shared
+        for _ in range(15):
+            w = [f"s{pick.randrange(10**9)}" for _ in range(n_words)]
+            rows += [(len(rows) + k, " ".join([*w[:-1], end])) for k, end in enumerate((w[-1], "other"))]
+    for _ in range(10):  # the same shingles, repeated
+        w = [f"r{pick.randrange(10**9)}" for _ in range(12)]
+        rows += [(len(rows) + k, " ".join(w * (k + 3))) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    text = dict(rows)
+    for d in range(0, len(rows), 2):
+        assert (group[d + 1] == d) == (jaccard(text[d], text[d + 1]) >= 0.8), (d, jaccard(text[d], text[d + 1]))
+
+
+def test_pieces_of_a_candidate_component_lose_no_copy(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE_GRAMS", 500)
+    base = [f"word{i}" for i in range(100)]
+    docs = spark.createDataFrame([(k, " ".join([*base, f"end{k}"])) for k in range(60)], "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.near_copies(docs).collect()} == {0}
+
+
 def test_near_copies_of_odd_rows(odd, odd_rows, empty):
     group = defaultdict(set)
     for r in simhash.near_copies(odd).collect():
