@@ -262,6 +262,18 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, np.ndarray]:
     return model, weights
 
 
+def scored(texts: DataFrame, model: Broadcast, weights: np.ndarray) -> DataFrame:
+    """``texts(doc_id, text)``, doc_id being any long -> ``doc_id, score, mean_ratio, n_words, predicted``, a row each."""
+    layout = "doc_id long, mean_ratio double, expressive double, n long"
+    read = texts.mapInArrow(_features(model), layout)
+    one, *others = (F.lit(float(w)) for w in weights)
+    n = F.col("n").cast("double")
+    design = _design(F.col("mean_ratio"), F.col("expressive"), n, lambda a, b: F.least(a, F.lit(float(b))), F.log1p)
+    score = 1 / (1 + F.exp(-sum((w * x for w, x in zip(others, design)), one)))
+    read = read.select("doc_id", score.alias("score"), "mean_ratio", F.col("n").alias("n_words"))
+    return read.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Each document's ``doc_id, held_out, score, predicted, mean_ratio, n_words``.
 
@@ -270,14 +282,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     doc_id keep it null. If a document has several labels the toxic one counts; labels that are
     neither 0 nor 1 are left out. Without labels every score is 0.5. An empty table gives no rows.
     """
-    model, weights = train(docs, labels)
-    layout = "doc_id long, mean_ratio double, expressive double, n long"
-    scored = keyed(docs, "text").mapInArrow(_features(model), layout).withColumn("doc_id", unkeyed())
-    one, *others = (F.lit(float(w)) for w in weights)
-    n = F.col("n").cast("double")
-    design = _design(F.col("mean_ratio"), F.col("expressive"), n, lambda a, b: F.least(a, F.lit(float(b))), F.log1p)
-    score = 1 / (1 + F.exp(-sum((w * x for w, x in zip(others, design)), one)))
-    scored = scored.select(
-        "doc_id", (fold() == HELD_OUT_FOLD).alias("held_out"), score.alias("score"), "mean_ratio", "expressive", F.col("n").alias("n_words")
-    )
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    judged = scored(keyed(docs, "text"), *train(docs, labels)).withColumn("doc_id", unkeyed())
+    return judged.select("doc_id", (fold() == HELD_OUT_FOLD).alias("held_out"), "score", "mean_ratio", "n_words", "predicted")

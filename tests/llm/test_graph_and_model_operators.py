@@ -448,3 +448,33 @@ def test_pipeline_drops_copies_and_passages(spark, tables):
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, folder).collect()} >= {1, 4, 5}
     assert 2 not in {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, folder).collect()}
     assert {r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, docs, folder).collect()} == {1, 2, 3, 5}
+
+
+def test_pipeline_decides_by_row(spark, tables):
+    item, folder = tables("benchmark").first()["text"], "/root/testdata/sf0.001"
+    one, two = (" ".join(f"{w}{i}" for i in range(100)) for w in ("one", "two"))
+    rows = [
+        (None, one), (None, two), (None, "a clean text without id"), (None, f"An essay. {item} And so on."),
+        (7, one), (7, two), (8, one + " end"), (9, "clean"), (9, f"{item} {item[::-1]}"), (6, "copies of one id"), (6, "copies of one id"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def left(stage):
+        return Counter((r["doc_id"], r["text"]) for r in stage(spark, docs, folder).collect())
+
+    assert left(corpus_pipeline.drop_contaminated) == Counter(r for r in rows if item not in r[1])
+    # Neither the rows without id nor those of 7 join the two texts; a proper id stays before none.
+    gone = [(None, one), (None, two), (8, one + " end"), (6, "copies of one id")]
+    assert left(corpus_pipeline.drop_near_copies) == Counter(rows) - Counter(gone)
+
+
+def test_pipeline_drops_toxic_rows_alone(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "bad words"), (None, "good"), (5, "bad"), (5, "fine")], "doc_id long, text string")
+    monkeypatch.setattr(toxicity, "THRESHOLD", 0.5)
+    labels = [(100 + k, int(k % 2)) for k in range(60)]
+    known = [(d, "bad bad awful" if t else "good fine plain") for d, t in labels]
+    docs = docs.union(spark.createDataFrame(known, "doc_id long, text string"))
+    folder = str(corpus_pipeline.scratch_path(spark, "toxic-test"))
+    spark.createDataFrame([(d, 0, t) for d, t in labels], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()}
+    assert {(None, "good"), (5, "fine")} <= left and not {(None, "bad words"), (5, "bad")} & left
