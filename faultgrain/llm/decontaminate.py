@@ -1,10 +1,12 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are compared as words in lower case joined by one blank. A test unit is an item,
-and each part of it that is long enough to stand for it alone. A unit of m characters may be
+and each UNIT_WORDS words of it that follow one another. A unit of m characters may be
 misquoted by e = m // EDIT_EVERY edits; cut into e + 1 pieces, at least one of which is
-then quoted exactly. One pass of an automaton over each text finds all pieces, and around each
-hit Myers' bit-parallel distance decides whether the whole unit is there.
+then quoted exactly. A unit of UNIT_WORDS words may instead have one word replaced, lost or added, of any length;
+if that could touch all pieces its two halves are pieces too. One pass of an automaton over each text finds all
+pieces, and around each hit Myers' bit-parallel distance, in characters and then in words, decides
+whether the whole unit is there. So any UNIT_WORDS consecutive words of an item with up to e edits or one other word are found.
 
 The benchmark is taken in blocks of bounded size, each sent to all machines; each block scans
 all documents, so no document is compared with an item it shares no piece with.
@@ -12,7 +14,8 @@ all documents, so no document is compared with an item it shares no piece with.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from typing import NamedTuple
 
@@ -25,7 +28,7 @@ from faultgrain.llm.common import keyed, slices, unkeyed
 
 EDIT_EVERY = 18
 UNIT_WORDS = 13
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 512 << 10
 _BLANKS = bytes.maketrans(
     bytes(range(128)), bytes(c + 32 if 0x41 <= c < 0x5B else c if chr(c).isalnum() else 0x20 for c in range(128))
 )
@@ -40,29 +43,41 @@ class Unit(NamedTuple):
     item_id: int
     text: str
     edits: int
+    words: int  # that may be other ones, lost or added
 
 
 def units(item_id: int, text: str | None) -> list[Unit]:
-    """An item, and its equal parts of at least UNIT_WORDS words if there are two or more; none if it is empty."""
+    """An item, and each UNIT_WORDS of its words that follow one another; none if it is empty."""
     own = plain(text).split(" ")
-    count = len(own) // UNIT_WORDS
-    parts = [own] if own != [""] else []
-    if count > 1:
-        parts += [own[len(own) * k // count : len(own) * (k + 1) // count] for k in range(count)]
-    return [Unit(item_id, line, len(line) // EDIT_EVERY) for line in map(" ".join, parts)]
+    if own == [""]:
+        return []
+    windows = dict.fromkeys(" ".join(own[k : k + UNIT_WORDS]) for k in range(len(own) - UNIT_WORDS + 1))
+    whole = " ".join(own)
+    windows.pop(whole, None)
+    found = [Unit(item_id, whole, len(whole) // EDIT_EVERY, int(len(own) == UNIT_WORDS))]
+    return found + [Unit(item_id, line, len(line) // EDIT_EVERY, 1) for line in windows]
 
 
 def pieces(unit: Unit) -> Iterator[tuple[int, str]]:
-    """The unit's e + 1 pieces with their place in it."""
+    """The unit's e + 1 pieces with their place in it, and its halves if a word could touch all of those."""
     n, size = unit.edits + 1, len(unit.text)
     for k in range(n):
         start = size * k // n
         yield start, unit.text[start : size * (k + 1) // n]
+    if unit.words:
+        own = unit.text.split(" ")
+        # With its blanks a word lies in so many pieces at most.
+        if -(-(max(map(len, own)) + 1) // (size // n)) + 1 >= n:
+            half = len(" ".join(own[: len(own) // 2]))
+            yield 0, unit.text[:half]
+            yield half + 1, unit.text[half + 1 :]
 
 
-def closest(pattern: str, text: str, most: int) -> tuple[int, int] | None:
+def closest(pattern: Sequence[str], text: Sequence[str], most: int) -> tuple[int, int] | None:
     """The least edit distance of ``pattern`` to any part of ``text`` and that part's first end; None above ``most``.
 
+    Both are strings, or lists of words.
+
     Myers' algorithm: one machine word of any width holds a column's vertical steps.
     """
     m = len(pattern)
@@ -85,13 +100,36 @@ def closest(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best
 
 
-def _begin(pattern: str, text: str, end: int, distance: int) -> int:
+def _begin(pattern: Sequence[str], text: Sequence[str], end: int, distance: int) -> int:
     """Where the part of ``text`` that ends at ``end`` with this distance begins: the same search backwards."""
     back = text[max(0, end - len(pattern) - distance) : end][::-1]
     found = closest(pattern[::-1], back, distance)
     return end - (found[1] if found else len(pattern))
 
 
+class _Words:
+    """A line's words and where they begin."""
+
+    def __init__(self, line: str):
+        self.words, self.starts, at = line.split(" "), [], 0
+        for word in self.words:
+            self.starts.append(at)
+            at += len(word) + 1
+
+    def closest(self, unit: Unit, start: int, at: int) -> tuple[int, int] | None:
+        """First and last place of the unit with at most ``unit.words`` words changed, if its place ``start`` is at ``at``."""
+        own = unit.text.split(" ")
+        # A piece may begin with a blank, or inside a word.
+        before = bisect_right(self.starts, at) - 1 - unit.text.count(" ", 0, start)
+        low = max(0, before - unit.words - 1)
+        part = self.words[low : before + len(own) + unit.words + 1]
+        hit = closest(own, part, unit.words)
+        if not hit:
+            return None
+        first, last = low + _begin(own, part, hit[1], hit[0]), low + hit[1] - 1
+        return self.starts[first], self.starts[last] + len(self.words[last])
+
+
 def _search(block: Broadcast):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -112,19 +150,34 @@ def _search(block: Broadcast):
                 coded = line.encode()
                 ascii_ = len(coded) == len(line)
                 found: dict[int, tuple[int, int, int]] = {}
+                tried, split = set(), None
                 for end, (size, where) in automaton.iter(coded.decode("latin-1")):
                     at = end + 1 - size
                     if not ascii_:  # bytes to characters
                         at = len(coded[:at].decode(errors="ignore"))
                     for number, start in where:
                         unit = own[number]
-                        if number in found and found[number][0] == 0:
+                        if number in found and (found[number][0] == 0 or (number, at - start) in tried):
+                            continue
+                        hit = None
+                        if (number, at - start) not in tried:
+                            tried.add((number, at - start))
+                            low = max(0, at - start - unit.edits)
+                            part = line[low : at - start + len(unit.text) + unit.edits]
+                            hit = closest(unit.text, part, unit.edits)
+                        if hit:
+                            place = hit[0], low + _begin(unit.text, part, hit[1], hit[0]), low + hit[1]
+                        elif unit.words:
+                            split = split or _Words(line)
+                            reach = split.closest(unit, start, at)
+                            if not reach:
+                                continue
+                            part = line[reach[0] : reach[1]]
+                            place = closest(unit.text, part, len(unit.text))[0], *reach
+                        else:
                             continue
-                        low = max(0, at - start - unit.edits)
-                        part = line[low : at - start + len(unit.text) + unit.edits]
-                        hit = closest(unit.text, part, unit.edits)
-                        if hit and (number not in found or hit[0] < found[number][0]):
-                            found[number] = hit[0], low + _begin(unit.text, part, hit[1], hit[0]), low + hit[1]
+                        if number not in found or place[0] < found[number][0]:
+                            found[number] = place
                 rows += [(doc, own[k].item_id, d, s, e, len(own[k].text)) for k, (d, s, e) in found.items()]
             names = ["doc_id", "item_id", "distance", "first", "last", "unit_chars"]
             columns = zip(*rows) if rows else [()] * 6

@@ -327,6 +327,33 @@ def test_decontamination_within_the_budget(spark, tables):
     assert not {r["doc_id"] for r in found if r["doc_id"] is not None and r["doc_id"] >= 1000}
 
 
+def test_any_thirteen_words_are_found(spark):
+    folder, pick = "/root/testdata/sf0.1", random.Random(9)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    items.append((9000, " ".join(["i"] * 6 + ["x" * 900] + ["o"] * 6)))
+    rows, want = [], set()
+
+    def quote(item_id, own):
+        rows.append((len(rows), "before it " + " ".join(own) + " after it"))
+        want.add((rows[-1][0], item_id))
+
+    for item_id, text in items:
+        own = decontaminate.plain(text).split(" ")
+        for cut in (1, 2):
+            if len(own) - 2 * cut >= decontaminate.UNIT_WORDS:
+                quote(item_id, own[cut:-cut])
+        at = pick.randint(0, len(own) - 13)
+        quote(item_id, own[at : at + 13])
+        quote(item_id, [f"{k}other" if k % 10 == 9 else w for k, w in enumerate(own)])
+        lost = pick.randint(1, 11)
+        for put in ([], ["z" * 40], [own[at + lost], "added"]):
+            quote(item_id, own[at : at + lost] + put + own[at + lost + 1 : at + 13])
+        rows.append((len(rows), " ".join(own[at : at + 7] + ["q"] + own[at + 9 : at + 13])))  # 11 of 13 words
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} >= want
+
+
 def test_decontamination_of_empty_tables(spark, empty, tables):
     assert decontaminate.contaminated(empty, tables("benchmark")).collect() == []
     assert decontaminate.contaminated(tables("documents"), tables("benchmark").limit(0)).collect() == []
