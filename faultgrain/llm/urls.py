@@ -70,14 +70,33 @@ def key_of(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path))
 
 
+def _without_dots(path: Column) -> Column:
+    """``path`` with its ``.`` and ``..`` steps taken, from the root at most."""
+    empty = F.array().cast("array<string>")
+    steps = F.split(F.when(path.rlike(r"(?s)/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path), "/")
+    taken = F.aggregate(
+        F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))),
+        empty,
+        lambda done, step: F.when(step == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(step == ".", done)
+        .otherwise(F.concat(done, F.array(step))),
+    )
+    return F.concat(F.lit("/"), F.array_join(taken, "/"))
+
+
 def _absolute(link: Column, url: Column) -> Column:
-    """``link`` as seen from ``url``: with scheme, or from the host's root; others are no page."""
+    """``link`` as seen from ``url``: with scheme, from the host's root, from the page's folder or the page itself; other schemes are no page."""
     root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
+    stem, tail = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)", 1))
     return (
-        F.when(link.contains("://"), link)
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("/"), F.concat(root, _without_dots(stem), tail))
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(stem == "", F.concat(root, path_of(url), tail))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, stem)), tail))
     )
 
 
@@ -85,20 +104,21 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']?([^"'\s>]+)""", 1)
 
 
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """``a, b``: keys of pages and of the pages they redirect to or name as canonical."""
+def alias_links(pages: DataFrame) -> DataFrame:
+    """``a, b, target``: keys of pages and of the pages they redirect to or name as canonical, and the latter's full url."""
     html, url = F.col("html"), F.col("url")
     canonical = F.regexp_extract(html, r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
     refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'>\s]+)""", 1)
     targets = F.array(_attribute(canonical, "href"), refresh)
     linked = pages.select(url, F.explode(targets).alias("link")).filter("link != ''")
-    return linked.select(key_of(url).alias("a"), key_of(_absolute(F.col("link"), url)).alias("b")).dropna()
+    linked = linked.select(url, _absolute(F.col("link"), url).alias("target"))
+    return linked.select(key_of(url).alias("a"), key_of(F.col("target")).alias("b"), "target").dropna()
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Every page's ``page_id, host, path, rule, verdict, alias_of``.
 
-    A rule's verdict stands. A page that no rule fits is blocked if an alias is blocked and none
+    A rule's verdict stands; rules judge the pages and the targets of their links, be they pages of the table or not. A page that no rule fits is blocked if an alias is blocked and none
     is explicitly allowed, else allowed. ``alias_of`` is the smallest url key of its aliases. Null urls and urls
     without ``://`` have no host, no path, no rule and no alias, and are allowed. Rows of one page_id
     stay apart; rows without page_id keep it null. An empty table gives no rows.
@@ -109,9 +129,13 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         "page_id", host_of(url).alias("host"), path_of(url).alias("path"), key_of(url).alias("node")
     ).withColumn("fit", matched(F.col("host"), F.col("path"), rules))
     judged = materialize(judged, "judged-urls")
-    found = components(alias_edges(read))
+    links = materialize(alias_links(read), "alias-links")
+    found = components(links.select("a", "b"))
     verdict = F.col("fit.verdict")
-    by_node = judged.filter("node IS NOT NULL").groupBy("node").agg(
+    # A target need not be a page of the table to carry a verdict.
+    target = matched(host_of(F.col("target")), path_of(F.col("target")), rules)
+    known = judged.select("node", "fit").union(links.select("b", target)).filter("node IS NOT NULL")
+    by_node = known.groupBy("node").agg(
         F.max(verdict == "allow").alias("allowed"), F.max(verdict == "block").alias("blocked")
     )
     named = by_node.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

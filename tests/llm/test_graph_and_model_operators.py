@@ -219,6 +219,23 @@ def test_blocks_reach_aliases(spark):
     ]
 
 
+def test_blocks_come_from_targets_that_are_no_pages(spark):
+    refresh = "<meta http-equiv='refresh' content='0; url={}'>"
+    links = [
+        ("http://x.net/a", "http://bad.com/de/x", "block"), ("http://x.net/b", "http://fine.net/c", "allow"),
+        ("http://y.net/p/q/one", "two.html", "block"), ("http://y.net/p/q/two", "http://bad.com/de/y", "block"),
+        ("http://y.net/r/s/one", "../t?x=1", "block"), ("http://y.net/r/t", "//bad.com/z/../de/z", "allow"), ("http://y.net/r/t/", "/../v/./w", "block"),
+        ("http://y.net/v/w", "http://bad.com/de/w", "block"), ("http://z.net", "u", "block"), ("http://z.net/u", "http://bad.com/de/u", "block"),
+        ("http://w.net/a", "mailto:a@bad.com/de/", "allow"), ("http://w.net/b", "?u=http://bad.com/de/", "allow"), ("http://w.net/c", "#top", "allow"),
+        ("http://v.net/c", "https://some.org/x", "allow"), ("http://v.net/d", "http://v.net/c", "allow"), ("http://v.net/d/", "http://bad.com/de/v", "allow"),
+    ]
+    want = {k: v for k, (_, _, v) in enumerate(links)}
+    want[5] = "block"  # /r/t, which /r/t/ spells too, leads to /v/w
+    rows = [(k, url, refresh.format(link)) for k, (url, link, _) in enumerate(links)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == want
+
+
 @pytest.mark.parametrize("which", [0, 1])
 def test_packing(odd, tables, both, which):
     from tokenizers import Tokenizer
