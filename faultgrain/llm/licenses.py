@@ -87,7 +87,7 @@ def _starts(word: str, place: int) -> Column:
 
 
 def _found(template: Template, files: dict[str, int]) -> tuple[Column, Column]:
-    """Verified starts of a template, and their mean share of words in place."""
+    """Verified starts of a template, and for each start how often it stands among the words after the key, sorted."""
     own = template.words.split()
     key = sorted(range(template.key or len(own)), key=lambda k: (files[own[k]], k))
     shared = reduce(F.array_intersect, [_starts(own[k], k) for k in key[:ENTRIES]])
@@ -97,10 +97,26 @@ def _found(template: Template, files: dict[str, int]) -> tuple[Column, Column]:
     starts = F.when(rare, F.when(F.size(shared) > 0, verified)).otherwise(empty)
     starts = F.filter(F.coalesce(starts, empty), lambda s: s >= 0)
     rest = range(template.key or len(own), len(own))
-    name = F.col("_starts")
-    more = reduce(lambda a, b: a + b, [F.size(F.array_intersect(name, _starts(own[k], k))) for k in rest], F.lit(0))
-    share = (F.size(name) * (len(own) - len(rest)) + more) / (F.size(name) * len(own))
-    return starts, share
+    more = [F.array_intersect(F.col("_starts"), _starts(own[k], k)) for k in rest]
+    return starts, F.array_sort(F.flatten(F.array(*more))) if more else empty
+
+
+def _judged(template: Template) -> tuple[Column, Column]:
+    """The starts with a share of words in place of at least LEAST_SCORE, each judged by itself, and the largest share."""
+    words, starts, more = len(template.words.split()), F.col("_starts"), F.col("_more")
+    key = template.key or words
+
+    def again(start: Column, i: Column, n: int) -> Column:
+        """Whether the sorted ``more`` holds this start n times from here on."""
+        return F.coalesce(F.get(more, i + (n - 1)) == start, F.lit(False))
+
+    def run(start: Column, i: Column) -> Column:
+        return reduce(lambda a, b: a + b, [again(start, i, n).cast("int") for n in range(1, words - key + 1)], F.lit(0))
+
+    need = next(n for n in range(words - key + 1) if (key + n) / words >= LEAST_SCORE)
+    kept = F.array_distinct(F.filter(more, lambda s, i: again(s, i, need))) if need else starts
+    most = F.coalesce(F.array_max(F.transform(more, run)), F.lit(0)) if key < words else F.lit(0)
+    return kept, F.when(F.size(starts) > 0, (key + most) / F.lit(words)).otherwise(0.0)
 
 
 def _places(template: Template, starts: Column) -> Column:
@@ -113,8 +129,8 @@ def scan(docs: DataFrame, base: Sequence[Template] = BASE, more: Sequence[Templa
 
     ``n_base`` counts the places of all base phrases, ``first_word`` and ``last_word`` are the
     smallest and largest start of one; ``labels`` also holds those of further templates with a
-    share of at least LEAST_SCORE; ``score`` is the largest share of any template. ``places``
-    lists label, start and words of every match. Null and empty texts have no words and no labels
+    place of a share of at least LEAST_SCORE; ``score`` is the largest share of any place. ``places``
+    lists label, start and words of every place with that share. Null and empty texts have no words and no labels
     (empty strings). Rows of one doc_id stay apart; rows without doc_id keep it null. An empty
     table gives no rows.
     """
@@ -124,19 +140,19 @@ def scan(docs: DataFrame, base: Sequence[Template] = BASE, more: Sequence[Templa
     files = rarity(indexed, known)
     judged = indexed.select("doc_id", "n_words", "hits")
     for k, template in enumerate(templates):
-        starts, share = _found(template, files)
+        starts, more = _found(template, files)
         judged = judged.withColumn("_starts", starts)
-        judged = judged.withColumn(f"_share{k}", F.when(F.size("_starts") > 0, share).otherwise(0.0))
-        judged = judged.withColumnRenamed("_starts", f"_starts{k}")
+        judged = judged.withColumn("_more", more)
+        kept, share = _judged(template)
+        judged = judged.withColumn(f"_kept{k}", kept).withColumn(f"_share{k}", share)
+        judged = judged.withColumnRenamed("_starts", f"_starts{k}").drop("_more")
     base_starts = F.flatten(F.array(*(F.col(f"_starts{k}") for k in range(len(base)))))
     labels = [F.when(F.col(f"_share{k}") >= LEAST_SCORE, F.lit(t.label)) for k, t in enumerate(templates)]
 
     def joined(some: list[Column]) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*some)))), ",")
 
-    empty = F.array().cast("array<int>")
-    where = [F.when(F.col(f"_share{k}") >= LEAST_SCORE, F.col(f"_starts{k}")).otherwise(empty) for k in range(len(templates))]
-    places = F.flatten(F.array(*(_places(t, starts) for t, starts in zip(templates, where))))
+    places = F.flatten(F.array(*(_places(t, F.col(f"_kept{k}")) for k, t in enumerate(templates))))
     return judged.select(
         unkeyed(),
         "n_words",

@@ -158,6 +158,19 @@ def test_license_templates(spark):
     assert got == {0: ("gpl", 1.0), 1: ("mit", round(15 / 16, 3)), 2: ("", 0.0), 3: ("", 0.0)}
 
 
+def test_each_place_of_a_license_counts_by_itself(spark):
+    by_label = {t.label: t.words for t in licenses.MORE if t.key}
+    mit, bsd = by_label["mit"], by_label["bsd"]
+    key = "permission is hereby granted free of"
+    texts = [f"{mit}. {key} all", f"{key} all. {mit}", f"{bsd} x " + "redistribution and use in source and binary forms x " * 2, f"{key} all"]
+    texts.append(f"{mit.replace('software', 'work')} {key} all {mit}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert [got[k]["labels"] for k in range(5)] == ["mit", "mit", "bsd", "", "mit"]
+    assert [got[k]["score"] for k in range(5)] == [1.0, 1.0, 1.0, 6 / 16, 1.0]
+    assert [[p["start"] for p in got[k]["places"]] for k in range(5)] == [[0], [7], [0], [], [0, 23]]
+
+
 def plain_secrets(text):
     found = []
     text = text or ""
