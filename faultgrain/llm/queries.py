@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultgrain.llm import chunks, decontaminate, licenses, lines, packing, secrets, simhash, substrings, toxicity, urls
+from faultgrain.llm import chunks, decontaminate, licenses, lines, packing, secrets, simhash, spellings, substrings, toxicity, urls
+from faultgrain.llm.oracles import spelling_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,11 +66,20 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+# The contract plants a misspelling in every word whose checksum this divides.
+MISSPELT_EVERY = 31
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.spelling_variants(table(spark, sf_dir, "documents"), delete_every=MISSPELT_EVERY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
     for run in (
         op1_license_scans, op2_url_filters, op3_simhash_near_dedup, op4_best_fit_packing, op5_substring_dedup,
         op6_line_dedup, op7_benchmark_decontamination, op8_toxicity, op9_secret_scans, op10_document_fingerprints,
+        op11_spelling_variants,
     )
 }
 
@@ -176,4 +186,5 @@ judged AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last_doc AS gone FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
+    "op11_spelling_variants": spelling_sql(MISSPELT_EVERY),
 }
