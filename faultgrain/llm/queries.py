@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultgrain.llm import chunks, decontaminate, licenses, lines, packing, secrets, simhash, spellings, substrings, toxicity, urls
-from faultgrain.llm.oracles import spelling_sql
+from faultgrain.llm import chunks, decontaminate, licenses, lines, manifest, packing, secrets, simhash, spellings, substrings, toxicity, urls, windows
+from faultgrain.llm.oracles import manifest_sql, spelling_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,12 +74,26 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.spelling_variants(table(spark, sf_dir, "documents"), delete_every=MISSPELT_EVERY)
 
 
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack_documents(table(spark, sf_dir, "documents"), windows.tokenizer_path())
+
+
+# The contract tampers with the rows whose checksum this divides.
+TAMPERED_EVERY = 3
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPERED_EVERY == 0
+    text = F.when(touched, manifest.lowered(F.col("text"))).otherwise(F.col("text"))
+    return manifest.manifest(table(spark, sf_dir, "documents"), tampered={"text": text})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
     for run in (
         op1_license_scans, op2_url_filters, op3_simhash_near_dedup, op4_best_fit_packing, op5_substring_dedup,
         op6_line_dedup, op7_benchmark_decontamination, op8_toxicity, op9_secret_scans, op10_document_fingerprints,
-        op11_spelling_variants,
+        op11_spelling_variants, op12_window_packing, op13_merkle_manifest,
     )
 }
 
@@ -187,4 +201,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
     "op11_spelling_variants": spelling_sql(MISSPELT_EVERY),
+    "op13_merkle_manifest": manifest_sql(TAMPERED_EVERY),
 }
