@@ -147,32 +147,44 @@ def drop_repeated_lines(
     return judged.mapInArrow(_drop(min_chars), layout).withColumn("doc_id", unkeyed())
 
 
-def with_lines_dropped(
-    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES
-) -> DataFrame:
-    """``docs`` with all its columns, its texts without the lines ``drop_repeated_lines`` drops.
+def repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+    """``doc_id, gone``: the keys of the lines that each document drops, for those of ``docs(doc_id, text)`` that drop any."""
+    return _gone(docs, min_chars, min_docs, batches)
+
+
+def without(docs: DataFrame, key: str, gone: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with all its columns, its texts without the lines named by ``gone(key, gone)``.
 
     Only texts that lose a line change; their ``n_chars``, where there is such a column, is counted anew.
     """
-    key, gone = fresh(docs, "line_doc_id"), fresh(docs, "line_keys_gone")
-    found = _gone(keyed(docs, "text"), min_chars, min_docs, batches).toDF(key, gone)
+    lost = fresh(docs, "line_keys_gone")
     names = docs.columns
-    joined = docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == found[key], "left").drop(key)
+    joined = docs.join(gone.toDF(key, lost), key, "left").select(*names, lost)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts, lost = batch["text"].cast(pa.large_binary()).to_pylist(), batch[gone].to_pylist()
-            kept = [b"\n".join(_left(t, g, min_chars)[1]) if g else t for t, g in zip(texts, lost)]
+            texts, keys = batch["text"].cast(pa.large_binary()).to_pylist(), batch[lost].to_pylist()
+            kept = [b"\n".join(_left(t, g, min_chars)[1]) if g else t for t, g in zip(texts, keys)]
             kept = pa.array(kept, pa.binary()).cast(pa.string())
             columns = {name: batch[name] for name in names} | {"text": kept}
             if "n_chars" in columns:
                 size = pc.utf8_length(kept).cast(batch["n_chars"].type)
-                columns["n_chars"] = pc.if_else(pa.array([bool(g) for g in lost], pa.bool_()), size, batch["n_chars"])
+                columns["n_chars"] = pc.if_else(pa.array([bool(g) for g in keys], pa.bool_()), size, batch["n_chars"])
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return joined.mapInArrow(replace, docs.schema)
 
 
+def with_lines_dropped(
+    docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES
+) -> DataFrame:
+    """``docs`` with all its columns, its texts without the lines ``drop_repeated_lines`` drops; see ``without``."""
+    key = fresh(docs, "line_doc_id")
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    found = repeated(keyed(docs, "text"), min_chars, min_docs, batches)
+    return without(rows, key, found, min_chars).drop(key)
+
+
 def first_seen_lines(lines: DataFrame, runs: LineRuns) -> DataFrame:
     """Of a new batch's (doc_id, key) rows the ones never seen, each key once with its first document.
 
