@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultgrain import schemas
+from faultgrain.sources.buckets import dealt
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -26,15 +27,36 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return df.withColumn("_rank", F.row_number().over(by_key)).filter("_rank <= 1").drop("_rank")
 
 
+def not_in(rows: DataFrame, stored: DataFrame | Sequence[DataFrame], keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Rows whose key is not stored; of several stored runs, each unique on ``keys``, every one is probed in turn.
+
+    ``buckets`` is the number of buckets in which the runs are stored by ``keys``: then the rows are dealt alike
+    and no run is moved. Those probes are outer joins, as Spark would push an anti-join below the dealing.
+    """
+    if isinstance(stored, DataFrame):
+        return rows.join(stored.select(*keys), list(keys), "left_anti")
+    names = rows.columns
+    if buckets:
+        rows = dealt(rows, keys, buckets)
+    for run in stored:
+        rows = rows.join(run.select(*keys, F.lit(True).alias("_stored")), list(keys), "left").filter("_stored IS NULL")
+        rows = rows.select(*names)
+    return rows
+
+
 def insert_or_ignore(
-    batch: DataFrame, existing: DataFrame, keys: Sequence[str], order: Sequence[str]
+    batch: DataFrame,
+    existing: DataFrame | Sequence[DataFrame],
+    keys: Sequence[str],
+    order: Sequence[str],
+    buckets: int | None = None,
 ) -> DataFrame:
     """Rows of ``batch`` that are new: first per key and absent from ``existing``.
 
-    Both join sides are unique on ``keys``, so no key is hot in the anti-join.
+    Both join sides are unique on ``keys``, so no key is hot in the anti-join. ``buckets`` is the number of
+    buckets in which ``existing`` is stored by ``keys``: then only the batch is exchanged.
     """
-    first = first_per_key(batch, keys, order)
-    return first.join(existing.select(*keys), list(keys), "left_anti")
+    return not_in(first_per_key(batch, keys, order), existing, keys, buckets)
 
 
 def candidate_violation(required: Sequence[str]) -> Column:
@@ -60,16 +82,20 @@ CANDIDATE_KEY = ("file", "function", "cwe_id")
 
 
 def new_candidates(
-    batch: DataFrame, stored: DataFrame, order: Sequence[str] = ("file", "pos")
+    batch: DataFrame,
+    stored: DataFrame | Sequence[DataFrame],
+    order: Sequence[str] = ("file", "pos"),
+    buckets: int | None = None,
 ) -> DataFrame:
     """Accepted, new candidate rows. A reject reason or attempt count is not taken over."""
     accepted, _ = split_by_constraints(batch)
-    return insert_or_ignore(accepted, stored, CANDIDATE_KEY, order).withColumns(
+    accepted = accepted.withColumn("cwe_id", F.col("cwe_id").cast("int"))  # as it is stored, or its buckets do not fit
+    return insert_or_ignore(accepted, stored, CANDIDATE_KEY, order, buckets).withColumns(
         {"reject_reason": F.lit(None).cast("string"), "verify_attempts": F.lit(0)}
     )
 
 
-def mark_explored(explored: DataFrame, valid: DataFrame) -> DataFrame:
+def mark_explored(explored: DataFrame | Sequence[DataFrame], valid: DataFrame, buckets: int | None = None) -> DataFrame:
     """Files to add to the explored set: answered validly, not in the set yet."""
     files = valid.select("file").distinct()
-    return files.join(explored, "file", "left_anti")
+    return not_in(files, explored, ["file"], buckets)

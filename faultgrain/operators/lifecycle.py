@@ -8,12 +8,15 @@ aggregates. A candidate with a billion attempts costs each task n rows per kind.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultgrain.operators.first_wins import first_per_key
+from faultgrain.operators.first_wins import first_per_key, not_in
 from faultgrain.operators.ids import assign_ids, next_id
 from faultgrain.plans.skew import lookup
+from faultgrain.sources.buckets import dealt
 
 # Default budgets.
 REWRITE_BUDGET = 2
@@ -184,31 +187,32 @@ def settle(outcomes: DataFrame, ends: DataFrame) -> DataFrame:
     ).drop("exhausted", "attempts", "end_run")
 
 
-def confirm(proven: DataFrame, confirmed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def confirm(
+    proven: DataFrame, confirmed: DataFrame | Sequence[DataFrame], start: int | None = None, buckets: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Insert proven bugs or ignore them when their evidence is known.
 
-    ``proven`` has candidate_id, run_id, probe_path and evidence_key, ``confirmed`` is the
-    stored table. Returns the new rows of ``confirmed`` and, for every proven row, its
-    status (confirmed or duplicate) and the bug representing it. The lowest
-    (run_id, candidate_id) wins a key.
+    ``proven`` has candidate_id, run_id, probe_path and evidence_key; ``confirmed`` holds the stored
+    evidence_key and id, as one table or in runs that may be bucketed by key. Returns the new rows of the
+    confirmed table and, for every proven row, its status (confirmed or duplicate) and the bug representing it.
+    The lowest (run_id, candidate_id) wins a key. New ids begin at ``start``, by default after the stored ones.
     """
     order = ["run_id", "candidate_id"]
+    runs = [confirmed] if isinstance(confirmed, DataFrame) else list(confirmed)
+    if start is None:
+        start = max((next_id(run) for run in runs), default=1)
     first = first_per_key(proven, ["evidence_key"], order)
-    new = first.join(confirmed.select("evidence_key"), "evidence_key", "left_anti")
-    new = assign_ids(new, order, start=next_id(confirmed))
-    known = confirmed.select(
-        "evidence_key",
-        F.col("id").alias("bug_id"),
-        F.lit(None).cast("bigint").alias("_candidate"),
-        F.lit(None).cast("int").alias("_run"),
-    ).unionByName(
-        new.select(
-            "evidence_key",
-            F.col("id").alias("bug_id"),
-            F.col("candidate_id").alias("_candidate"),
-            F.col("run_id").cast("int").alias("_run"),
-        )
+    new = assign_ids(not_in(first, runs, ["evidence_key"], buckets), order, start=start)
+    # Of the stored bugs only those met again are needed: at most one row a key of the batch.
+    met = first.select("evidence_key")
+    met = dealt(met, ["evidence_key"], buckets) if buckets else met
+    nobody = (F.lit(None).cast("bigint").alias("_candidate"), F.lit(None).cast("int").alias("_run"))
+    known = new.select(
+        "evidence_key", F.col("id").alias("bug_id"), F.col("candidate_id").alias("_candidate"), F.col("run_id").cast("int").alias("_run")
     )
+    for run in runs:
+        stored = met.join(run.select("evidence_key", "id"), "evidence_key")
+        known = known.unionByName(stored.select("evidence_key", F.col("id").alias("bug_id"), *nobody))
     resolved = lookup(proven, known, ["evidence_key"], order, how="inner")
     won = F.col("candidate_id").eqNullSafe(F.col("_candidate")) & F.col("run_id").eqNullSafe(F.col("_run"))
     resolved = resolved.withColumn("status", F.when(won, "confirmed").otherwise("duplicate"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultgrain.operators import contracts, corpus, first_wins, prompts, tallies
 from faultgrain.operators.complete import ClientFactory, complete
-from faultgrain.operators.ids import assign_ids, next_id
+from faultgrain.operators.ids import assign_ids
 from faultgrain.plans.prefilter import wanted_only
 from faultgrain.session import materialize
 from faultgrain.sources.ledger import Ledger
@@ -24,11 +24,11 @@ def store_findings(ledger: Ledger, judged: DataFrame, tag: str = "") -> tuple[Da
 
     A file joins the explored set when its answer was valid, also without an issue.
     """
-    stored, explored = ledger.candidates(), ledger.read("explored")
     offered = materialize(contracts.explode_issues(judged), "offered")
-    new = first_wins.new_candidates(offered, stored)
-    new = assign_ids(new, ["file", "pos"], start=next_id(stored))
-    done = first_wins.mark_explored(explored, judged.filter("ok"))
+    # The keys are stored in buckets: only the batch is exchanged, and no candidate is read.
+    new = first_wins.new_candidates(offered, ledger.runs("candidate_keys"), buckets=ledger.buckets)
+    new = assign_ids(new, ["file", "pos"], start=ledger.next_id("open"))
+    done = first_wins.mark_explored(ledger.runs("explored"), judged.filter("ok"), ledger.buckets)
     ledger.commit(append={"open": new, "explored": done}, tag=tag)
     return offered, new
 

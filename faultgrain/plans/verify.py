@@ -33,7 +33,7 @@ def verify(
     candidates and the confirmed bugs change in one commit, which rewrites only what was
     pending, and gives the tables of ``also`` a new content.
     """
-    candidates, confirmed = ledger.read("open"), ledger.read("confirmed")
+    candidates = ledger.read("open")
     open_candidates = candidates.select(F.col("id").alias("candidate_id"), "verify_attempts")
     # The log is read once; a batch of a stream goes on in the ledger's own session, where
     # adaptive execution is not switched off.
@@ -46,7 +46,8 @@ def verify(
     ends = materialize(lifecycle.candidate_ends(taking_part, budget, open_candidates), "ends")
     settled = materialize(lifecycle.settle(taking_part, ends), "settled")
     proven = settled.filter("outcome = 'proven'")
-    bugs, resolved = lifecycle.confirm(proven, confirmed)
+    keys = ledger.runs("evidence_keys")
+    bugs, resolved = lifecycle.confirm(proven, keys, ledger.next_id("confirmed"), ledger.buckets)
     final = materialize(lifecycle.name_proven(settled, resolved), "final")
     updated = lifecycle.apply_updates(candidates, lifecycle.status_updates(final), ends)
     check_references(bugs, candidates)

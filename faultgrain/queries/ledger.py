@@ -174,6 +174,30 @@ def rerun_adds_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts
 
 
+_FOUND = (
+    "SELECT DISTINCT file, concat('fn', k % 15) AS function, event_id % 5 AS batch FROM ($answers) a "
+    "WHERE event_type IN ('click', 'error') OR (event_type = 'view' AND k % 4 = 2) OR (event_type = 'signup' AND k % 5 = 4)"
+)
+
+
+@query(
+    "SELECT row_number() OVER (ORDER BY batch, file, function) AS id, file, function FROM "
+    f"(SELECT file, function, min(batch) AS batch FROM ({_FOUND}) f GROUP BY file, function) g"
+)
+def ledger_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers stored in five batches: each finds its new keys in the bucketed key tables and goes on with the ids."""
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    # One finding a file and function, so that ids follow file and function inside a batch.
+    judged = materialize(contracts.judge_issues(view(spark, sf_dir, "answers")).filter("ok"), "judged")
+    for batch in range(5):
+        arrived = judged.filter(F.col("event_id") % 5 == batch)
+        offered = contracts.explode_issues(arrived).filter("pos = 0")
+        offered = first_wins.first_per_key(offered, ["file", "function"], ["function"])
+        new = first_wins.new_candidates(offered, ledger.runs("candidate_keys"), ["function"], ledger.buckets)
+        ledger.commit(append={"open": assign_ids(new, ["file", "function"], start=ledger.next_id("open"))})
+    return ledger.candidates().select("id", "file", "function")
+
+
 _BUGS = """
 SELECT CAST(id * 3 AS BIGINT) AS id, id AS candidate_id, concat('probe_', id) AS probe_path, concat('key', id) AS evidence_key
 FROM ($candidates) c WHERE status = 'confirmed'

@@ -37,10 +37,21 @@ CANDIDATE_STATUSES = ("pending", "rejected", "confirmed", "duplicate", "inconclu
 # Candidates are kept in two tables: pending ones, which a verification rewrites, and
 # settled ones, which only grow.
 # ``waiting`` holds the steps of runs that a stream has not seen the end of.
+# The key tables say which keys are taken, whatever becomes of the rows.
 LEDGER_TABLES = {
     "open": CANDIDATES,
     "closed": CANDIDATES,
     "confirmed": CONFIRMED,
     "explored": EXPLORED,
     "waiting": LOGGED_ATTEMPTS,
+    "candidate_keys": "file STRING, function STRING, cwe_id INT",
+    "evidence_keys": "evidence_key STRING, id BIGINT",
 }
+# Tables stored in buckets of these columns, which only grow.
+LEDGER_KEYS = {
+    "explored": ("file",),
+    "candidate_keys": ("file", "function", "cwe_id"),
+    "evidence_keys": ("evidence_key",),
+}
+# The key table that rows added to a table are entered in as well.
+LEDGER_ENTERED = {"open": "candidate_keys", "confirmed": "evidence_keys"}
