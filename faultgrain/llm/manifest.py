@@ -171,6 +171,8 @@ def proofs(rows: DataFrame, group: str, order: Sequence[str], levels: int = LEVE
         tree.alias("tree"), F.col("leaf").alias("digest"), "tampered", F.struct(*(c.alias(n) for n, c in keys.items())).alias("key"),
         *(c.alias(n) for n, c in sorting.items()),
     )
+    # Stored first: the range sort reads its input twice, and the texts should be hashed once.
+    leaves = materialize(leaves, "hashed")
     leaves = materialize(_numbered(leaves, [*sorting, "digest"], "leaves").drop(*sorting), "numbered")
 
     floors = _floors(leaves, levels)
