@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from faultgrain.bindings import table, view
 from faultgrain.functions import paths
 from faultgrain.functions.text import line_count
-from faultgrain.operators import contracts, corpus as ops, prompts, spans
+from faultgrain.operators import changes, contracts, corpus as ops, prompts, spans
 from faultgrain.operators.first_wins import mark_explored
 from faultgrain.operators.ids import assign_ids
 from faultgrain.queries.registry import query
 from faultgrain.queries.triage import _S, _W
-from faultgrain.session import scratch_path
+from faultgrain.session import materialize, scratch_path
 from faultgrain.sources import snapshot, tree
 
 _PARENTS = "list_slice(string_split({p}, '/'), 1, -2)"
@@ -258,7 +258,7 @@ def explored_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def snapshot_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files frozen into a snapshot, without links and version control folders."""
-    frozen = snapshot.freeze(_all_files(spark, sf_dir), scratch_path(spark, "snapshots"), "s1")
+    frozen = snapshot.freeze(_all_files(spark, sf_dir), scratch_path(spark, "snapshots"), "s1").drop("digest")
     return frozen.withColumn("language", F.coalesce("language", F.lit("")))
 
 
@@ -269,6 +269,64 @@ def snapshot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("path", "language", "line_count", _shown(F.col("functions")).alias("functions"))
 
 
+# A later state of all files: some gone, some longer, some elsewhere, some copied.
+_LATER_FILES = f"""
+(SELECT CASE length(content) % 11 WHEN 2 THEN concat('moved/', path) ELSE path END AS path,
+   CASE WHEN length(content) % 11 = 1 AND NOT starts_with(path, 'py/') THEN concat(content, chr(10), 'x') ELSE content END AS content
+ FROM {_ALL_FILES} f WHERE length(content) % 11 <> 0
+ UNION ALL SELECT concat('copy/', path), content FROM {_ALL_FILES} f WHERE length(content) % 11 = 3 AND NOT starts_with(path, 'py/'))
+"""
+
+
+def _two_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = _all_files(spark, sf_dir)
+    kind, python = F.length("content") % 11, F.startswith("path", F.lit("py/"))
+    longer = F.when((kind == 1) & ~python, F.concat("content", F.lit("\nx"))).otherwise(F.col("content"))
+    path = F.when(kind == 2, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    later = files.filter(kind != 0).select(path.alias("path"), longer.alias("content"), "is_symlink")
+    copies = files.filter((kind == 3) & ~python)
+    later = later.unionByName(copies.select(F.concat(F.lit("copy/"), "path").alias("path"), "content", "is_symlink"))
+    root = scratch_path(spark, "snapshots")
+    return snapshot.freeze(files, root, "s1"), snapshot.freeze(later, root, "s2")
+
+
+_FROZEN = "SELECT path, sha256(content) AS digest FROM {} f WHERE NOT starts_with(path, '.git/') AND NOT contains(path, '/.git/')"
+
+
+@query(
+    f"WITH was AS ({_FROZEN.format(_ALL_FILES)}), now AS ({_FROZEN.format(_LATER_FILES)}), "
+    "gone AS (SELECT path, digest, row_number() OVER (PARTITION BY digest ORDER BY path) AS turn FROM was WHERE path NOT IN (SELECT path FROM now)), "
+    "come AS (SELECT path, digest, row_number() OVER (PARTITION BY digest ORDER BY path) AS turn FROM now WHERE path NOT IN (SELECT path FROM was)) "
+    "SELECT coalesce(c.path, g.path) AS path, CASE WHEN c.path IS NULL THEN 'removed' WHEN g.path IS NULL THEN 'added' ELSE 'moved' END AS change, "
+    "CASE WHEN c.path IS NOT NULL THEN coalesce(g.path, '') ELSE '' END AS old_path "
+    "FROM gone g FULL JOIN come c ON c.digest = g.digest AND c.turn = g.turn "
+    "UNION ALL SELECT was.path, 'changed', '' FROM was JOIN now ON was.path = now.path WHERE was.digest <> now.digest"
+)
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added, changed, removed and moved files between two snapshots of all files."""
+    return changes.diff(*_two_snapshots(spark, sf_dir)).withColumn("old_path", F.coalesce("old_path", F.lit("")))
+
+
+_LATER_SPANS = _spans_sql(f"({_FILE_LINES.replace('@files', _LATER_FILES)})")
+LATER_INDEX_SQL = f"""
+SELECT f.path, f.language, CAST(len(f.lines) AS INT) AS line_count,
+  CASE WHEN f.language = 'python' THEN p.functions ELSE coalesce(s.functions, '') END AS functions
+FROM ({_SPLIT.replace('@files', _LATER_FILES)}) f
+LEFT JOIN (SELECT path, string_agg(concat(name, ':', start, '-', "end"), ';' ORDER BY start) AS functions
+           FROM ({_LATER_SPANS}) x GROUP BY path) s ON s.path = f.path
+LEFT JOIN ({_PYTHON_SPANS}) p ON p.path = replace(f.path, 'moved/', '')
+WHERE f.language IS NOT NULL AND NOT {_SKIPPED.replace('path', 'f.path')}
+"""
+
+
+@query(LATER_INDEX_SQL)
+def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the second snapshot from that of the first: only contents that were not there are parsed."""
+    old, new = _two_snapshots(spark, sf_dir)
+    index = changes.refresh_index(old, materialize(ops.build_index(old), "index"), new)
+    return index.select("path", "language", "line_count", _shown(F.col("functions")).alias("functions"))
+
+
 def _write_pages(pages: DataFrame, root: str) -> None:
     """Pages as files below ``root``, one in five linked as well, one folder linked."""
 

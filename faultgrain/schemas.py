@@ -5,7 +5,7 @@ from __future__ import annotations
 _SPAN = "STRUCT<start: INT, end: INT, name: STRING>"
 
 FILES = "path STRING, content STRING"
-SNAPSHOT = f"{FILES}, language STRING"
+SNAPSHOT = f"{FILES}, digest STRING, language STRING"
 FILE_INDEX = (
     f"path STRING, language STRING, line_count INT, functions ARRAY<{_SPAN}>"
 )
