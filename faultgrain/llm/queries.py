@@ -139,8 +139,17 @@ def _path_sql(url: str) -> str:
 
 
 def _key_sql(url: str) -> str:
-    host = f"regexp_replace({_host_sql(url)}, '^(www\\.|m\\.)', '')"
-    return f"CASE WHEN {host} <> '' THEN concat({host}, regexp_replace({_path_sql(url)}, '(/index\\.html?|\\.html?|/+)$', '')) END"
+    path = f"CASE WHEN {_path_sql(url)} = '' THEN '/' ELSE {_path_sql(url)} END"
+    query = f"regexp_extract({url}, '(?s)^.*?://[^?#]*\\?([^#]*)', 1)"
+    named = f"array_to_string(list_filter(string_split({query}, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{urls.TRACKING}')), '&')"
+    return f"CASE WHEN {_host_sql(url)} <> '' THEN concat({_host_sql(url)}, {path}, CASE WHEN {named} <> '' THEN concat('?', {named}) ELSE '' END) END"
+
+
+def _dots_sql(path: str) -> str:
+    """``path`` with its ``.`` and ``..`` steps taken."""
+    whole = f"CASE WHEN regexp_matches({path}, '(?s)/\\.\\.?$') THEN concat({path}, '/') ELSE {path} END"
+    step = "CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN x = '.' THEN a ELSE concat(a, '/', x) END"
+    return f"coalesce(nullif(list_reduce(string_split({whole}, '/')[2:], lambda a, x: {step}, ''), ''), '/')"
 
 
 def _rule_sql(column: int) -> str:
@@ -151,24 +160,32 @@ def _rule_sql(column: int) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
-_CANONICAL = """(?is)(<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>)"""
 _HREF = """(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)"""
-_REFRESH = """(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*\\burl\\s*=\\s*["'']?([^"''>\\s]+)"""
+_QUOTED = str.maketrans({"'": "''"})
 
 _URL_SQL = f"""
-WITH RECURSIVE linked AS (SELECT url, unnest([regexp_extract(regexp_extract(html, '{_CANONICAL}', 1), '{_HREF}', 1),
-  regexp_extract(html, '{_REFRESH}', 1)]) AS link FROM pages),
-absolute AS (SELECT url, CASE WHEN contains(link, '://') THEN link
+WITH RECURSIVE tags AS (SELECT url, unnest(list_concat(
+  list_transform(regexp_extract_all(html, '{urls.CANONICAL.translate(_QUOTED)}', 1), lambda tag: regexp_extract(tag, '{_HREF}', 1)),
+  regexp_extract_all(html, '{urls.REFRESH.translate(_QUOTED)}', 1))) AS link FROM pages),
+linked AS (SELECT url, link, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS root, regexp_extract(link, '(?s)^([^?#]*)', 1) AS stem,
+  regexp_extract(link, '(?s)^[^?#]*(.*)$', 1) AS tail, concat('/', regexp_extract({_path_sql("url")}, '(?s)^/(.*/)', 1)) AS folder FROM tags WHERE link <> ''),
+absolute AS (SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
   WHEN starts_with(link, '//') THEN concat(regexp_extract(url, '(?s)^(.*?:)//', 1), link)
-  WHEN starts_with(link, '/') THEN concat(regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1), link) END AS link FROM linked WHERE link <> ''),
-pairs AS (SELECT {_key_sql("url")} AS a, {_key_sql("link")} AS b FROM absolute),
-edges AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b),
+  WHEN starts_with(link, '/') THEN concat(root, {_dots_sql("stem")}, tail)
+  WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+  WHEN stem = '' THEN concat(root, {_path_sql("url")}, tail)
+  ELSE concat(root, {_dots_sql("concat(folder, stem)")}, tail) END AS target FROM linked),
+pairs AS (SELECT {_key_sql("url")} AS a, {_key_sql("target")} AS b, {_host_sql("target")} AS host, {_path_sql("target")} AS path
+  FROM absolute WHERE target IS NOT NULL),
+sure AS (SELECT * FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL),
+edges AS (SELECT a, b FROM sure WHERE a <> b UNION SELECT b, a FROM sure WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other),
 named AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
 split AS (SELECT page_id, {_host_sql("url")} AS host, {_path_sql("url")} AS path, {_key_sql("url")} AS node FROM pages),
 judged AS (SELECT page_id, host, path, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS own, coalesce(component, s.node) AS alias_of
   FROM split s LEFT JOIN named n ON n.node = s.node),
-spread AS (SELECT alias_of, bool_or(own = 'block') AND NOT coalesce(bool_or(own = 'allow'), FALSE) AS blocked FROM judged GROUP BY alias_of)
+told AS (SELECT alias_of, own FROM judged UNION ALL SELECT coalesce(component, b), {_rule_sql(1)} FROM sure LEFT JOIN named n ON n.node = b),
+spread AS (SELECT alias_of, bool_or(own = 'block') AND NOT coalesce(bool_or(own = 'allow'), FALSE) AS blocked FROM told GROUP BY alias_of)
 SELECT page_id, host, path, rule, j.alias_of,
   coalesce(own, CASE WHEN j.alias_of IS NOT NULL AND blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN spread s ON s.alias_of = j.alias_of"""

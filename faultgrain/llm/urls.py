@@ -1,8 +1,8 @@
 """URL filters that follow redirects and canonical links, in DataFrame functions alone.
 
-Rules judge urls by host and path. A page's aliases are the pages whose urls differ only in
-what names no other page, and those joined to it by redirects and canonical links, over any
-number of steps; they are the connected components of the graph of both. A block reaches all
+Rules judge urls by host and path. A page's aliases are the pages joined to it by redirects and
+canonical links, over any number of steps: the connected components of the graph of both, whose nodes are
+urls without what names no other page (scheme, fragment, tracking parameters). A block reaches all
 aliases that no rule judges, unless one of them is explicitly allowed.
 """
 
@@ -60,14 +60,19 @@ def matched(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.coalesce(*fits)
 
 
+# Query parameters that only say where a visitor came from.
+TRACKING = r"^(utm_[a-z]+|gclid|fbclid|msclkid|mc_cid|mc_eid)(=|$)"
+
+
 def key_of(url: Column) -> Column:
-    """What all spellings of one page's url share; null without a host.
+    """What all spellings of one page's url share: host, path (the root's if empty) and query; null without a host.
 
-    Scheme, ``www.`` and ``m.``, query, fragment, a trailing ``/`` or ``index.html`` and ``.html`` name no other page.
+    Scheme, fragment and the parameters of TRACKING name no other page; everything else may.
     """
-    host = F.regexp_replace(host_of(url), r"^(www\.|m\.)", "")
-    path = F.regexp_replace(path_of(url), r"(/index\.html?|\.html?|/+)$", "")
-    return F.when(host != "", F.concat(host, path))
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+    named = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
+    return F.when(host_of(url) != "", F.concat(host_of(url), path, F.when(named != "", F.concat(F.lit("?"), named)).otherwise("")))
 
 
 def _without_dots(path: Column) -> Column:
@@ -104,12 +109,18 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']?([^"'\s>]+)""", 1)
 
 
+CANONICAL = r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)"""
+REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'>\s]+)"""
+
+
 def alias_links(pages: DataFrame) -> DataFrame:
-    """``a, b, target``: keys of pages and of the pages they redirect to or name as canonical, and the latter's full url."""
+    """``a, b, target``: keys of pages and of the pages they redirect to or name as canonical, and the latter's full url.
+
+    All such tags of a page count.
+    """
     html, url = F.col("html"), F.col("url")
-    canonical = F.regexp_extract(html, r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'>\s]+)""", 1)
-    targets = F.array(_attribute(canonical, "href"), refresh)
+    canonical = F.transform(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(1)), lambda tag: _attribute(tag, "href"))
+    targets = F.concat(canonical, F.regexp_extract_all(html, F.lit(REFRESH), F.lit(1)))
     linked = pages.select(url, F.explode(targets).alias("link")).filter("link != ''")
     linked = linked.select(url, _absolute(F.col("link"), url).alias("target"))
     return linked.select(key_of(url).alias("a"), key_of(F.col("target")).alias("b"), "target").dropna()
