@@ -1,12 +1,14 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are compared as words in lower case joined by one blank. A test unit is an item,
+Texts and test items are compared as words in lower case joined by one blank, and a match begins and ends
+where words do. A test unit is an item (a long one: each of its stretches of some STRETCH characters),
 and each UNIT_WORDS words of it that follow one another. A unit of m characters may be
 misquoted by e = m // EDIT_EVERY edits; cut into e + 1 pieces, at least one of which is
 then quoted exactly. A unit of UNIT_WORDS words may instead have one word replaced, lost or added, of any length;
 if that could touch all pieces its two halves are pieces too. One pass of an automaton over each text finds all
 pieces, and around each hit Myers' bit-parallel distance, in characters and then in words, decides
 whether the whole unit is there. So any UNIT_WORDS consecutive words of an item with up to e edits or one other word are found.
+An item of fewer than SHORT_WORDS words, which ordinary prose holds by chance, is only found in a text that is nothing else.
 
 The benchmark is taken in blocks of bounded size, each sent to all machines; each block scans
 all documents, so no document is compared with an item it shares no piece with.
@@ -14,6 +16,7 @@ all documents, so no document is compared with an item it shares no piece with.
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -28,6 +31,8 @@ from faultgrain.llm.common import keyed, slices, unkeyed
 
 EDIT_EVERY = 18
 UNIT_WORDS = 13
+SHORT_WORDS = 4
+STRETCH = 1024
 BLOCK_BYTES = 512 << 10
 _BLANKS = bytes.maketrans(
     bytes(range(128)), bytes(c + 32 if 0x41 <= c < 0x5B else c if chr(c).isalnum() else 0x20 for c in range(128))
@@ -44,18 +49,38 @@ class Unit(NamedTuple):
     text: str
     edits: int
     words: int  # that may be other ones, lost or added
+    alone: bool = False  # only found in a text that is nothing else
+
+
+def _stretches(own: list[str]) -> list[str]:
+    """Words in stretches of at least STRETCH characters, one for a text below two of them.
+
+    They leave no word out, so if the whole is quoted with an edit for every EDIT_EVERY characters, one of them is too.
+    """
+    out, size = [[]], 0
+    for word in own:
+        if size >= STRETCH:
+            out.append([])
+            size = 0
+        out[-1].append(word)
+        size += len(word) + 1
+    if len(out) > 1 and size < STRETCH:
+        rest = out.pop()
+        out[-1] += rest
+    return [" ".join(words) for words in out]
 
 
 def units(item_id: int, text: str | None) -> list[Unit]:
-    """An item, and each UNIT_WORDS of its words that follow one another; none if it is empty."""
+    """An item by its stretches, and each UNIT_WORDS of its words that follow one another; none if it is empty."""
     own = plain(text).split(" ")
     if own == [""]:
         return []
+    if len(own) < SHORT_WORDS:
+        return [Unit(item_id, " ".join(own), 0, 0, True)]
     windows = dict.fromkeys(" ".join(own[k : k + UNIT_WORDS]) for k in range(len(own) - UNIT_WORDS + 1))
-    whole = " ".join(own)
-    windows.pop(whole, None)
-    found = [Unit(item_id, whole, len(whole) // EDIT_EVERY, int(len(own) == UNIT_WORDS))]
-    return found + [Unit(item_id, line, len(line) // EDIT_EVERY, 1) for line in windows]
+    stretches = dict.fromkeys(_stretches(own))
+    found = [Unit(item_id, line, len(line) // EDIT_EVERY, int(len(own) == UNIT_WORDS)) for line in stretches]
+    return found + [Unit(item_id, line, len(line) // EDIT_EVERY, 1) for line in windows if line not in stretches]
 
 
 def pieces(unit: Unit) -> Iterator[tuple[int, str]]:
@@ -100,6 +125,31 @@ def closest(pattern: Sequence[str], text: Sequence[str], most: int) -> tuple[int
     return best
 
 
+def distances(pattern: str, text: str, most: int) -> list[tuple[int, int]]:
+    """(distance, end) for the parts of ``text`` that begin at its start and end beside a blank or at its end, at most ``most`` away.
+
+    The same columns as in ``closest``, but each further character of ``text`` costs an edit.
+    """
+    m = len(pattern)
+    places: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        places[c] = places.get(c, 0) | 1 << i
+    full, last = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, score, out = full, 0, m, []
+    for end, c in enumerate(text[: m + most], 1):
+        match = places.get(c, 0)
+        across = match | minus
+        diagonal = (((match & plus) + plus) ^ plus) | match
+        up = minus | (full & ~(diagonal | plus))
+        down = plus & diagonal
+        score += bool(up & last) - bool(down & last)
+        up, down = ((up << 1) | 1) & full, (down << 1) & full
+        plus, minus = down | (full & ~(across | up)), up & across
+        if score <= most and (end == len(text) or " " in text[end - 1 : end + 1]):
+            out.append((score, end))
+    return out
+
+
 def _begin(pattern: Sequence[str], text: Sequence[str], end: int, distance: int) -> int:
     """Where the part of ``text`` that ends at ``end`` with this distance begins: the same search backwards."""
     back = text[max(0, end - len(pattern) - distance) : end][::-1]
@@ -107,6 +157,27 @@ def _begin(pattern: Sequence[str], text: Sequence[str], end: int, distance: int)
     return end - (found[1] if found else len(pattern))
 
 
+def quoted(pattern: str, line: str, at: int, most: int) -> tuple[int, int, int] | None:
+    """(distance, first, last) of the part of ``line`` closest to ``pattern`` that begins within ``most`` places of ``at``.
+
+    It begins and ends beside blanks or the line's ends, so never inside a word. The first of the closest counts;
+    None above ``most`` edits.
+    """
+    end = at + len(pattern)
+    if at >= 0 and line.startswith(pattern, at) and (not at or line[at - 1] == " ") and (end == len(line) or line[end] == " "):
+        return 0, at, end
+    low, high = max(0, at - most), min(len(line), end + most)
+    if closest(pattern, line[low:high], most) is None:  # anywhere, also inside words
+        return None
+    best = None
+    for start in range(low, min(at + most + 1, high)):
+        if not start or " " in line[start - 1 : start + 1]:
+            for distance, size in distances(pattern, line[start : high + 1], most):
+                if start + size <= high and (best is None or distance < best[0]):
+                    best = distance, start, start + size
+    return best
+
+
 class _Words:
     """A line's words and where they begin."""
 
@@ -130,10 +201,14 @@ class _Words:
         return self.starts[first], self.starts[last] + len(self.words[last])
 
 
-def _search(block: Broadcast):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+# The units and the automaton of the block a worker had last: its next tasks use it again.
+_held: dict[str, tuple[list[Unit], object]] = {}
 
+
+def _matcher(name: str, block: Broadcast) -> tuple[list[Unit], object]:
+    import ahocorasick
+
+    if name not in _held:
         own: list[Unit] = block.value
         wanted: dict[str, list[tuple[int, int]]] = {}
         for number, unit in enumerate(own):
@@ -143,6 +218,16 @@ def _search(block: Broadcast):
         for piece, where in wanted.items():
             automaton.add_word(piece, (len(piece), where))
         automaton.make_automaton()
+        _held.clear()
+        _held[name] = own, automaton
+    return _held[name]
+
+
+def _search(block: Broadcast):
+    name = uuid.uuid4().hex
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, automaton = _matcher(name, block)
         for batch in slices(batches):
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
@@ -159,24 +244,21 @@ def _search(block: Broadcast):
                         unit = own[number]
                         if number in found and (found[number][0] == 0 or (number, at - start) in tried):
                             continue
-                        hit = None
+                        if unit.alone:
+                            if line == unit.text:
+                                found[number] = 0, 0, len(line)
+                            continue
+                        place = None
                         if (number, at - start) not in tried:
                             tried.add((number, at - start))
-                            low = max(0, at - start - unit.edits)
-                            part = line[low : at - start + len(unit.text) + unit.edits]
-                            hit = closest(unit.text, part, unit.edits)
-                        if hit:
-                            place = hit[0], low + _begin(unit.text, part, hit[1], hit[0]), low + hit[1]
-                        elif unit.words:
+                            place = quoted(unit.text, line, at - start, unit.edits)
+                        if not place and unit.words:
                             split = split or _Words(line)
                             reach = split.closest(unit, start, at)
                             if not reach:
                                 continue
-                            part = line[reach[0] : reach[1]]
-                            place = closest(unit.text, part, len(unit.text))[0], *reach
-                        else:
-                            continue
-                        if number not in found or place[0] < found[number][0]:
+                            place = closest(unit.text, line[reach[0] : reach[1]], len(unit.text))[0], *reach
+                        if place and (number not in found or place[0] < found[number][0]):
                             found[number] = place
                 rows += [(doc, own[k].item_id, d, s, e, len(own[k].text)) for k, (d, s, e) in found.items()]
             names = ["doc_id", "item_id", "distance", "first", "last", "unit_chars"]
@@ -200,7 +282,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Where documents hold test units: ``doc_id, item_id, distance, first, last, unit_chars``, a row a unit found.
 
     ``first`` and ``last`` (end exclusive) are places in the document's plain text of the closest
-    match. A unit shorter than EDIT_EVERY characters is only found as it is. Null and empty texts hold
+    match. A unit shorter than EDIT_EVERY characters is only found as it is, an item of fewer than SHORT_WORDS
+    words only where the whole text is that. Null and empty texts hold
     nothing, and null and empty items are in nothing; items without item_id are left out, repeated
     ones count once. Rows of one doc_id give their own rows. Empty tables give no rows.
     """

@@ -346,10 +346,95 @@ def test_decontamination(spark, tables, given):
     items = [(r["item_id"], r["text"]) for r in tables("benchmark").collect()]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(tables("documents"), tables("benchmark")).collect()}
     plain = {i: decontaminate.plain(t) for i, t in items}
-    assert got == {(d, i) for d, t in given for i, p in plain.items() if p in decontaminate.plain(t)}
+    assert got == {(d, i) for d, t in given for i, p in plain.items() if f" {p} " in f" {decontaminate.plain(t)} "}
     assert got
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_word_bounded_distances():
+    pick = random.Random(6)
+    for _ in range(200):
+        pattern = "".join(pick.choices("ab ", k=pick.randint(1, 14)))
+        text = "".join(pick.choices("ab ", k=pick.randint(0, 24)))
+        most = pick.randint(0, 6)
+        ends = [e for e in range(1, min(len(text), len(pattern) + most) + 1) if e == len(text) or " " in text[e - 1 : e + 1]]
+        want = [(d, e) for e in ends if (d := edit_distance(pattern, text[:e])) <= most]
+        assert decontaminate.distances(pattern, text, most) == want
+        at = pick.randint(0, max(0, len(text) - 1))
+        found = decontaminate.quoted(pattern, text, at, most)
+        bounds = [k for k in range(len(text) + 1) if k in (0, len(text)) or " " in text[k - 1 : k + 1]]
+        parts = [(edit_distance(pattern, text[a:b]), a, b) for a in bounds for b in bounds if a < b and abs(a - at) <= most and b <= at + len(pattern) + most]
+        best = min((d for d, *_ in parts if d <= most), default=None)
+        assert (found and found[0]) == best
+        if found:
+            assert edit_distance(pattern, text[found[1] : found[2]]) == best
+
+
+def plain_contaminated(line, unit):
+    """Whether a unit is in a line of plain words, by all word-bounded parts of about its length."""
+    if unit.alone:
+        return line == unit.text
+    words, own = line.split(" "), unit.text.split(" ")
+    bounds = [k for k in range(len(line) + 1) if k in (0, len(line)) or " " in line[k - 1 : k + 1]]
+    for a in bounds:
+        for b in bounds:
+            if abs(b - a - len(unit.text)) <= unit.edits and edit_distance(unit.text, line[a:b]) <= unit.edits:
+                return True
+    if unit.words:
+        for i in range(len(words)):
+            if any(edit_distance(own, words[i : i + n]) <= 1 for n in (len(own) - 1, len(own), len(own) + 1)):
+                return True
+    return False
+
+
+def test_found_and_not_found_as_by_brute_force(spark):
+    pick = random.Random(4)
+    items = [
+        (1, "yes"), (2, "a"), (3, "What is the capital of France?"), (4, "one two three"), (5, "which is the best way home today"),
+        (6, "the quick brown fox jumps over the lazy dog and runs far away from it all"), (7, "x" * 40), (8, "Deux mots é ü, trois!"),
+    ]
+    texts = [
+        "yesterday cats sat", "yes", "Yes!", "a", "no, a cat", "tell me what is the capital of francesca now", "what is the capital of france",
+        "so what is the capitol of france then", "what is the capital of fran", "one two three", "count one two three", "one two threes",
+        "awhich is the best way home today", "which is the best way home todays", "which is tha best way home today or not",
+        "deux mots e u trois", "et deux mots é ü trois fois", "y" + "x" * 40, "x" * 40 + " y", "x" * 39 + "y x", "", " ",
+    ]
+    line = decontaminate.plain(items[5][1]).split(" ")
+    for _ in range(60):
+        own = line[pick.randint(0, 3) : pick.randint(12, 16)]
+        for _ in range(pick.randint(0, 3)):
+            k = pick.randrange(len(own))
+            own[k] = pick.choice([own[k][1:], own[k] + "s", "other", own[k] + " " + own[k]])
+        texts.append(pick.choice(["", "pre", "and then "]) + " ".join(own) + pick.choice(["", "post", " it was"]))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(3, texts[3])]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = [(r["doc_id"], r["item_id"]) for r in got.collect()]
+    units = [u for item in items for u in decontaminate.units(*item)]
+    want = {(k, u.item_id) for k, t in enumerate(texts) for u in units if plain_contaminated(decontaminate.plain(t), u)}
+    assert sorted(got) == sorted(want)
+    assert {(0, 1), (4, 2), (5, 3)}.isdisjoint(want) and {(1, 1), (2, 1), (3, 2), (6, 3), (7, 3)} <= want
+
+
+def test_long_items_are_taken_by_stretches(spark, tables):
+    words = " ".join(f"word{k * 7919 % 1000}" for k in range(8000))
+    units = decontaminate.units(1, words)
+    assert max(len(u.text) for u in units) < 3 * decontaminate.STRETCH
+    parts = decontaminate._stretches(decontaminate.plain(words).split(" "))
+    assert " ".join(parts) == words and min(map(len, parts)) >= decontaminate.STRETCH
+    docs = spark.createDataFrame([(1, "start " + words[30_000:31_000] + " end"), (2, "word1 word2")], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(5, words)], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == {1}
+
+
 def test_decontamination_within_the_budget(spark, tables):
     pick, rows = random.Random(8), []
     items = [r["text"] for r in tables("benchmark").collect()]
