@@ -31,18 +31,19 @@ MERGE_TASK = (
 )
 
 
+# The words and the line by which a listing and a prompt show a file's functions.
+NO_FUNCTIONS, FUNCTIONS_UNKNOWN, NONE_EXTRACTED = "no functions", "functions unknown", "none extracted"
+LISTING_LINE, SPAN = "- %s (%s, %d lines): %s", "%s (lines %d-%d)"
+
+
 def span_names(functions: Column) -> Column:
     """``a, b``; ``no functions`` for none and ``functions unknown`` for NULL."""
-    names = F.array_join(F.transform(functions, lambda span: span["name"]), ", ")
-    return F.when(functions.isNull(), "functions unknown").when(
-        F.size(functions) == 0, "no functions"
-    ).otherwise(names)
+    names = F.when(F.size(functions) > 0, F.array_join(functions["name"], ", ")).otherwise(NO_FUNCTIONS)
+    return F.when(functions.isNotNull(), names).otherwise(FUNCTIONS_UNKNOWN)
 
 
 def listing_line(path: Column, language: Column, lines: Column, functions: Column) -> Column:
-    return F.concat(
-        F.lit("- "), path, F.lit(" ("), language, F.lit(", "), lines, F.lit(" lines): "), span_names(functions)
-    )
+    return F.format_string(LISTING_LINE, path, language, lines, span_names(functions))
 
 
 def corpus_listing(index: DataFrame, part_lines: int | None = None) -> DataFrame:
@@ -134,13 +135,8 @@ def _fill(*pieces: Column | str) -> Column:
 
 def span_list(functions: Column) -> Column:
     """``a (lines 1-3), b (lines 5-9)``; '' for none and ``none extracted`` for NULL."""
-    shown = F.transform(
-        functions,
-        lambda span: _fill(
-            span["name"], " (lines ", span["start"].cast("string"), "-", span["end"].cast("string"), ")"
-        ),
-    )
-    return F.coalesce(F.array_join(shown, ", "), F.lit("none extracted"))
+    shown = F.transform(functions, lambda span: F.format_string(SPAN, span["name"], span["start"], span["end"]))
+    return F.coalesce(F.array_join(shown, ", "), F.lit(NONE_EXTRACTED))
 
 
 def explore_prompt(overview: Column) -> Column:

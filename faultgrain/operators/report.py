@@ -1,24 +1,25 @@
-"""The bug report as ordered text blocks.
+"""The bug report as ordered text blocks: a table of bugs for each weakness and one of what is not proven.
 
-Each block is one row with its sort key; headings come from the distinct groups, so no row
+Each block is one row with its sort key; table heads come from the distinct groups, so no row
 has to look at its neighbour and the sort is the only global step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultgrain.functions import weakness
 from faultgrain.plans.skew import lookup
 
-TITLE = "# Bug report\n"
-NOTHING = "No confirmed bugs."
-APPENDIX = "## Appendix: unresolved candidates\n\nNone of these is claimed as a bug.\n"
-UNRESOLVED = {
-    "inconclusive": "### Inconclusive\n",
-    "rejected": "### Rejected\n",
-}
+TITLE = "# Proven bugs\n"
+NOTHING = "Nothing was proven.\n"
+BUG_COLUMNS = ("Bug", "Function", "File", "Category", "Description", "Trigger", "Probe", "Evidence")
+OPEN_TITLE = "## Not proven"
+OPEN_COLUMNS = ("State", "File", "Function", "Weakness", "Attempts", "Why")
+UNRESOLVED = ("inconclusive", "rejected")
 ORDER = ("section", "grp", "kind", "first", "second", "id")
 
 
@@ -58,49 +59,41 @@ def _block(rows: DataFrame, section: int, kind: int, text: Column, **keys: Colum
     )
 
 
+def table_head(columns: Sequence[str]) -> str:
+    return "\n".join((f"| {' | '.join(columns)} |", f"|{' --- |' * len(columns)}"))
+
+
+def _row(*cells: Column) -> Column:
+    """A table row; line ends in a cell become blanks, bars are escaped, a missing text is an empty cell."""
+
+    def cell(value: Column) -> Column:
+        one_line = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[\r\n]+", " ")
+        return F.replace(one_line, F.lit("|"), F.lit("\\|"))
+
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, cells)), F.lit(" |"))
+
+
 def bug_blocks(bugs: DataFrame) -> DataFrame:
-    """A heading per weakness id and an entry per bug, by (weakness id, function, bug id)."""
-    group = F.col("cwe_id")
-    headings = bugs.select("cwe_id").distinct()
-    heading = F.concat(F.lit("## "), weakness.label(group), F.lit("\n"))
-    entry = F.concat(
-        F.lit("### #"), F.col("id"), F.lit(" "), F.col("function"), F.lit(" — "), F.col("bug_category"),
-        F.lit("\n\n- file: `"), F.col("file"),
-        F.lit("`\n- evidence key: `"), F.col("evidence_key"),
-        F.lit("`\n- probe: `"), F.col("probe_path"),
-        F.lit("`\n\n"), F.col("description"),
-        F.lit("\n\nTrigger: "), F.col("trigger"), F.lit("\n"),
-    )
-    return _block(headings, 1, 0, heading, grp=group).unionByName(
-        _block(bugs, 1, 1, entry, grp=group, first=F.col("function"), id=F.col("id"))
+    """A table per weakness id with a row per bug, by (weakness id, function, bug id)."""
+    group, columns = F.col("cwe_id"), ("id", "function", "file", "bug_category", "description", "trigger", "probe_path", "evidence_key")
+    groups = bugs.select("cwe_id").distinct()
+    heading = F.concat(F.lit("## "), weakness.label(group), F.lit("\n\n" + table_head(BUG_COLUMNS)))
+    row = _row(*map(F.col, columns))
+    return (
+        _block(groups, 1, 0, heading, grp=group)
+        .unionByName(_block(bugs, 1, 1, row, grp=group, first=F.col("function"), id=F.col("id")))
+        .unionByName(_block(groups, 1, 2, F.lit(""), grp=group))  # an empty line ends a table
     )
 
 
 def appendix_blocks(candidates: DataFrame) -> DataFrame:
-    """Inconclusive then rejected candidates, each by (file, function); no rows when none."""
+    """One table of inconclusive, then rejected candidates, each by (file, function); no rows when there are none."""
     rows = unresolved(candidates)
-    status = F.col("status")
-    rank = F.when(status == "inconclusive", 0).otherwise(1)
-    titles = F.create_map(*(F.lit(item) for pair in UNRESOLVED.items() for item in pair))
-    attempts = F.when(
-        status == "inconclusive", F.concat(F.lit(", "), F.col("verify_attempts"), F.lit(" attempt(s)"))
-    )
-    reason = F.when(F.col("reject_reason") != "", F.concat(F.lit(" — "), F.col("reject_reason")))
-    line = F.concat(
-        F.lit("- `"), F.col("function"), F.lit("` (`"), F.col("file"), F.lit("`, "),
-        weakness.label(F.col("cwe_id")), F.lit(")"),
-        F.coalesce(attempts, F.lit("")), F.coalesce(reason, F.lit("")),
-    )
-    present = rows.select("status").distinct()
-    any_row = present.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    # An empty line closes each list.
-    return (
-        _block(any_row, 2, 0, F.lit(APPENDIX))
-        .unionByName(_block(present, 3, 0, F.element_at(titles, status), grp=rank))
-        .unionByName(
-            _block(rows, 3, 1, line, grp=rank, first=F.col("file"), second=F.col("function"), id=F.col("id"))
-        )
-        .unionByName(_block(present, 3, 2, F.lit(""), grp=rank))
+    rank = F.when(F.col("status") == "inconclusive", 0).otherwise(1)
+    any_row = rows.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    row = _row(F.col("status"), F.col("file"), F.col("function"), weakness.label(F.col("cwe_id")), F.col("verify_attempts"), F.col("reject_reason"))
+    return _block(any_row, 2, 0, F.lit(f"{OPEN_TITLE}\n\n{table_head(OPEN_COLUMNS)}")).unionByName(
+        _block(rows, 3, 1, row, grp=rank, first=F.col("file"), second=F.col("function"), id=F.col("id"))
     )
 
 

@@ -333,29 +333,37 @@ def unresolved_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LF = "chr(10)"
+
+
+def _line_sql(*cells: str) -> str:
+    shown = [f"replace(regexp_replace(coalesce(CAST({c} AS VARCHAR), ''), '[\\r\\n]+', ' ', 'g'), '|', '\\|')" for c in cells]
+    return "concat('| ', " + ", ' | ', ".join(shown) + ", ' |')"
+
+
+def _head_sql(columns: tuple[str, ...]) -> str:
+    return ", ".join(f"'{line}'" for line in rep.table_head(columns).split("\n")).replace("', '", f"', {_LF}, '")
+
+
+_BUG_ROWS = f"({_BUGS}) b JOIN ($candidates) c ON c.id = b.candidate_id"
+_BUG_GROUPS = f"(SELECT DISTINCT c.cwe_id FROM {_BUG_ROWS}) g"
 _BUG_BLOCKS = f"""
 SELECT 1 AS section, cwe_id AS grp, 0 AS kind, '' AS first, '' AS second, 0 AS id,
-  concat('## ', {LABEL_SQL}, {_LF}) AS text
-FROM (SELECT DISTINCT c.cwe_id FROM ({_BUGS}) b JOIN ($candidates) c ON c.id = b.candidate_id) g
-UNION ALL
-SELECT 1, cwe_id, 1, function, '', b.id, concat('### #', b.id, ' ', function, ' — ', bug_category, {_LF}, {_LF},
-  '- file: `', file, '`', {_LF}, '- evidence key: `', evidence_key, '`', {_LF}, '- probe: `', probe_path, '`', {_LF}, {_LF},
-  description, {_LF}, {_LF}, 'Trigger: ', trigger, {_LF})
-FROM ({_BUGS}) b JOIN ($candidates) c ON c.id = b.candidate_id
+  concat('## ', {LABEL_SQL}, {_LF}, {_LF}, {_head_sql(rep.BUG_COLUMNS)}) AS text FROM {_BUG_GROUPS}
+UNION ALL SELECT 1, cwe_id, 1, function, '', b.id,
+  {_line_sql("b.id", "function", "file", "bug_category", "description", "trigger", "probe_path", "evidence_key")} FROM {_BUG_ROWS}
+UNION ALL SELECT 1, cwe_id, 2, '', '', 0, '' FROM {_BUG_GROUPS}
 """
 _APPENDIX_BLOCKS = f"""
 SELECT 2 AS section, 0 AS grp, 0 AS kind, '' AS first, '' AS second, 0 AS id,
-  concat('## Appendix: unresolved candidates', {_LF}, {_LF}, 'None of these is claimed as a bug.', {_LF}) AS text
+  concat('{rep.OPEN_TITLE}', {_LF}, {_LF}, {_head_sql(rep.OPEN_COLUMNS)}) AS text
 FROM (SELECT count(*) AS n FROM ({_UNRESOLVED}) u) a WHERE n > 0
-UNION ALL SELECT 3, CASE status WHEN 'inconclusive' THEN 0 ELSE 1 END, edge, '', '', 0,
-  CASE WHEN edge = 2 THEN '' WHEN status = 'inconclusive' THEN concat('### Inconclusive', {_LF}) ELSE concat('### Rejected', {_LF}) END
-FROM (SELECT DISTINCT status, edge FROM ({_UNRESOLVED}) u, (SELECT 0 AS edge UNION ALL SELECT 2) e) s
 UNION ALL SELECT 3, CASE status WHEN 'inconclusive' THEN 0 ELSE 1 END, 1, file, function, id,
-  concat('- `', function, '` (`', file, '`, ', {LABEL_SQL}, ')',
-    CASE WHEN status = 'inconclusive' THEN concat(', ', verify_attempts, ' attempt(s)') ELSE '' END,
-    CASE WHEN reject_reason <> '' THEN concat(' — ', reject_reason) ELSE '' END)
-FROM ({_UNRESOLVED}) u
+  {_line_sql("status", "file", "function", LABEL_SQL, "verify_attempts", "reject_reason")} FROM ({_UNRESOLVED}) u
 """
+_REPORT_BLOCKS = (
+    f"SELECT 0 AS section, 0 AS grp, 0 AS kind, '' AS first, '' AS second, 0 AS id, concat('{rep.TITLE.strip()}', {_LF}) AS text "
+    f"UNION ALL SELECT * FROM ({_BUG_BLOCKS}) b UNION ALL SELECT * FROM ({_APPENDIX_BLOCKS}) a"
+)
 
 
 @query(_BUG_BLOCKS)
@@ -370,13 +378,46 @@ def report_appendix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rep.appendix_blocks(view(spark, sf_dir, "candidates"))
 
 
-@query(
-    "SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM ("
-    f"SELECT concat('# Bug report', {_LF}) AS text UNION ALL SELECT text FROM ({_BUG_BLOCKS}) b "
-    f"UNION ALL SELECT text FROM ({_APPENDIX_BLOCKS}) a) t) l GROUP BY line"
-)
+@query(f"SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, {_LF})) AS line FROM ({_REPORT_BLOCKS}) t) l GROUP BY line")
 def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report written as ordered text and read back, counted by line."""
     folder = scratch_path(spark, "report")
     sinks.write_report(rep.report(_bugs(spark, sf_dir), view(spark, sf_dir, "candidates")), folder)
     return spark.read.text(folder).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT CAST(generate_subscripts(lines, 1) AS BIGINT) AS position, unnest(lines) AS line FROM "
+    f"(SELECT string_split(string_agg(text, {_LF} ORDER BY section, grp, kind, first, second, id), {_LF}) AS lines FROM ({_REPORT_BLOCKS}) b) l"
+)
+def report_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report published, then another in its place: what readers see, line by line in its order."""
+    folder, candidates = scratch_path(spark, "report"), view(spark, sf_dir, "candidates")
+    bugs = _bugs(spark, sf_dir)
+    sinks.publish_report(rep.report(bugs.filter("id % 2 = 0"), candidates), folder)
+    sinks.publish_report(rep.report(bugs, candidates), folder)
+    return sinks.read_report(spark, folder)
+
+
+@query("SELECT row_number() OVER (ORDER BY id) AS place, id, file FROM ($candidates) c WHERE status = 'pending'")
+def pending_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending candidates in id order, by the place where a reader of the written rows finds them."""
+    found = in_id_order(pending(view(spark, sf_dir, "candidates"))).select("id", "file")
+    return _placed(spark, found, "place")
+
+
+@query("SELECT row_number() OVER (ORDER BY id) AS place, id, status FROM ($candidates) c")
+def ledger_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of a ledger in id order, settled ones apart from pending ones, by their written place."""
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    still_open, closed = split_by_status(view(spark, sf_dir, "candidates"))
+    ledger.commit(append={"closed": closed, "open": still_open})
+    return _placed(spark, in_id_order(ledger.candidates()).select("id", "status"), "place")
+
+
+def _placed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written as they come, with the place from 1 at which each one stands in the files."""
+    folder = scratch_path(spark, "ordered")
+    rows.write.parquet(folder)
+    written = spark.read.schema(rows.schema).parquet(folder).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return assign_ids(written, ["_file", "_row"], column=name).select(name, *rows.columns)

@@ -88,55 +88,28 @@ def test_snapshot_is_a_frozen_copy(spark, tmp_path):
         snapshot.freeze(files, str(tmp_path), "s1")
 
 
-REPORT = """# Bug report
+REPORT = """# Proven bugs
 
 ## CWE-20: Improper Input Validation
 
-### #2 beta — math
-
-- file: `f4.c`
-- evidence key: `k2`
-- probe: `probe_4`
-
-what
-
-Trigger: how
+| Bug | Function | File | Category | Description | Trigger | Probe | Evidence |
+| --- | --- | --- | --- | --- | --- | --- | --- |
+| 2 | beta | f4.c | math | what | how | probe_4 | k2 |
 
 ## CWE-369: Divide By Zero
 
-### #1 main — math
-
-- file: `f3.c`
-- evidence key: `k1`
-- probe: `probe_3`
-
-what
-
-Trigger: how
-
-### #3 main — math
-
-- file: `f6.c`
-- evidence key: `k3`
-- probe: `probe_6`
-
-what
+| Bug | Function | File | Category | Description | Trigger | Probe | Evidence |
+| --- | --- | --- | --- | --- | --- | --- | --- |
+| 1 | main | f3.c | math | what | how | probe_3 | k1 |
+| 3 | main | f6.c | math | what | how | probe_6 | k\\|3 |
 
-Trigger: how
-
-## Appendix: unresolved candidates
-
-None of these is claimed as a bug.
-
-### Inconclusive
-
-- `main` (`f2.c`, CWE-369: Divide By Zero), 3 attempt(s) — no evidence
-
-### Rejected
-
-- `main` (`f1.c`, CWE-369: Divide By Zero) — clean
-- `main` (`f5.c`, CWE-369: Divide By Zero)
+## Not proven
 
+| State | File | Function | Weakness | Attempts | Why |
+| --- | --- | --- | --- | --- | --- |
+| inconclusive | f2.c | main | CWE-369: Divide By Zero | 3 | no evidence |
+| rejected | f1.c | main | CWE-369: Divide By Zero | 0 | clean, in two lines |
+| rejected | f5.c | main | CWE-369: Divide By Zero | 0 |  |
 """
 
 
@@ -147,12 +120,12 @@ def text_of(folder):
 
 def test_report(spark, tmp_path):
     rows = candidates(
-        spark, (1, "rejected", "clean", 0), (2, "inconclusive", "no evidence", 3), (3, "confirmed", None, 0),
+        spark, (1, "rejected", "clean,\r\nin two lines", 0), (2, "inconclusive", "no evidence", 3), (3, "confirmed", None, 0),
         (4, "confirmed", None, 0), (5, "rejected", None, 0), (6, "confirmed", None, 0), (7, "pending", None, 0),
     )
     rows = rows.withColumn("cwe_id", F.when(F.col("id") == 4, 20).otherwise(F.col("cwe_id")))
     rows = rows.withColumn("function", F.when(F.col("id") == 4, "beta").otherwise(F.col("function")))
-    bugs = spark.createDataFrame([(1, 3, "probe_3", "k1"), (2, 4, "probe_4", "k2"), (3, 6, "probe_6", "k3")], CONFIRMED)
+    bugs = spark.createDataFrame([(1, 3, "probe_3", "k1"), (2, 4, "probe_4", "k2"), (3, 6, "probe_6", "k|3")], CONFIRMED)
     sinks.write_report(report.report(bugs, rows.repartition(3)), str(tmp_path / "r"))
     assert text_of(tmp_path / "r") == REPORT
 
@@ -160,4 +133,22 @@ def test_report(spark, tmp_path):
 def test_empty_report(spark, tmp_path):
     none = spark.createDataFrame([], CONFIRMED)
     sinks.write_report(report.report(none, candidates(spark, (1, "pending", None, 0))), str(tmp_path / "r"))
-    assert text_of(tmp_path / "r") == "# Bug report\n\nNo confirmed bugs.\n"
+    assert text_of(tmp_path / "r") == "# Proven bugs\n\nNothing was proven.\n\n"
+
+
+def test_a_report_is_replaced_whole(spark, tmp_path):
+    target = str(tmp_path / "report")
+    one, none = candidates(spark, (1, "rejected", "old", 0)), spark.createDataFrame([], CONFIRMED)
+    assert sinks.read_report(spark, target).count() == 0
+    sinks.publish_report(report.report(none, one), target)
+    first = [r.line for r in sinks.read_report(spark, target).orderBy("position").collect()]
+    assert first[:3] == ["# Proven bugs", "", "Nothing was proven."] and any("old" in line for line in first)
+    broken = report.report(none, one).withColumn("text", F.when(F.col("section") > 1, F.raise_error(F.lit("lost"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish_report(broken, target)
+    assert [r.line for r in sinks.read_report(spark, target).orderBy("position").collect()] == first
+    many = candidates(spark, *((k, "rejected", f"new {k}", 0) for k in range(1, 60)))
+    sinks.publish_report(report.report(none, many.repartition(4)), target)
+    rows = sinks.read_report(spark, target).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(1, len(rows) + 1)) and len(rows) == 9 + 59 - 1
+    assert [r.line.split("new ")[1] for r in rows[8:]] == [f"{k} |" for k in sorted(range(1, 60), key=lambda k: f"f{k}.c")]
