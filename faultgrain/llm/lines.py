@@ -159,7 +159,8 @@ def without(docs: DataFrame, key: str, gone: DataFrame, min_chars: int = MIN_CHA
     """
     lost = fresh(docs, "line_keys_gone")
     names = docs.columns
-    joined = docs.join(gone.toDF(key, lost), key, "left").select(*names, lost)
+    # The keys grow with the documents, so they are merged at every size.
+    joined = docs.join(gone.toDF(key, lost).hint("merge"), key, "left").select(*names, lost)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
