@@ -14,6 +14,7 @@ from faultgrain.session import scratch_path
 from faultgrain.sources.ledger import Ledger
 from faultgrain.streaming.attempts import finish_verification, start_verification
 from faultgrain.streaming.intake import start_intake
+from faultgrain.streaming.keyed_state import attempt_states, start_attempt_states, start_first_evidence
 from faultgrain.streaming.live_triage import STATE_STORE, first_evidence, keep_state_on_disk
 
 
@@ -95,3 +96,43 @@ def stream_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Ledger(spark, root).candidates().select(
         "id", status.alias("status"), F.col("verify_attempts").alias("attempts")
     )
+
+
+@query(
+    f"SELECT candidate_id AS id, coalesce(max({_OUTCOME_STATUS}), 'pending') AS status, CAST(max(fails) AS INT) AS attempts "
+    f"FROM ({_SETTLED_FRESH}) s GROUP BY candidate_id"
+)
+def stream_attempt_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts streamed out of order in three batches that cut nearly every run, counted in keyed state."""
+    folder, out, checkpoint = (scratch_path(spark, name) for name in ("split-events", "states", "stream"))
+    events = table(spark, sf_dir, "events")
+    provider, partitions = spark.conf.get(STATE_STORE), spark.conf.get("spark.sql.shuffle.partitions")
+    keep_state_on_disk(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    try:
+        for part in (2, 0, 1):
+            arrived = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part)
+            arrived.write.mode("append").parquet(f"{folder}/events.parquet")
+            start_attempt_states(stream_view(spark, folder, "attempts"), out, checkpoint).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set(STATE_STORE, provider)
+    return attempt_states(spark, out).select(F.col("candidate_id").alias("id"), "status", "attempts")
+
+
+@query(f"SELECT DISTINCT evidence_key FROM ({VERDICT_SQL}) v WHERE verdict = 'true_positive'")
+def stream_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proven evidence streamed in two batches into the ledger: state of bounded age, then the key table."""
+    root, folder, checkpoint = (scratch_path(spark, name) for name in ("ledger", "split-events", "stream"))
+    events = table(spark, sf_dir, "events")
+    provider, partitions = spark.conf.get(STATE_STORE), spark.conf.get("spark.sql.shuffle.partitions")
+    keep_state_on_disk(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    try:
+        for part in range(2):
+            events.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{folder}/events.parquet")
+            start_first_evidence(stream_view(spark, folder, "run_log"), root, checkpoint, "1 second").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set(STATE_STORE, provider)
+    return Ledger(spark, root).read("confirmed").select("evidence_key")
