@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultgrain.operators.contracts import Contract
+from faultgrain.operators.journal import Journal
 from faultgrain.operators.rules import Rule
 from faultgrain.plans.prefilter import wanted_only
 from faultgrain.session import materialize
@@ -95,14 +96,23 @@ def complete(
     parallel_calls: int | None = None,
     retry_failures: bool = False,
     fail_fast: bool = False,
+    journal: Journal | None = None,
+    stage: str = "",
 ) -> DataFrame:
     """Ask until the answer passes ``contract``, at most ``1 + retries`` times.
 
     Returns key, attempts, ok, payload, error and failure. The error of the last try is
     added to the original prompt (never to an earlier addition) when ``shape`` is given. A
     failure of the service ends a row at once unless ``retry_failures``; with ``fail_fast``
-    it ends the job.
+    it ends the job. With a ``journal`` answers are kept under ``stage`` as they come, and prompts that
+    it has an answer for are not asked; a broken call is asked again by the next job.
     """
+
+    def answered(asked: DataFrame) -> DataFrame:
+        if journal is None:
+            return ask(asked, factory)
+        return journal.ask(asked, lambda part: ask(part, factory), stage, fail_fast)
+
     key_and_prompt = prompts.select("key", "prompt")
     if retries:  # a retry must not build all prompts again for a few rows
         key_and_prompt = materialize(key_and_prompt, "prompts")
@@ -110,7 +120,7 @@ def complete(
     for attempt in range(1, retries + 2):
         if parallel_calls:
             open_prompts = open_prompts.repartition(parallel_calls, "key")
-        judged = materialize(contract(ask(open_prompts, factory)), "answers")
+        judged = materialize(contract(answered(open_prompts)), "answers")
         if fail_fast and (broken := judged.filter("failure IS NOT NULL").first()):
             raise RuntimeError(f"{broken.key}: {broken.failure}")
         again = ~F.col("ok") & (F.lit(retry_failures) | F.col("failure").isNull())

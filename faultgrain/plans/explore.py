@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultgrain.operators import contracts, corpus, first_wins, prompts, tallies
 from faultgrain.operators.complete import ClientFactory, complete
 from faultgrain.operators.ids import assign_ids
+from faultgrain.operators.journal import Journal
 from faultgrain.plans.prefilter import wanted_only
 from faultgrain.session import materialize
 from faultgrain.sources.ledger import Ledger
@@ -42,18 +43,20 @@ def explore(
     scope: str | None = None,
     retries: int = 1,
     fail_fast: bool = True,
+    journal: Journal | None = None,
 ) -> DataFrame:
     """Explore the files not explored yet and store what the answers report.
 
     Returns the run's tallies. A file whose answers all failed stays unexplored. With
-    ``fail_fast`` a broken call ends the job once all good answers are stored.
+    ``fail_fast`` a broken call ends the job once all good answers are stored. With a ``journal`` answers
+    outlive a job that dies before that.
     """
     index = materialize(corpus.build_index(files), "index")
     tasks = corpus.plan_tasks(index, scope)
     explored = ledger.read("explored")
     todo = corpus.pending_tasks(tasks, explored)
     asked = explore_prompts(todo, files, F.lit(overview))
-    answers = complete(asked, factory, contracts.judge_issues, contracts.ISSUES_SHAPE, retries)
+    answers = complete(asked, factory, contracts.judge_issues, contracts.ISSUES_SHAPE, retries, journal=journal, stage="explore")
     judged = answers.select(F.col("key").alias("file"), F.col("payload").alias("json"), "ok")
     offered, new = store_findings(ledger, judged)
     if fail_fast and (broken := answers.filter("failure IS NOT NULL").first()):

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from faultgrain.bindings import table, view
 from faultgrain.functions import weakness
 from faultgrain.operators import contracts, prompts
-from faultgrain.operators.complete import Client, RuleClient, complete, complete_by_stage
+from faultgrain.operators.complete import Client, RuleClient, ask, complete, complete_by_stage
 from faultgrain.operators.corpus import plan_tasks
+from faultgrain.operators.journal import Journal, digest_of
 from faultgrain.plans.explore import explore_prompts
 from faultgrain.plans.probe import make_probes
 from faultgrain.queries.corpus import TASKS_SQL, _all_files, file_index_table
 from faultgrain.queries.ledger import LABEL_SQL
 from faultgrain.queries.registry import query
+from faultgrain.session import scratch_path
 
 _OVERVIEW = "A tree of many parts."
 
@@ -237,3 +239,38 @@ def probe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = steps.groupBy("candidate_id").agg(F.array_join(F.transform(ordered, lambda s: s.kind), ",").alias("steps"))
     found = shown.join(probes.select("candidate_id", "script"), "candidate_id", "left")
     return found.select("candidate_id", "steps", F.coalesce("script", F.lit("")).alias("script"))
+
+
+class _Counting:
+    """Repeats the last word of a prompt; breaks on every fifth candidate while it is ``broken``."""
+
+    def __init__(self, broken: bool) -> None:
+        self._broken = broken
+
+    def complete(self, prompt: str) -> str:
+        number = prompt.split()[-1]
+        if self._broken and int(number) % 5 == 0:
+            raise ConnectionError("gone")
+        return number
+
+
+@query(
+    "SELECT id, CAST(id AS VARCHAR) AS text, CAST(1 AS BIGINT) AS answers, CASE WHEN id % 5 = 0 THEN 'second' ELSE 'either' END AS asked "
+    "FROM ($candidates) c"
+)
+def resumed_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job that a broken call aborts, and the one after it: what the first had answered is not asked again."""
+    asked = view(spark, sf_dir, "candidates").select(F.col("id").alias("key"), F.concat(F.lit("candidate "), "id").alias("prompt"))
+    journal = Journal(spark, scratch_path(spark, "journal"), batch_bytes=1 << 14)
+    try:
+        journal.ask(asked, lambda part: ask(part, lambda: _Counting(True)), "demo", fail_fast=True)
+    except RuntimeError:
+        pass  # the abort is what this query is about
+    first = journal.entries().filter("failure IS NULL").select(F.col("job").alias("job1")).distinct()
+    answers = journal.ask(asked, lambda part: ask(part, lambda: _Counting(False)), "demo")
+    stored = journal.entries().filter("failure IS NULL").join(F.broadcast(first), F.col("job") == F.col("job1"), "left")
+    stored = stored.groupBy("digest").agg(F.count("*").alias("answers"), F.bool_or(F.col("job1").isNotNull()).alias("early"))
+    named = asked.select(F.col("key").alias("id"), digest_of("demo", F.col("prompt")).alias("digest"))
+    joined = named.join(answers.select(F.col("key").alias("id"), "text"), "id").join(stored, "digest")
+    late = F.when(F.col("text").cast("int") % 5 == 0, F.when(F.col("early"), "first").otherwise("second")).otherwise("either")
+    return joined.select("id", "text", "answers", late.alias("asked"))

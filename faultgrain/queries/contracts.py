@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultgrain.bindings import table, view
 from faultgrain.operators import contracts as ops
+from faultgrain.operators.rule_table import first_rule_of_table
 from faultgrain.operators.rules import first_rule
 from faultgrain.queries.registry import query
 
@@ -132,3 +133,23 @@ def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.lit("d").alias("src"), F.col("doc_id").alias("id"), tag).unionByName(
         turns.select(F.lit("c").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), tag)
     )
+
+
+_MARKERS = (
+    "SELECT item_id AS ord, substr(text, 1, 14) AS marker, concat('item ', item_id) AS value FROM benchmark "
+    "UNION ALL SELECT 100000 + p_partkey, concat('f', p_partkey), concat('part ', p_partkey) FROM part"
+)
+
+
+@query(
+    f"SELECT doc_id, coalesce(value, '') AS value FROM (SELECT d.doc_id, r.value, row_number() OVER (PARTITION BY d.doc_id ORDER BY r.ord, r.marker) AS n "
+    f"FROM documents d LEFT JOIN ({_MARKERS}) r ON contains(d.text, r.marker)) j WHERE n = 1"
+)
+def rule_table_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule of a table that each document contains: beginnings of benchmark items, then part numbers."""
+    items, parts = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "part")
+    rules = items.select(F.col("item_id").cast("long").alias("ord"), F.substring("text", 1, 14).alias("marker"), F.concat(F.lit("item "), "item_id").alias("value"))
+    numbers = F.col("p_partkey").cast("long")
+    more = parts.select((numbers + 100000).alias("ord"), F.concat(F.lit("f"), numbers).alias("marker"), F.concat(F.lit("part "), numbers).alias("value"))
+    found = first_rule_of_table(table(spark, sf_dir, "documents").select("doc_id", "text"), rules.unionByName(more), block_bytes=1 << 12)
+    return found.select("doc_id", F.coalesce("value", F.lit("")).alias("value"))

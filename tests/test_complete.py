@@ -1,4 +1,5 @@
 import json
+import os
 import sys
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from faultgrain.operators import contracts
 from faultgrain.operators.complete import RuleClient, ask, complete
+from faultgrain.operators.journal import Journal
 from faultgrain.operators.rules import first_rule, match_or_fail
 
 # Workers cannot import this module.
@@ -72,3 +74,41 @@ def test_no_matching_rule(spark):
     assert "LookupError" in ask(rows, lambda: RuleClient([])).first().failure
     with pytest.raises(Exception, match="no rule matches"):
         rows.select(match_or_fail(F.col("prompt"), [("a", "b")])).collect()
+
+
+class Dying(Scripted):
+    """Breaks on what a file says; notes every prompt it was asked."""
+
+    def __init__(self, folder):
+        self._folder = folder
+
+    def complete(self, prompt):
+        with open(f"{self._folder}/asked", "a") as notes:
+            notes.write(prompt.replace("\n", " ") + "\n")
+        if os.path.exists(f"{self._folder}/down") and prompt.startswith("0 late"):
+            raise ConnectionError("down")
+        return super().complete(prompt)
+
+
+def test_a_journal_outlives_an_aborted_job(spark, tmp_path):
+    folder = str(tmp_path)
+    journal = Journal(spark, f"{folder}/journal", batch_bytes=40)
+    rows = prompts(spark, *(f"0 {word}{n}" for n in range(12) for word in ("x", "late")), "0 x1", "1 corrected", None)
+
+    def run():
+        return complete(rows.filter("prompt IS NOT NULL"), lambda: Dying(folder), contracts.judge_audits, contracts.AUDIT_SHAPE, fail_fast=True, journal=journal, stage="audit")
+
+    open(f"{folder}/down", "w").close()
+    with pytest.raises(RuntimeError, match="down"):
+        run()
+    before = [line for line in open(f"{folder}/asked").read().splitlines() if not line.startswith("0 late")]
+    os.remove(f"{folder}/down")
+    answers = {r.key: r for r in run().collect()}
+    assert len(answers) == 26 and all(r.ok for r in answers.values())
+    assert answers[25].attempts == 2 and answers[24].payload == answers[2].payload
+    lines = open(f"{folder}/asked").read().splitlines()
+    good = [line for line in lines if not line.startswith("0 late")]
+    assert len(good) == len(set(good)) and set(before) <= set(good)  # a prompt with an answer is not asked again
+    count = len(lines)
+    assert {r.key for r in run().collect()} == set(answers) and len(open(f"{folder}/asked").read().splitlines()) == count
+    assert journal.ask(rows.limit(0), lambda part: ask(part, lambda: Dying(folder))).count() == 0
