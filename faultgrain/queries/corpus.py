@@ -18,7 +18,7 @@ from faultgrain.operators.ids import assign_ids
 from faultgrain.queries.registry import query
 from faultgrain.queries.triage import _S, _W
 from faultgrain.session import materialize, scratch_path
-from faultgrain.sources import snapshot, tree
+from faultgrain.sources import snapshot, tree, tree_source
 
 _PARENTS = "list_slice(string_split({p}, '/'), 1, -2)"
 _SKIPPED = (
@@ -362,6 +362,15 @@ def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.source_files(tree.read_tree(spark, root)).drop("language")
 
 
+@query("SELECT path, concat(content, chr(65533)) AS content FROM ($text_files) f")
+def tree_source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages and documents written as a directory tree with links and bad bytes, then read through the data source."""
+    root = scratch_path(spark, "tree")
+    _write_pages(view(spark, sf_dir, "text_files"), tree.mounted_path(root))
+    tree_source.register(spark)
+    return spark.read.format(tree_source.FORMAT).option("hidden", "true").load(root)
+
+
 def listed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index with each file's top folder as its corpus."""
     corpus_id = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1)).otherwise("")
