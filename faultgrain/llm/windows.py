@@ -53,7 +53,8 @@ class ChunkIds:
     The tokenizer's pattern never joins characters across the start of white space, nor an ASCII letter, digit
     or other sign with one of another of these kinds unless an apostrophe comes first. So texts are cut there
     and the chunks, which have no gaps, are told apart in Arrow. A text that holds a special token's string is
-    encoded whole. The constructor refuses a tokenizer that these cuts would change.
+    encoded whole. A chunk of Latin letters alone, after a blank or none, is one word of the pattern and goes to the
+    model at once. The constructor refuses a tokenizer that gives other ids than these.
     """
 
     def __init__(self, path: str, end: int = 0):
@@ -61,6 +62,11 @@ class ChunkIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on every core already
         self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.model = self.tokenizer.model
+        # The characters that name bytes in the vocabulary: printable ones themselves, the others from 256 on.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.byte_names = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
         for text, ids in zip(_PROBES, self.encode_all(pa.array(_PROBES))):
@@ -70,6 +76,13 @@ class ChunkIds:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _chunk_ids(self, chunk: bytes) -> list[int]:
+        text = chunk.decode()
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha() and max(word) < "\u0250":
+            return [token.id for token in self.model.tokenize(chunk.decode("latin-1").translate(self.byte_names))]
+        return self._ids(text)
+
     def _clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.flat, self.begin, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -81,7 +94,7 @@ class ChunkIds:
             self._clear()
             new = chunks
         self.number.update(zip(new, range(len(self.size), len(self.size) + len(new))))
-        fresh = [self._ids(chunk.decode()) for chunk in new]
+        fresh = [self._chunk_ids(chunk) for chunk in new]
         size = np.fromiter(map(len, fresh), np.int64, len(fresh))
         self.flat = np.concatenate([self.flat, np.array([i for ids in fresh for i in ids], np.uint32)])
         self.size = np.concatenate([self.size, size])
