@@ -9,7 +9,9 @@ from faultgrain.operators import contracts, corpus, first_wins, prompts, tallies
 from faultgrain.operators.complete import ClientFactory, complete
 from faultgrain.operators.ids import assign_ids
 from faultgrain.operators.journal import Journal
+from faultgrain.plans.overview import stored_overviews, top_folder
 from faultgrain.plans.prefilter import wanted_only
+from faultgrain.plans.skew import lookup
 from faultgrain.session import materialize
 from faultgrain.sources.ledger import Ledger
 
@@ -38,7 +40,7 @@ def explore(
     ledger: Ledger,
     files: DataFrame,
     factory: ClientFactory,
-    overview: str = "",
+    overview: str | ClientFactory = "",
     run_id: int = 1,
     scope: str | None = None,
     retries: int = 1,
@@ -47,6 +49,9 @@ def explore(
 ) -> DataFrame:
     """Explore the files not explored yet and store what the answers report.
 
+    ``overview`` is one text for all files, or a client factory: then each top folder has an overview of its own,
+    which the ledger holds or the client writes once (``stored_overviews``).
+
     Returns the run's tallies. A file whose answers all failed stays unexplored. With
     ``fail_fast`` a broken call ends the job once all good answers are stored. With a ``journal`` answers
     outlive a job that dies before that.
@@ -55,7 +60,12 @@ def explore(
     tasks = corpus.plan_tasks(index, scope)
     explored = ledger.read("explored")
     todo = corpus.pending_tasks(tasks, explored)
-    asked = explore_prompts(todo, files, F.lit(overview))
+    if callable(overview):
+        told = stored_overviews(ledger, index, overview)
+        named = todo.withColumn("corpus_id", top_folder(F.col("path")))
+        asked = explore_prompts(lookup(named, told, ["corpus_id"], ["path"]), files, F.coalesce("overview", F.lit("")))
+    else:
+        asked = explore_prompts(todo, files, F.lit(overview))
     answers = complete(asked, factory, contracts.judge_issues, contracts.ISSUES_SHAPE, retries, journal=journal, stage="explore")
     judged = answers.select(F.col("key").alias("file"), F.col("payload").alias("json"), "ok")
     offered, new = store_findings(ledger, judged)

@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultgrain.functions.text import tail
 from faultgrain.operators import contracts, prompts
 from faultgrain.operators.complete import ClientFactory, complete
-from faultgrain.operators.lifecycle import REWRITE_BUDGET
+from faultgrain.operators.first_wins import latest_per_key
+from faultgrain.operators.lifecycle import REWRITE_BUDGET, event_of, run_outcomes
 from faultgrain.session import materialize
 
 _PROBE = "interpreter array<string>, script string, reason string"
@@ -93,3 +95,37 @@ def make_probes(
             break
         asked = turned_down.withColumn("feedback", F.col("note")).select(*candidates.columns, "feedback")
     return prompts.latest_probes(reduce(DataFrame.unionByName, probes)), reduce(DataFrame.unionByName, steps)
+
+
+# Fixed value: so much of an output is shown.
+TAIL_CHARS = 4_000
+MISSED = "The last probe set up but never reached the target. Its output ended with:\n"
+
+
+def rewrite_unreachable(
+    candidates: DataFrame,
+    attempts: DataFrame,
+    factory: ClientFactory,
+    overview: str = "",
+    rewrites: int = REWRITE_BUDGET,
+    retries: int = 1,
+) -> tuple[DataFrame, DataFrame]:
+    """New probes for the runs whose last executed probe missed the target, while their budget lasts.
+
+    ``attempts`` are triaged steps (candidate_id, run_id, step, kind, detail, verdict and the run log). A run takes
+    part if nothing has ended it and its last step is an unreachable one, so it has had at most ``rewrites`` of them.
+    Returns probes (candidate_id, run_id, step, interpreter, script) that go to execution at the next step, without
+    another audit, and the steps (candidate_id, run_id, step, kind, detail) of the rewrites that gave none.
+    """
+    open_runs = run_outcomes(attempts, rewrites).filter("end_step IS NULL").select("candidate_id", "run_id")
+    last = latest_per_key(attempts, ["candidate_id", "run_id"], ["step"])
+    missed = last.filter(event_of(F.col("kind"), F.col("verdict")) == "unreachable")
+    output = tail(F.concat_ws("\n", "stdout", "stderr"), TAIL_CHARS)
+    missed = missed.select("candidate_id", "run_id", (F.col("step") + 1).alias("step"), F.concat(F.lit(MISSED), output).alias("feedback"))
+    missed = missed.join(open_runs, ["candidate_id", "run_id"], "left_semi")
+    told = missed.join(candidates.withColumnRenamed("id", "candidate_id"), "candidate_id")
+    asked = told.withColumn("id", F.concat_ws(":", "candidate_id", "run_id"))  # a candidate may have several runs
+    written = materialize(_generated(materialize(asked, "missed"), factory, F.lit(overview), retries), "rewritten")
+    probes = written.filter("kind = 'probe'").select("candidate_id", "run_id", "step", "interpreter", "script")
+    none = written.filter("kind != 'probe'").select("candidate_id", "run_id", "step", "kind", F.col("note").alias("detail"))
+    return probes, none

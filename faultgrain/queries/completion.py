@@ -10,13 +10,19 @@ from faultgrain.functions import weakness
 from faultgrain.operators import contracts, prompts
 from faultgrain.operators.complete import Client, RuleClient, ask, complete, complete_by_stage
 from faultgrain.operators.corpus import plan_tasks
+from faultgrain.operators.first_wins import first_per_key
 from faultgrain.operators.journal import Journal, digest_of
+from faultgrain.operators.triage import triage
 from faultgrain.plans.explore import explore_prompts
-from faultgrain.plans.probe import make_probes
+from faultgrain.plans.overview import stored_overviews
+from faultgrain.plans.probe import make_probes, rewrite_unreachable
 from faultgrain.queries.corpus import TASKS_SQL, _all_files, file_index_table
 from faultgrain.queries.ledger import LABEL_SQL
+from faultgrain.queries.lifecycle import _RUNS
 from faultgrain.queries.registry import query
-from faultgrain.session import scratch_path
+from faultgrain.queries.triage import VERDICT_SQL
+from faultgrain.session import materialize, scratch_path
+from faultgrain.sources.ledger import Ledger
 
 _OVERVIEW = "A tree of many parts."
 
@@ -136,6 +142,28 @@ def overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("overview", F.coalesce("overview", F.lit("")))
 
 
+def _silent_client() -> Client:
+    return RuleClient([])  # any call of it breaks
+
+
+@query(
+    "SELECT source AS corpus_id, CASE WHEN source = 'src7' THEN 'second try' WHEN source = 'src3' THEN 'tree three' ELSE 'a tree' END AS overview "
+    "FROM (SELECT DISTINCT source FROM documents) s WHERE source <> 'src5'"
+)
+def overviews_stored_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three jobs over one ledger: the second asks only about the corpora the first got no overview of, the third about one."""
+    index = table(spark, sf_dir, "documents").select(
+        F.concat("source", F.lit("/d"), "doc_id", F.lit(".c")).alias("path"),
+        F.lit("c").alias("language"), F.lit(1).alias("line_count"), F.lit(None).cast("array<struct<start:int,end:int,name:string>>").alias("functions"),
+    )
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    first = lambda: RuleClient([("src7/d", " \n"), ("src5/d", " "), ("src3/d", "tree three")], default="a tree")
+    second = lambda: RuleClient([("src7/d", "second try"), ("src5/d", " ")])
+    for factory in (first, second, _silent_client):
+        found = stored_overviews(ledger, index, factory, fail_fast=False)
+    return found
+
+
 def _moody_client() -> Client:
     class Moody:
         def complete(self, prompt: str) -> str:
@@ -274,3 +302,35 @@ def resumed_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = named.join(answers.select(F.col("key").alias("id"), "text"), "id").join(stored, "digest")
     late = F.when(F.col("text").cast("int") % 5 == 0, F.when(F.col("early"), "first").otherwise("second")).otherwise("either")
     return joined.select("id", "text", "answers", late.alias("asked"))
+
+
+def _second_author() -> Client:
+    class Author:
+        def complete(self, prompt: str) -> str:
+            number = int(prompt.split("candidate in file src/f")[1].split(".")[0])
+            if number % 5 == 0:
+                return '{"refuse":true,"reason":"no way in"}'
+            seen = "target" if "never reached" in prompt and "bad option" in prompt else "nothing"
+            return '{"interpreter":["sh"],"script":"PROBE_SETUP_OK PROBE_REACHED after %s"}' % seen
+
+    return Author()
+
+
+@query(
+    "SELECT l.candidate_id, l.run_id, CAST(l.step + 1 AS INT) AS step, CASE WHEN l.candidate_id % 5 = 0 THEN 'refused' ELSE 'probe' END AS kind, "
+    "CASE WHEN l.candidate_id % 5 = 0 THEN 'no way in' ELSE 'PROBE_SETUP_OK PROBE_REACHED after target' END AS text "
+    "FROM (SELECT a.candidate_id, a.run_id, max(a.step) AS step, arg_max(CASE WHEN a.kind = 'exec' THEN v.verdict ELSE a.kind END, a.step) AS event "
+    f"FROM ($attempts) a JOIN ({VERDICT_SQL}) v ON a.event_id = v.event_id GROUP BY a.candidate_id, a.run_id) l "
+    f"JOIN ({_RUNS.replace('@n', '3')}) r ON r.candidate_id = l.candidate_id AND r.run_id = l.run_id WHERE l.event = 'unreachable' AND r.end_step = -1"
+)
+def unreachable_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose last probe missed the target get a new one, told how the run ended, as long as the budget lasts."""
+    attempts = materialize(triage(view(spark, sf_dir, "attempts")), "attempts")
+    found = first_per_key(view(spark, sf_dir, "ev"), ["user_id"], ["event_id"])
+    candidates = found.select(
+        F.col("user_id").alias("id"), F.concat(F.lit("src/f"), "user_id", F.lit(".c")).alias("file"), F.lit("main").alias("function"),
+        F.lit(20).alias("cwe_id"), F.lit("seen").alias("bug_category"), F.lit("seen").alias("description"), F.lit("any").alias("trigger"),
+    )
+    probes, none = rewrite_unreachable(candidates, attempts, _second_author)
+    shown = probes.select("candidate_id", "run_id", F.col("step").cast("int").alias("step"), F.lit("probe").alias("kind"), F.col("script").alias("text"))
+    return shown.unionByName(none.select("candidate_id", "run_id", F.col("step").cast("int").alias("step"), "kind", F.col("detail").alias("text")))

@@ -46,6 +46,7 @@ LEDGER_TABLES = {
     "waiting": LOGGED_ATTEMPTS,
     "candidate_keys": "file STRING, function STRING, cwe_id INT",
     "evidence_keys": "evidence_key STRING, id BIGINT",
+    "overviews": "corpus_id STRING, overview STRING",
 }
 # Tables stored in buckets of these columns, which only grow.
 LEDGER_KEYS = {
