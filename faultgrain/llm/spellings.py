@@ -249,15 +249,17 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_words(counted: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """For distinct ``word, n``: ``word, n_near, near_word, near_n`` of each word that has near words.
 
-    ``near_word`` has the largest n of them, ties the smallest word in code-point order. ``tile_rows``
-    must be above the number of different code points. ``counted`` must read alike each time.
+    ``near_word`` has the largest n of them, ties the smallest word in code-point order. A tile of more than
+    ``tile_rows`` words is dealt again. ``counted`` must read alike each time.
     """
     rows, tiles = _first_tiles(counted), []
     while True:
         sizes = rows.groupBy(*_TILE).agg(F.count("*").alias("size")).filter("size > 1")
         rows = materialize(rows.join(sizes, list(_TILE)), "tiles")
-        tiles.append(rows.filter(F.col("size") <= tile_rows))
-        crowded = rows.filter(F.col("size") > tile_rows)
+        # With one code point left open there is nothing to deal by: such a tile is compared whatever its alphabet.
+        crowding = (F.col("size") > tile_rows) & (F.col("longer") - F.col("front") - F.col("back") > 1)
+        tiles.append(rows.filter(~crowding))
+        crowded = rows.filter(crowding)
         if crowded.isEmpty():
             break
         rows = _dealt(crowded.drop("size", "tile"))

@@ -76,7 +76,7 @@ def test_crowded_tiles_are_dealt_again(spark):
     counted = {s[:i] + c + s[i + k :]: 2 + (7 * i + ord(c) * len(s)) % 400 for s in stems for i in range(len(s)) for c in letters for k in (0, 1)}
     counted |= {"abc" + x + y + z + "q": 3 + ord(x) for x in letters for y in letters for z in letters}
     table = spark.createDataFrame(list(counted.items()), "word string, n long").repartition(5)
-    for rows in (16, 100_000):
+    for rows in (2, 16, 100_000):
         got = as_rows(spellings.variants(table, tile_rows=rows))
         assert len(got) == len(counted) and set(got) == plain_variants(counted)
 
