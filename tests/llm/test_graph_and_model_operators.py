@@ -1,5 +1,6 @@
 """Near duplicates, url filters, packing, decontamination, toxicity, fingerprints, the pipeline."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -630,3 +631,38 @@ def test_pipeline_drops_toxic_rows_alone(spark, monkeypatch):
     spark.createDataFrame([(d, 0, t) for d, t in labels], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()}
     assert {(None, "good"), (5, "fine")} <= left and not {(None, "bad words"), (5, "bad")} & left
+
+
+def test_edit_likeness_by_a_version_of_its_own(spark, given):
+    """Chunks cut byte by byte and compared as they are, without the module's digests, edits or likeness."""
+    rows = [(7 * k, t) for k, (_, t) in enumerate(sorted(given)) if t is not None and len(t) < 1500][:60]
+    rows += [(1001, ""), (1002, None), (1003, "é" * 90), (1004, rows[3][1]), (1005, rows[3][1]), (1006, "short")]
+
+    def cut(text):
+        data = text.encode()
+        ends = plain_boundaries(data)
+        return frozenset(data[a:b] for a, b in zip([0, *ends], ends))
+
+    def alike(a, b):
+        if not a or not b:
+            return float(a == b)
+        return min(1.0, sum(map(len, a & b)) / min(sum(map(len, a)), sum(map(len, b))))
+
+    want, sets = {}, {}
+    for (doc, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        text, following = text or "", following or ""
+        quarter = len(text) // 4
+        edited = "".join([*text[: len(text) - quarter], *following[:quarter]])
+        sets[doc] = own, other = cut(text), cut(edited)
+        want[doc] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), alike(own, other), alike(own, cut(following)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in chunks.edit_likeness(docs).collect()}
+    assert {d: (r["n_chars"], r["edited_sha256"]) for d, r in got.items()} == {d: w[:2] for d, w in want.items()}
+    for doc, (_, _, near_edited, near_next) in want.items():
+        assert got[doc]["near_edited"] == pytest.approx(near_edited) and got[doc]["near_next"] == pytest.approx(near_next)
+    # Fingerprints are equal just where the sets of chunks are.
+    named = {}
+    for doc, (own, other) in sets.items():
+        for chunk_set, name in ((own, got[doc]["fingerprint"]), (other, got[doc]["edited_fingerprint"])):
+            assert named.setdefault(chunk_set, name) == name
+    assert len(set(named.values())) == len(named)
