@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,11 +12,13 @@ from pyspark.sql.window import Window
 
 from faultgrain.llm import decontaminate, lines, packing, simhash, toxicity
 from faultgrain.llm.common import fresh
+from faultgrain.llm.components import components
 from faultgrain.operators.ids import assign_ids
 from faultgrain.session import materialize, scratch_path, scratch_scope, stored
 
 FILE_ROWS = 1 << 33  # more than a file has
 LARGE_ID = 1 << 62
+BATCH_ROWS = 1000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,18 +93,29 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.without(rows, key, stored(spark, "line-keys-gone", gone)).drop(key)
 
 
+def _to_head(groups: DataFrame) -> DataFrame:
+    """An edge ``a, b`` from each document that is not its group's smallest to the one that is."""
+    return groups.filter("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, a smallest doc_id's: five-word shingles, a similarity of 0.8 or more.
+    """One row of each group of near copies, a smallest doc_id's.
 
-    Rows are linked by their texts alone; of rows without doc_id one stays if its group has no other.
+    Copies are what ``near_duplicates`` links, by fingerprints at most three bits apart, and what ``near_copies`` adds:
+    five-word shingles of a similarity of 0.8 or more. Rows are linked by their texts alone; of rows without doc_id
+    one stays if its group has no other.
     """
     rows, key = _keyed(docs)
 
     def copies() -> DataFrame:
         # Numbers in the order of the doc_ids: a group is named by the row that stays.
         ranked = _by_rank(rows, key)
-        groups = simhash.near_copies(ranked.select("doc_id", "text")).filter("doc_id != component_id")
-        return groups.join(ranked.select("doc_id", key), "doc_id").select(key)
+        texts = ranked.select("doc_id", "text")
+        # Each is stored before the next begins, so that the scratch tables of the first are gone by then.
+        linked = stored(spark, "linked", lambda: _to_head(simhash.near_duplicates(texts)))
+        alike = stored(spark, "alike", lambda: _to_head(simhash.near_copies(texts)))
+        groups = components(linked.union(alike)).filter("node != component")
+        return groups.join(ranked.select("doc_id", key), groups.node == F.col("doc_id")).select(key)
 
     return _without(rows, key, stored(spark, "near-copies", copies))
 
@@ -127,6 +143,18 @@ STAGES = [
     ("packing", pack),
 ]
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS texts at most: a worker's and its JVM's buffers hold few texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(given), BATCH_ROWS) if int(given) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, given)
+
+
 # Class models, fingerprints, edit distances and the packing have no SQL form.
 ORACLE_SQL = None
 
@@ -139,7 +167,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
-        with scratch_scope(spark):
+        with scratch_scope(spark), _small_batches(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

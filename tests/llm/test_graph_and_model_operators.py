@@ -621,6 +621,27 @@ def test_pipeline_decides_by_row(spark, tables):
     assert left(corpus_pipeline.drop_near_copies) == Counter(rows) - Counter(gone)
 
 
+def test_pipeline_drops_what_fingerprints_link(spark):
+    """The stage is the operator's: a link by fingerprints makes a copy also where five-word shingles differ."""
+    pick = random.Random(21)
+    words = [f"w{pick.randrange(10**6)}" for _ in range(60)]
+    rows = [(0, " ".join(words * 40))]
+    # Words changed far apart: few three-word shingles of the many, and the bits of the fingerprint hold.
+    for step in (9, 12, 20, 40):
+        edited = list(words * 40)
+        for at in range(0, len(edited), step):
+            edited[at] = f"x{at}"
+        rows.append((step, " ".join(edited)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    alike = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    only = {d for d in linked if linked[d] != d and alike[d] == d}
+    assert only
+    left = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "/root/testdata/sf0.001").collect()}
+    assert not only & left
+    assert left == {d for d in linked if linked[d] == d and alike[d] == d}
+
+
 def test_pipeline_drops_toxic_rows_alone(spark, monkeypatch):
     docs = spark.createDataFrame([(None, "bad words"), (None, "good"), (5, "bad"), (5, "fine")], "doc_id long, text string")
     monkeypatch.setattr(toxicity, "THRESHOLD", 0.5)
