@@ -3,19 +3,21 @@
 Brace languages are matched by signature patterns and brace balance, as grouped and
 windowed DataFrames over line rows; Python files go through the standard parser.
 
-A file is cut into blocks of ``BLOCK_LINES`` lines. Running sums and "next line that"
-searches are answered inside a block first and then over one row per block, so no task
-ever holds the lines of a whole file, however long it is.
+The lines that matter are found by expressions over a block of ``BLOCK_LINES`` lines and stored without their
+text. A file of up to ``ROW_LINES`` lines is then matched inside its row, without a shuffle: one Arrow function
+follows the braces of a batch of files at once. Of a longer file running sums and "next line that" searches are
+answered inside a block first and then over one row per block, so no task ever follows a whole long file.
 """
 
 from __future__ import annotations
 
 import ast
 import warnings
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ from faultgrain.plans.skew import lookup
 from faultgrain.session import materialize
 
 BLOCK_LINES = 4096
+ROW_LINES = 512
 
 # What a function signature looks like, group 1 is the name. A C-family
 # signature is one or more type words, the name and a parameter list without ; { }.
@@ -240,28 +243,109 @@ def brace_spans(rows: DataFrame) -> DataFrame:
 _SPAN_ARRAY = "array<struct<start:int,end:int,name:string>>"
 
 
-def _parse_python(text: str) -> list[tuple[int, int, str]] | None:
+def _defs(tree: ast.Module) -> list[tuple[int, int, str]]:
+    """Every ``def`` by start line. Only statements hold any, so no expression is walked."""
+    found, todo = [], [tree.body]
+    while todo:
+        for node in todo.pop():
+            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                found.append((node.lineno, node.end_lineno, node.name))
+            for block in ("body", "orelse", "finalbody", "handlers", "cases"):
+                if isinstance(inner := getattr(node, block, None), list) and inner:
+                    todo.append(inner)
+    return sorted(found, key=lambda span: span[0])
+
+
+def _parse_python(text: str | None) -> list[tuple[int, int, str]] | None:
     try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return _defs(ast.parse(text))
+    except (SyntaxError, TypeError, ValueError, RecursionError, MemoryError):
         return None
-    defs = (n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)))
-    return sorted(((d.lineno, d.end_lineno, d.name) for d in defs), key=lambda span: span[0])
+
+
+def _span_lists(first: np.ndarray, missing: np.ndarray | None, start: pa.Array, end: pa.Array, name: pa.Array) -> pa.Array:
+    spans = pa.StructArray.from_arrays([start.cast(pa.int32()), end.cast(pa.int32()), name.cast(pa.string())], names=["start", "end", "name"])
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), spans, mask=None if missing is None else pa.array(missing))
 
 
 def python_functions(text: Column) -> Column:
     """Spans of every ``def`` in a Python source, by start line; NULL when it does not parse."""
 
-    @F.pandas_udf(_SPAN_ARRAY)
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(_parse_python)
+    @F.arrow_udf(_SPAN_ARRAY)
+    def parse(texts: pa.Array) -> pa.Array:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            found = [_parse_python(text) for text in texts.to_pylist()]
+        flat = [span for spans in found for span in spans or ()]
+        first = np.cumsum([0, *(len(spans or ()) for spans in found)])
+        missing = np.array([spans is None for spans in found], bool)
+        start, end, name = zip(*flat) if flat else ((), (), ())
+        return _span_lists(first, missing, pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(name, pa.string()))
 
     return parse(text)
 
 
+def _marks(lines: Column, before: Column, language: Column, signatures: Mapping[str, str]) -> Column:
+    """The lines that can start, nest or end a span: n (counted on from ``before``), net, opens and name, in order."""
+
+    def mark(line: Column, place: Column) -> Column:
+        opens, closes = F.contains(line, F.lit("{")), F.contains(line, F.lit("}"))
+        opened, closed = (F.length(line) - F.length(F.replace(line, F.lit(b))) for b in "{}")
+        net = F.when(opens, opened).otherwise(0) - F.when(closes, closed).otherwise(0)
+        return F.struct(
+            (before + place + 1).alias("n"), net.alias("net"), opens.alias("opens"), signature_name(line, language, signatures).alias("name")
+        )
+
+    return F.filter(F.transform(lines, mark), lambda m: m["opens"] | (m["net"] != 0) | m["name"].isNotNull())
+
+
+def row_spans(marks: Column, last: Column) -> Column:
+    """``brace_spans`` of whole files: the spans of each row's ``marks``, by start line."""
+
+    @F.arrow_udf(_SPAN_ARRAY)
+    def follow(marks: pa.Array, last: pa.Array) -> pa.Array:
+        marks = marks.fill_null([])
+        size = marks.value_lengths().to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        rows = marks.flatten()
+        n, net = (rows.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("n", "net"))
+        name, files = rows.field("name"), np.repeat(np.arange(len(size)), size)
+        sums = np.concatenate([[0], np.cumsum(net)])
+        depth = sums[1:] - sums[first[files]]
+        start = np.flatnonzero(name.is_valid().to_numpy(zero_copy_only=False))
+        file, level = files[start], (depth - net)[start]
+        end = last.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[file]
+        # The next line that opens, in the same file; it may end the span at once.
+        opening = np.flatnonzero(rows.field("opens").to_numpy(zero_copy_only=False).astype(bool))
+        if len(opening) and len(start):
+            place = np.searchsorted(opening, start)
+            at = opening[np.minimum(place, len(opening) - 1)]
+            opened = (place < len(opening)) & (at < first[file + 1])
+            at_once = opened & (depth[at] <= level)
+            end[at_once] = n[at[at_once]]
+            # Else the next line that takes the depth down through the level before the signature.
+            falling = np.flatnonzero(net < 0)
+            steps = -net[falling]
+            fall = np.repeat(falling, steps)
+            through = np.arange(len(fall)) - np.repeat(np.cumsum(steps) - steps, steps) + np.repeat(depth[falling], steps)
+            low, high = int(depth.min()) - 1, int((depth - net).max()) + 1
+            low = min(low, int((depth - net).min()))
+            key = lambda file, level, row: (file * (high - low + 1) + level - low) * (len(n) + 1) + row
+            falls = np.sort(key(files[fall], through, fall))
+            after = opened & ~at_once
+            wanted = key(file[after], level[after], at[after] + 1)
+            found = np.searchsorted(falls, wanted)
+            hit = np.append(falls, -1)[found]
+            same = (hit >= 0) & (hit // (len(n) + 1) == wanted // (len(n) + 1))
+            ends = end[after]
+            ends[same] = n[hit[same] % (len(n) + 1)]
+            end[after] = ends
+        heads = np.concatenate([[0], np.cumsum(np.bincount(file, minlength=len(size)))])
+        return _span_lists(heads, None, pa.array(n[start]), pa.array(end), name.take(pa.array(start)))
+
+    return follow(marks, last)
+
+
 # A handler turns files (path, language, content) into file index rows.
 Handler = Callable[[DataFrame], DataFrame]
 
@@ -276,15 +360,27 @@ def python_handler(files: DataFrame) -> DataFrame:
     )
 
 
+def brace_marks(files: DataFrame, signatures: Mapping[str, str] = SIGNATURES) -> DataFrame:
+    """A row per block of lines, one at least a file: path, language, last, block and the ``marks`` of its lines."""
+    split = files.select("path", "language", split_lines(F.col("content")).alias("_lines")).withColumn("last", F.size("_lines"))
+    blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("last") / BLOCK_LINES).cast("int") - 1, F.lit(0)))
+    cut = F.transform(blocks, lambda block: F.slice("_lines", block * BLOCK_LINES + 1, F.lit(BLOCK_LINES)))
+    cut = split.select("path", "language", "last", F.posexplode_outer(cut).alias("block", "_lines"))
+    before = F.coalesce(F.col("block"), F.lit(0)) * BLOCK_LINES
+    return cut.select("path", "language", "last", "block", _marks(F.col("_lines"), before, F.col("language"), signatures).alias("marks"))
+
+
 def brace_handler(files: DataFrame) -> DataFrame:
     """The contents are read once; the few columns kept of them are written and reused."""
-    lines = explode_lines(files.select("path", "language", "content"))
-    rows = materialize(brace_lines(lines), "brace-lines")
-    one_per_file = rows.filter("n IS NULL OR n = last")
+    marked = materialize(brace_marks(files), "brace-marks")
+    short = F.coalesce(F.col("last") <= min(ROW_LINES, BLOCK_LINES), F.lit(True))
+    columns = ["path", "language", F.col("last").alias("line_count")]
+    in_rows = marked.filter(short).select(*columns, row_spans(F.col("marks"), F.col("last")).alias("functions"))
+    long = marked.filter(~short)
+    found = collect_functions(brace_spans(long.select("path", "block", "last", F.inline("marks"))))
     functions = F.coalesce("functions", F.array().cast(_SPAN_ARRAY))
-    return one_per_file.join(collect_functions(brace_spans(rows)), "path", "left").select(
-        "path", "language", F.col("last").alias("line_count"), functions.alias("functions")
-    )
+    by_lines = long.filter("block = 0").join(found, "path", "left").select(*columns, functions.alias("functions"))
+    return in_rows.unionByName(by_lines)
 
 
 def unknown_handler(files: DataFrame) -> DataFrame:

@@ -115,3 +115,32 @@ def test_one_file_with_most_lines(spark):
     assert got == walk(lines, PATTERNS["c"])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "unspecifiedframe" not in plan and "unboundedfollowing" not in plan
+
+
+@pytest.mark.parametrize("row_lines", [512, 40, 0])
+def test_files_in_rows_and_files_by_lines_agree_with_a_line_walk(spark, monkeypatch, row_lines):
+    monkeypatch.setattr(spans, "ROW_LINES", row_lines)
+    files, expected = corpus_of(31)
+    assert index_of(spark, files) == expected
+
+
+def test_short_files_are_indexed_without_a_shuffle(spark):
+    files = spark.createDataFrame([("a.c", "int f() {\n}\n"), ("b.py", "def f(): pass\n"), ("c.go", "")], "path string, content string")
+    index = spans.brace_handler(corpus.source_files(files).select("path", "language", "content"))
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    in_rows = plan[: plan.rindex("ArrowEvalPython")]
+    assert "Window" not in in_rows and "Exchange" not in in_rows
+    assert sorted((r.path, len(r.functions)) for r in index.collect()) == [("a.c", 1), ("b.py", 0), ("c.go", 0)]
+
+
+def test_defs_in_every_kind_of_block(spark):
+    source = "\n".join([
+        "if 1:\n def a(): pass\nelif 2:\n def b(): pass\nelse:\n def c(): pass",
+        "try:\n def d(): pass\nexcept ValueError:\n def e(): pass\nelse:\n def f(): pass\nfinally:\n def g(): pass",
+        "match 1:\n case 1:\n  def h(): pass\nwhile 0:\n async def i(): pass\nelse:\n def j(): pass",
+        "with x:\n class K:\n  def k(self): pass\nfor y in z:\n def l(): pass\nlambda: 0; m = [n for n in o]",
+        "try:\n def p(): pass\nexcept* OSError:\n def q(): pass",
+    ])
+    nodes = [n for n in ast.walk(ast.parse(source)) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    expected = sorted((n.lineno, n.end_lineno, n.name) for n in nodes)
+    assert len(expected) == 14 and index_of(spark, [("x.py", source), ("null.py", None)]) == {"x.py": (len(source.splitlines()), expected), "null.py": (None, None)}
