@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +26,8 @@ class Client(Protocol):
         """The service's text for one prompt."""
 
 
-# Answers handed on together; prompts may be whole files.
-ROWS_AT_ONCE = 16
+# Characters of answers handed on together: many short ones cost one batch, long ones do not pile up.
+CHARS_AT_ONCE = 1 << 20
 
 # Built once per partition, on the executor.
 ClientFactory = Callable[[], Client]
@@ -51,7 +51,7 @@ class RuleClient:
 def ask(prompts: DataFrame, factory: ClientFactory) -> DataFrame:
     """One call per row (key, prompt): ``text``, or ``failure`` when the service broke."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = factory()
 
         def answer(prompt: str) -> tuple[str | None, str | None]:
@@ -61,19 +61,18 @@ def ask(prompts: DataFrame, factory: ClientFactory) -> DataFrame:
                 return None, f"{type(problem).__name__}: {problem}"
 
         for batch in batches:
-            for start in range(0, len(batch), ROWS_AT_ONCE):
-                part = batch.iloc[start : start + ROWS_AT_ONCE].reset_index(drop=True)
-                answers = [answer(prompt) for prompt in part["prompt"]]
-                yield pd.DataFrame(
-                    {
-                        "key": part["key"],
-                        "text": pd.Series([a for a, _ in answers], dtype=object),
-                        "failure": pd.Series([f for _, f in answers], dtype=object),
-                    }
-                )
+            start, size, answers = 0, 0, []
+            for at, prompt in enumerate(batch["prompt"]):
+                text, failure = answer(prompt.as_py())
+                answers.append((text, failure))
+                size += len(text or failure or "")
+                if size >= CHARS_AT_ONCE or at == batch.num_rows - 1:
+                    texts, failures = (pa.array(part, pa.string()) for part in zip(*answers))
+                    yield pa.RecordBatch.from_arrays([batch["key"].slice(start, len(answers)), texts, failures], names=["key", "text", "failure"])
+                    start, size, answers = at + 1, 0, []
 
     key_type = dict(prompts.dtypes)["key"]
-    return prompts.select("key", "prompt").mapInPandas(
+    return prompts.select("key", "prompt").mapInArrow(
         run, f"key {key_type}, text string, failure string"
     )
 

@@ -2,10 +2,12 @@ import json
 import os
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from faultgrain.operators import complete as complete_module
 from faultgrain.operators import contracts
 from faultgrain.operators.complete import RuleClient, ask, complete
 from faultgrain.operators.journal import Journal
@@ -112,3 +114,30 @@ def test_a_journal_outlives_an_aborted_job(spark, tmp_path):
     count = len(lines)
     assert {r.key for r in run().collect()} == set(answers) and len(open(f"{folder}/asked").read().splitlines()) == count
     assert journal.ask(rows.limit(0), lambda part: ask(part, lambda: Dying(folder))).count() == 0
+
+
+def test_short_answers_share_batches_and_long_ones_do_not(spark, monkeypatch):
+    rows = [(k, f"0 x{k}") for k in range(300)]
+    asked = spark.createDataFrame(rows, "key int, prompt string")
+
+    def handed_on():
+        """What the operator's function yields, batch by batch."""
+        seen = []
+
+        class Recorder:
+            def select(self, *names):
+                return self
+
+            dtypes = [("key", "int")]
+
+            def mapInArrow(self, run, layout):
+                keys = pa.array([k for k, _ in rows], pa.int32())
+                seen.extend(run(iter([pa.RecordBatch.from_arrays([keys, pa.array([p for _, p in rows])], names=["key", "prompt"])])))
+
+        ask(Recorder(), Scripted)
+        return [b.num_rows for b in seen]
+
+    assert handed_on() == [300]
+    monkeypatch.setattr(complete_module, "CHARS_AT_ONCE", 3 * len(OK))
+    assert handed_on() == [3] * 100
+    assert {r.key for r in ask(asked, Scripted).filter("text IS NOT NULL").collect()} == set(range(300))
