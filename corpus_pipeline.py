@@ -113,7 +113,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         texts = ranked.select("doc_id", "text")
         # Each is stored before the next begins, so that the scratch tables of the first are gone by then.
         linked = stored(spark, "linked", lambda: _to_head(simhash.near_duplicates(texts)))
-        alike = stored(spark, "alike", lambda: _to_head(simhash.near_copies(texts)))
+        alike = stored(spark, "alike", lambda: _to_head(simhash.near_copies(texts, linked=linked)))
         groups = components(linked.union(alike)).filter("node != component")
         return groups.join(ranked.select("doc_id", key), groups.node == F.col("doc_id")).select(key)
 

@@ -279,11 +279,11 @@ def minhash_bands(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return keys.T
 
 
-def _all_marks(shingle: int):
+def _all_marks(shingle: int, marked: bool = True):
     def all_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch["text"].cast(pa.large_binary()).to_pylist()
-            marks = np.array([simhash(t or b"") for t in texts], dtype="<u8").view(np.int64)
+            texts = batch["text"].cast(pa.large_binary()).to_pylist() if marked else []
+            marks = np.array([simhash(t or b"") for t in texts], dtype="<u8").view(np.int64) if marked else np.zeros(batch.num_rows, np.int64)
             grams, first = _shingles(batch, shingle)
             n = np.diff(first)
             # Sums of two hashes of all shingles: texts that share both have the same shingles.
@@ -378,7 +378,7 @@ def similar_links(docs: DataFrame, sizes: DataFrame, candidates: DataFrame, simi
     return units.select("doc", "grams", "unit", bucket).groupBy("bucket").applyInArrow(_alike_in(similarity), "a long, b long")
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, linked: DataFrame | None = None) -> DataFrame:
     """Each document's group of near copies: ``doc_id, component_id``, the smallest doc_id in reach.
 
     Two documents are linked if their distinct shingles of ``shingle`` words (a shorter text is one) have a Jaccard
@@ -386,20 +386,26 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     ``near_duplicates`` links, and texts that share one of BANDS MinHash bands of BAND_ROWS values, which two
     texts of similarity s do with a chance of 1 - (1 - s ** BAND_ROWS) ** BANDS whatever their length, 0.9999 at 0.8.
     All pairs of a component of candidates are judged. Odd rows are treated as in ``near_duplicates``.
+    What that links may be given as ``linked(a, b)``, and is then not found anew; the answer is the same.
     """
     spark = docs.sparkSession
     layout = "doc_id long, mark long, same binary, n long, bands array<long>"
     texts = keyed(docs, "text")
-    marked = materialize(texts.mapInArrow(_all_marks(shingle), layout), "fingerprints", spark)
+    marked = materialize(texts.mapInArrow(_all_marks(shingle, linked is None), layout), "fingerprints", spark)
     nodes = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("doc")), "distinct-fingerprints", spark)
     first = marked.join(nodes.withColumnRenamed("doc", "doc_id"), ["same", "doc_id"]).select(F.col("doc_id").alias("doc"), "mark", "bands")
     first = materialize(first, "first-fingerprints", spark)
-    marks = materialize(first.groupBy("mark").agg(F.min("doc").alias("doc")), "distinct-fingerprints", spark)
-    close = first.join(marks.withColumnRenamed("doc", "least"), "mark").select(F.col("doc").alias("a"), F.col("least").alias("b"))
+    if linked is None:
+        marks = materialize(first.groupBy("mark").agg(F.min("doc").alias("doc")), "distinct-fingerprints", spark)
+        close = first.join(marks.withColumnRenamed("doc", "least"), "mark").select(F.col("doc").alias("a"), F.col("least").alias("b"))
+        links = near_links(marks).union(close)
+    else:
+        named = marked.select("doc_id", "same").join(nodes, "same").select("doc_id", "doc")
+        links = linked.join(named.toDF("a", "one"), "a").join(named.toDF("b", "two"), "b").select(F.col("one").alias("a"), F.col("two").alias("b"))
     keys = first.select("doc", F.explode("bands").alias("key"))
     heads = keys.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).filter("least != last")
     shared = keys.join(heads, "key").select(F.col("doc").alias("a"), F.col("least").alias("b"))
-    candidates = components(near_links(marks).union(close).union(shared).filter("a != b"))
+    candidates = components(links.union(shared).filter("a != b"))
     several = marked.select("doc_id", "same").join(nodes, "same").filter("doc_id != doc")
     twice = marked.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1")
     several = several.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))

@@ -687,3 +687,11 @@ def test_edit_likeness_by_a_version_of_its_own(spark, given):
         for chunk_set, name in ((own, got[doc]["fingerprint"]), (other, got[doc]["edited_fingerprint"])):
             assert named.setdefault(chunk_set, name) == name
     assert len(set(named.values())) == len(named)
+
+
+def test_near_copies_from_given_links(spark, tables):
+    """Links that are handed over give the groups that links found anew give."""
+    docs = tables("documents").select("doc_id", "text")
+    groups = simhash.near_duplicates(docs).filter("doc_id != component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    found = [{r["doc_id"]: r["component_id"] for r in g.collect()} for g in (simhash.near_copies(docs), simhash.near_copies(docs, linked=groups))]
+    assert found[0] == found[1] and any(d != c for d, c in found[0].items())
