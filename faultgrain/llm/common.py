@@ -6,7 +6,10 @@ work holds a bounded number of bytes (a single longer text is a slice of its own
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Hashable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +71,41 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in pieces of about ``most`` bytes of ``column``."""
+def _held() -> dict[Hashable, object]:
+    """What this worker keeps for its next tasks, one thing at a time.
+
+    The package goes to the workers by value, where a global of its own lasts for one task.
+    """
+    return vars(sys.modules.setdefault("faultgrain_held", ModuleType("faultgrain_held"))).setdefault("held", {})
+
+
+def kept(key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` returns, once a worker for all tasks in a row that ask for ``key``; see ``slices``."""
+    held = _held()
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
+
+
+def give_back() -> None:
+    """Return what freed arrays and buffers leave in this worker's allocators: Spark goes on with the same process."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, keeps: Hashable = None
+) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of about ``most`` bytes of ``column``.
+
+    A task that goes through here drops what a worker still keeps of other operators, all but ``keeps``.
+    """
+    held = _held()
+    for key in [k for k in held if k != keeps]:
+        del held[key]
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -78,6 +114,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         cuts = np.flatnonzero(np.diff(group)) + 1
         for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(start, end - start)
+    give_back()
 
 
 def words(data: np.ndarray, at: np.ndarray, kind: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

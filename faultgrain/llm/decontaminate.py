@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultgrain.llm.common import keyed, slices, unkeyed
+from faultgrain.llm.common import kept, keyed, slices, unkeyed
 
 EDIT_EVERY = 18
 UNIT_WORDS = 13
@@ -201,14 +201,11 @@ class _Words:
         return self.starts[first], self.starts[last] + len(self.words[last])
 
 
-# The units and the automaton of the block a worker had last: its next tasks use it again.
-_held: dict[str, tuple[list[Unit], object]] = {}
-
-
 def _matcher(name: str, block: Broadcast) -> tuple[list[Unit], object]:
+    """The units and the automaton of a block, for all tasks of a worker until another operator's or block's come."""
     import ahocorasick
 
-    if name not in _held:
+    def make() -> tuple[list[Unit], object]:
         own: list[Unit] = block.value
         wanted: dict[str, list[tuple[int, int]]] = {}
         for number, unit in enumerate(own):
@@ -218,9 +215,9 @@ def _matcher(name: str, block: Broadcast) -> tuple[list[Unit], object]:
         for piece, where in wanted.items():
             automaton.add_word(piece, (len(piece), where))
         automaton.make_automaton()
-        _held.clear()
-        _held[name] = own, automaton
-    return _held[name]
+        return own, automaton
+
+    return kept(name, make)
 
 
 def _search(block: Broadcast):
@@ -228,7 +225,7 @@ def _search(block: Broadcast):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, automaton = _matcher(name, block)
-        for batch in slices(batches):
+        for batch in slices(batches, keeps=name):
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 line = plain(text)

@@ -14,7 +14,6 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultgrain.llm.common import flat, keyed, slices, unkeyed
+from faultgrain.llm.common import flat, kept, keyed, slices, unkeyed
 from faultgrain.session import materialize
 
 CAPACITY = 2048
@@ -127,16 +126,15 @@ class WordIds:
             yield out
 
 
-@cache
 def word_ids(path: str) -> WordIds:
-    """One encoder a Python worker, for all its tasks."""
-    return WordIds(path)
+    """One encoder a Python worker, for all its tasks until another operator's come."""
+    return kept(path, lambda: WordIds(path))
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
-        for batch in slices(batches):
+        for batch in slices(batches, keeps=path):
             rows = []
             for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(batch["text"])):
                 for piece, start in enumerate(range(0, len(ids), capacity)):
