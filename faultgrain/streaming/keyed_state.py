@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -23,6 +23,7 @@ from faultgrain.session import materialize
 from faultgrain.sources.ledger import Ledger
 
 RATIONED = ("audit_invalid", "unreachable")
+RUNS_A_BLOCK = 1024
 STATE = "candidate_id long, status string, attempts int, end_run int"
 
 
@@ -54,40 +55,60 @@ def outcome_of(steps: dict[str, list[int]], limit: int) -> str:
 
 
 class AttemptFold(StatefulProcessor):
-    """A candidate's runs, each by its first steps; they may come in any order and cut anywhere."""
+    """A candidate's runs, each by its first steps; they may come in any order and cut anywhere.
+
+    Each call to the state is a message to the JVM, so RUNS_A_BLOCK runs are one value: a batch reads and writes
+    a candidate's few blocks, not its runs one by one, and no value grows with the number of runs.
+    """
 
     def __init__(self, rewrites: int, budget: int) -> None:
         self._limit, self._budget = rewrites + 1, budget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._runs = handle.getMapState("runs", "run_id INT", "steps STRING")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
-        came: dict[int, dict[str, list[int]]] = {}
-        for part in rows:
-            for run_id, event, step in zip(part["run_id"].tolist(), part["event"].tolist(), part["step"].tolist()):
-                if event in OUTCOME_BY_EVENT:
-                    came.setdefault(int(run_id), {}).setdefault(event, []).append(int(step))
+        self._numbers = handle.getValueState("numbers", "blocks STRING")
+        self._blocks = handle.getMapState("blocks", "block INT", "runs STRING")
+
+    def _merge(self, known: dict[str, dict[str, list[int]]], came: dict[str, dict[str, list[int]]]) -> dict[str, dict[str, list[int]]]:
+        """The runs of a block with their first steps of both."""
+        merged = dict(known)
         for run_id, steps in came.items():
-            known = json.loads(self._runs.getValue((run_id,))[0]) if self._runs.containsKey((run_id,)) else {}
-            merged = {}
-            for event in {*known, *steps}:
-                keep = self._limit if event in RATIONED else 1
-                merged[event] = sorted({*known.get(event, ()), *steps.get(event, ())})[:keep]
-            self._runs.updateValue((run_id,), (json.dumps(merged),))
-        runs = sorted((run[0], json.loads(steps[0])) for run, steps in self._runs.iterator())
+            before = known.get(run_id, {})
+            merged[run_id] = {
+                event: sorted({*before.get(event, ()), *steps.get(event, ())})[: self._limit if event in RATIONED else 1]
+                for event in sorted({*before, *steps})
+            }
+        return merged
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: object) -> Iterator[Row]:
+        came: dict[int, dict[str, dict[str, list[int]]]] = {}
+        for row in rows:
+            if row.event in OUTCOME_BY_EVENT:
+                block = came.setdefault(row.run_id // RUNS_A_BLOCK, {})
+                block.setdefault(str(row.run_id), {}).setdefault(row.event, []).append(row.step)
+        numbers = self._numbers.get()
+        stored = json.loads(numbers[0]) if numbers else []
+        every = sorted({*stored, *came})
+        if len(every) > len(stored):
+            self._numbers.update((json.dumps(every),))
         status, attempts, end_run = "pending", 0, None
-        for run_id, steps in runs:
-            outcome = outcome_of(steps, self._limit)
-            if outcome in FINAL_OUTCOMES:
-                status, end_run = STATUS_BY_OUTCOME.get(outcome, outcome), run_id
-            elif outcome == "setup_failure":
-                attempts += 1
-                if attempts >= self._budget:
-                    status, end_run = "inconclusive", run_id
-            if end_run is not None:
-                break
-        yield pd.DataFrame({"candidate_id": [key[0]], "status": [status], "attempts": [attempts], "end_run": pd.array([end_run], dtype="Int32")})
+        for number in every:
+            if end_run is not None and number not in came:
+                continue  # nothing after the run that settles a candidate is judged
+            known = json.loads(self._blocks.getValue((number,))[0]) if number in stored else {}
+            runs = self._merge(known, came.get(number, {}))
+            if runs != known:
+                self._blocks.updateValue((number,), (json.dumps(runs),))
+            for run_id in sorted(map(int, runs)) if end_run is None else ():
+                outcome = outcome_of(runs[str(run_id)], self._limit)
+                if outcome in FINAL_OUTCOMES:
+                    status, end_run = STATUS_BY_OUTCOME.get(outcome, outcome), run_id
+                elif outcome == "setup_failure":
+                    attempts += 1
+                    if attempts >= self._budget:
+                        status, end_run = "inconclusive", run_id
+                if end_run is not None:
+                    break
+        yield Row(candidate_id=key[0], status=status, attempts=attempts, end_run=end_run)
 
     def close(self) -> None:
         pass
@@ -107,7 +128,7 @@ def start_attempt_states(
     )
     events = events.dropna(subset=["candidate_id", "run_id", "step"])
     reduced = events.mapInPandas(_first_steps(rewrites + 1), events.schema)
-    states = reduced.groupBy("candidate_id").transformWithStateInPandas(AttemptFold(rewrites, budget), STATE, "Update", "None")
+    states = reduced.groupBy("candidate_id").transformWithState(AttemptFold(rewrites, budget), STATE, "Update", "None")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         # A batch that is repeated after a failure replaces its own folder.
