@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultgrain.operators.corpus import source_files
@@ -52,17 +52,35 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return single.unionByName(changed.select("path", F.lit("changed").alias("change"), F.lit(None).cast("string").alias("old_path")))
 
 
+def _short(digest: Column) -> Column:
+    """The first 128 bits of a SHA-256 as bytes, a quarter of its text to move; what is none stays whole."""
+    return F.coalesce(F.when(F.length(digest) == 64, F.unhex(F.left(digest, F.lit(32)))), digest.cast("binary"))
+
+
 def unparsed(old: DataFrame, old_index: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The index rows of ``new`` that ``old_index`` has for the same content and language, and the files still to be parsed.
 
-    The files come as ``path, digest, language``; contents are not read.
+    The files come as ``path, digest, language``, the digest shortened; contents are not read. Most files
+    are where they were, so the snapshots meet by path, once; only files with another content than their path
+    had are looked up by content, and a filter drops most of the old contents none of them has.
     """
-    seen = source_files(old.select("path", *CONTENT)).join(old_index.select("path", "line_count", "functions"), "path")
-    known = first_per_key(seen, CONTENT, ["path"]).select(*CONTENT, "line_count", "functions")
-    files = source_files(new.select("path", *CONTENT))
-    reused = lookup(files, known, CONTENT, ["path"], "inner")
-    todo = lookup(files, known.select(*CONTENT), CONTENT, ["path"], "left_anti")
-    return reused.select("path", "language", "line_count", "functions"), todo.select("path", *CONTENT)
+    files = source_files(old.select("path", *CONTENT)).select("path", _short(F.col("digest")).alias("_digest"))
+    known = old_index.select("path", F.col("language").alias("_language"), "line_count", "functions")
+    # A path has one row; of a table that names one twice any will do, as the rest is looked up or parsed.
+    seen = first_per_key(files.join(known, "path"), ["path"], ["_digest", "line_count"])
+    now = source_files(new.select("path", *CONTENT)).select("path", _short(F.col("digest")).alias("digest"), "language")
+    same = F.col("digest").eqNullSafe(F.col("_digest")) & F.col("language").eqNullSafe(F.col("_language"))
+    met = seen.join(now, "path", "full").withColumn("_same", same)
+    met = materialize(met.withColumn("digest", F.when(~F.col("_same"), F.col("digest"))), "met")
+    stayed = met.filter("_same").select("path", "language", "line_count", "functions")
+    other = met.filter("NOT _same AND digest IS NOT NULL").select("path", *CONTENT)
+    had = met.filter("_language IS NOT NULL").select(
+        F.col("_digest").alias("digest"), F.col("_language").alias("language"), "line_count", "functions"
+    )
+    had = first_per_key(wanted_only(had, "digest", other, "digest"), CONTENT, ["line_count"])
+    found = materialize(lookup(other, had.withColumn("_known", F.lit(True)), CONTENT, ["path"]), "looked-up")
+    reused = stayed.unionByName(found.filter("_known").select(*stayed.columns))
+    return reused, found.filter("_known IS NULL").select("path", *CONTENT)
 
 
 def refresh_index(
@@ -74,8 +92,7 @@ def refresh_index(
     whatever path, take its row, and each new content is parsed once however many files have it.
     """
     reused, todo = unparsed(old, old_index, new)
-    todo = materialize(todo, "unparsed")
-    one = first_per_key(todo, CONTENT, ["path"])
+    one = materialize(first_per_key(todo, CONTENT, ["path"]), "unparsed")
     # Unwanted contents are dropped in the scan's stage, but for a few.
     texts = wanted_only(source_files(new), "path", one, "path").join(one.select("path"), "path", "left_semi")
     parsed = index_files(texts.select("path", "language", "content"), handlers)

@@ -23,8 +23,9 @@ def hot_keys(fact: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS, share:
     the hot keys themselves cost one row per map task in the shuffle. Rows with a null in a key never
     match and are left out.
     """
-    counts = fact.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    matching = fact.dropna(subset=list(keys))
+    counts = matching.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = matching.agg(F.count(F.lit(1))).scalar()
     hot = counts.filter((F.col("_n") > rows) & (F.col("_n") * share > total))
     return hot.select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_salts"))
 

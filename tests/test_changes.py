@@ -87,3 +87,33 @@ def test_only_new_contents_are_parsed(spark, tmp_path):
     assert reused.count() + todo.count() == len(got)
     changes.refresh_index(before, index, after, handlers | {"python": counted(HANDLERS["python"])}).count()
     assert read.value == 0  # no Python file is new
+
+
+def test_only_files_with_another_content_are_looked_up_by_it(spark, tmp_path, monkeypatch):
+    old, new = states()
+    del old["n.c"], old["m.c"], new["m.c"], new["k.c"], new["a/2.c"]
+    before, after = frozen(spark, tmp_path, "1", old), frozen(spark, tmp_path, "2", new)
+    looked_up, lookup = [], changes.lookup
+
+    def counted(fact, *rest, **named):
+        looked_up.append({r.path for r in fact.collect()})
+        return lookup(fact, *rest, **named)
+
+    monkeypatch.setattr(changes, "lookup", counted)
+    reused, todo = changes.unparsed(before, corpus.build_index(before), after)
+    other = {path for path, content in new.items() if old.get(path) != content}
+    assert looked_up == [other] and len(other) < len(new) / 2
+    assert reused.count() == len(new) - todo.count()
+
+
+def test_a_path_named_twice_or_without_an_index_row_gives_one_row(spark, tmp_path):
+    old, new = states()
+    del old["n.c"], old["m.c"], new["m.c"], new["k.c"], new["a/2.c"]
+    before, after = frozen(spark, tmp_path, "1", old), frozen(spark, tmp_path, "2", new)
+    index = corpus.build_index(before)
+    again = "path IN ('a/5.c', 'a/3.c', 'e/7.py')"
+    got = changes.refresh_index(
+        before.unionByName(before.filter(again)), index.unionByName(index.filter(again)).filter("path != 'a/6.c'"), after
+    )
+    plain = sorted(map(str, corpus.build_index(after).collect()))
+    assert sorted(map(str, got.collect())) == plain and len(plain) == len(new)
