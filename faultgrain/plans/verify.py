@@ -26,12 +26,14 @@ def verify(
     markers: Markers = Markers(),
     tag: str = "",
     also: Mapping[str, DataFrame] | None = None,
+    last: DataFrame | None = None,
 ) -> DataFrame:
     """Fold the attempts of pending candidates into the ledger.
 
     Returns one row per (candidate, run) that took part: outcome, reason and bug. The
     candidates and the confirmed bugs change in one commit, which rewrites only what was
-    pending, and gives the tables of ``also`` a new content.
+    pending, and gives the tables of ``also`` a new content. Of ``last`` (candidate_id, last_run), if given,
+    a candidate's runs before its last one take part only.
     """
     candidates = ledger.read("open")
     open_candidates = candidates.select(F.col("id").alias("candidate_id"), "verify_attempts")
@@ -39,9 +41,12 @@ def verify(
     # adaptive execution is not switched off.
     outcomes = lifecycle.run_outcomes(triage(attempts, markers), rewrites, CARRIED)
     outcomes = materialize(outcomes, "all-outcomes", ledger.spark)
-    taking_part = lookup(
-        outcomes, open_candidates.select("candidate_id"), ["candidate_id"], ["run_id"], "left_semi"
-    )
+    asked = open_candidates.select("candidate_id")
+    if last is None:
+        taking_part = lookup(outcomes, asked, ["candidate_id"], ["run_id"], "left_semi")
+    else:
+        taking_part = lookup(outcomes, asked.join(last, "candidate_id"), ["candidate_id"], ["run_id"], "inner")
+        taking_part = taking_part.filter("run_id < last_run").drop("last_run")
     taking_part = materialize(taking_part, "outcomes")
     ends = materialize(lifecycle.candidate_ends(taking_part, budget, open_candidates), "ends")
     settled = materialize(lifecycle.settle(taking_part, ends), "settled")

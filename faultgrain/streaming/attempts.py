@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from faultgrain.operators.lifecycle import ATTEMPT_BUDGET, REWRITE_BUDGET
+from faultgrain.plans.prefilter import wanted_only
 from faultgrain.plans.skew import lookup
 from faultgrain.plans.verify import verify
 from faultgrain.session import materialize
 from faultgrain.sources.ledger import Ledger
 
 
-def _by_end(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Steps of runs that a later run of their candidate follows, and the steps of the last runs."""
-    last = steps.groupBy("candidate_id").agg(F.max("run_id").alias("last_run"))
-    known = lookup(steps, last, ["candidate_id"], ["run_id", "step"])
-    ended = F.col("run_id") < F.col("last_run")
-    return known.filter(ended).drop("last_run"), known.filter(~ended).drop("last_run")
+def last_runs(steps: DataFrame) -> DataFrame:
+    """``candidate_id, last_run``: the run of each candidate that no later one follows yet."""
+    return steps.groupBy("candidate_id").agg(F.max("run_id").alias("last_run"))
+
+
+def steps_of(steps: DataFrame, last: DataFrame) -> DataFrame:
+    """The steps of the last runs. A filter drops most others in the scan, before their texts are moved."""
+    run = steps.withColumn("_run", F.xxhash64("candidate_id", "run_id"))
+    some = wanted_only(run, "_run", last.select(F.xxhash64("candidate_id", "last_run").alias("_run")), "_run").drop("_run")
+    return lookup(some, last, ["candidate_id"], ["run_id", "step"], "inner").filter("run_id = last_run").drop("last_run")
 
 
 def start_verification(
@@ -43,8 +48,10 @@ def start_verification(
         if not ledger.has_tag(tag):
             waiting = ledger.read("waiting")
             new = materialize(batch.select(*waiting.columns), "attempts", ledger.spark)
-            ended, waiting = _by_end(waiting.unionByName(new))
-            verify(ledger, ended, rewrites, budget, tag=tag, also={"waiting": waiting})
+            steps = waiting.unionByName(new)
+            last = materialize(last_runs(steps), "last-runs")
+            # All steps are folded as they lie; what became of a run that may go on is dropped, a row a run.
+            verify(ledger, steps, rewrites, budget, tag=tag, also={"waiting": steps_of(steps, last)}, last=last)
 
     return (
         attempts.writeStream.foreachBatch(fold)

@@ -10,6 +10,7 @@ from faultgrain.plans.verify import summarise, verify
 from faultgrain.operators.complete import RuleClient
 from faultgrain.schemas import CANDIDATES
 from faultgrain.sources.ledger import Ledger, in_id_order
+from faultgrain.streaming import attempts as stream
 from faultgrain.streaming.attempts import finish_verification, start_verification
 from faultgrain.streaming.intake import start_intake
 from faultgrain.streaming.live_triage import first_evidence
@@ -171,3 +172,21 @@ def test_streams(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "intake"))
     assert [(r.id, r.cwe_id) for r in in_id_order(ledger.candidates()).collect()] == [(1, 369), (2, 20)]
     assert sorted(r.file for r in ledger.read("explored").collect()) == ["calc.py", "text.py"]
+
+
+def test_steps_are_folded_as_they_lie(spark, tmp_path, monkeypatch):
+    plans = []
+
+    def watched(ledger, steps, *rest, **named):
+        plans.append(steps._jdf.queryExecution().executedPlan().toString())
+        return verify(ledger, steps, *rest, **named)
+
+    monkeypatch.setattr(stream, "verify", watched)
+    ledger, source = seeded(spark, tmp_path / "ledger", 2), str(tmp_path / "attempts")
+    log = [run(1, 1, 1, BOTH), run(1, 2, 1), run(None, 1, 1), run(2, None, 1, BOTH), run(2, 4, 1, BOTH)]
+    spark.createDataFrame(log, ATTEMPT).coalesce(1).write.parquet(source)
+    start_verification(spark.readStream.schema(ATTEMPT).parquet(source), str(tmp_path / "ledger"), str(tmp_path / "ck")).awaitTermination()
+    # The texts of a run's steps are read where they are: neither joined nor dealt before their triage.
+    assert len(plans) == 1 and "Join" not in plans[0] and "Exchange" not in plans[0]
+    assert states(ledger) == {1: ("rejected", 0), 2: ("pending", 0)}
+    assert sorted((r.candidate_id, r.run_id) for r in ledger.read("waiting").collect()) == [(1, 2), (2, 4)]
