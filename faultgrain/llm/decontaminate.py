@@ -5,8 +5,8 @@ where words do. A test unit is an item (a long one: each of its stretches of som
 and each UNIT_WORDS words of it that follow one another. A unit of m characters may be
 misquoted by e = m // EDIT_EVERY edits; cut into e + 1 pieces, at least one of which is
 then quoted exactly. A unit of UNIT_WORDS words may instead have one word replaced, lost or added, of any length;
-if that could touch all pieces its two halves are pieces too. One pass of an automaton over each text finds all
-pieces, and around each hit Myers' bit-parallel distance, in characters and then in words, decides
+if that could touch all pieces its two halves are pieces too. One pass over many texts at a time finds all
+pieces by hashes of their first bytes, and around each hit Myers' bit-parallel distance, in characters and then in words, decides
 whether the whole unit is there. So any UNIT_WORDS consecutive words of an item with up to e edits or one other word are found.
 An item of fewer than SHORT_WORDS words, which ordinary prose holds by chance, is only found in a text that is nothing else.
 
@@ -20,8 +20,10 @@ import uuid
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import accumulate
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -34,6 +36,9 @@ UNIT_WORDS = 13
 SHORT_WORDS = 4
 STRETCH = 1024
 BLOCK_BYTES = 512 << 10
+_FIRST = (12, 8, 4, 1)
+_BLOCK_PLACES = 1 << 16
+_ODD, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BLANKS = bytes.maketrans(
     bytes(range(128)), bytes(c + 32 if 0x41 <= c < 0x5B else c if chr(c).isalnum() else 0x20 for c in range(128))
 )
@@ -182,10 +187,8 @@ class _Words:
     """A line's words and where they begin."""
 
     def __init__(self, line: str):
-        self.words, self.starts, at = line.split(" "), [], 0
-        for word in self.words:
-            self.starts.append(at)
-            at += len(word) + 1
+        self.words = line.split(" ")
+        self.starts = list(accumulate(map((1).__add__, map(len, self.words[:-1])), initial=0))
 
     def closest(self, unit: Unit, start: int, at: int) -> tuple[int, int] | None:
         """First and last place of the unit with at most ``unit.words`` words changed, if its place ``start`` is at ``at``."""
@@ -201,50 +204,101 @@ class _Words:
         return self.starts[first], self.starts[last] + len(self.words[last])
 
 
-def _matcher(name: str, block: Broadcast) -> tuple[list[Unit], object]:
-    """The units and the automaton of a block, for all tasks of a worker until another operator's or block's come."""
-    import ahocorasick
+class Pieces:
+    """Finds all pieces of a block's units in lines.
 
-    def make() -> tuple[list[Unit], object]:
-        own: list[Unit] = block.value
-        wanted: dict[str, list[tuple[int, int]]] = {}
+    A table by a hash of a piece's first bytes passes few places of a line, the hashes themselves hardly any
+    other; there the bytes are looked up. ``alone`` holds the units that are only found in a text that is nothing else.
+    """
+
+    def __init__(self, own: list[Unit]):
+        self.own = own
+        self.alone: dict[str, list[int]] = {}
+        self.where: dict[bytes, list[tuple[int, int]]] = {}
         for number, unit in enumerate(own):
+            if unit.alone:
+                self.alone.setdefault(unit.text, []).append(number)
+                continue
             for start, piece in pieces(unit):
-                wanted.setdefault(piece.encode().decode("latin-1"), []).append((number, start))
-        automaton = ahocorasick.Automaton()
-        for piece, where in wanted.items():
-            automaton.add_word(piece, (len(piece), where))
-        automaton.make_automaton()
-        return own, automaton
-
-    return kept(name, make)
+                self.where.setdefault(piece.encode(), []).append((number, start))
+        # By the number of first bytes: the table, the distinct hashes and the pieces' sizes for each.
+        self.tables: list[tuple[int, np.uint64, np.ndarray, np.ndarray, list[list[int]]]] = []
+        for most, first in zip((1 << 62, *_FIRST), _FIRST):
+            some = [piece for piece in self.where if first <= len(piece) < most]
+            if not some:
+                continue
+            bits = max(16, (len(some) * 32).bit_length())
+            shift = np.uint64(64 - bits)
+            heads = [piece[:first].ljust(first + 8, b"\0") for piece in some]
+            hashed = self._hashes(np.frombuffer(b"".join(heads), np.uint8), first)[:: first + 8]
+            known, number = np.unique(hashed, return_inverse=True)
+            sizes: list[set[int]] = [set() for _ in known]
+            for n, piece in zip(number.tolist(), some):
+                sizes[n].add(len(piece))
+            table = np.zeros(1 << bits, bool)
+            table[known >> shift] = True
+            self.tables.append((first, shift, table, known, [sorted(s) for s in sizes]))
+
+    @staticmethod
+    def _hashes(data: np.ndarray, first: int) -> np.ndarray:
+        """A hash of the ``first`` bytes from each place on that has eight more after them."""
+        eight = np.ndarray(shape=(max(len(data) - 7, 0),), dtype="<u8", buffer=data, strides=(1,)).copy()
+        if first < 8:
+            eight &= np.uint64((1 << 8 * first) - 1)
+            return eight * _ODD
+        return eight[: len(eight) - first + 8] * _ODD + eight[first - 8 :] * _OTHER
+
+    def hits(self, lines: list[bytes]) -> list[list[tuple[int, int, bytes]]]:
+        """For each line (end, -size, piece) of all pieces in it, in the order of their ends, long ones first."""
+        out: list[list[tuple[int, int, bytes]]] = [[] for _ in lines]
+        whole = b"\n".join(lines)  # no piece holds one
+        at = np.cumsum([0, *(len(line) + 1 for line in lines)])
+        padded = np.frombuffer(whole + bytes(16), np.uint8)
+        for first, shift, table, known, sizes in self.tables:
+            for begin in range(0, len(whole), _BLOCK_PLACES):
+                hashed = self._hashes(padded[begin : begin + _BLOCK_PLACES + first + 7], first)[:_BLOCK_PLACES]
+                place = np.flatnonzero(table[hashed >> shift])
+                hashed = hashed[place]
+                number = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
+                sure = known[number] == hashed
+                place, number = place[sure] + begin, number[sure]
+                text = np.searchsorted(at, place, "right") - 1
+                for k, start, line, n in zip(place.tolist(), (place - at[text]).tolist(), text.tolist(), number.tolist()):
+                    for size in sizes[n]:
+                        if (piece := whole[k : k + size]) in self.where:
+                            out[line].append((start + size, -size, piece))
+        for found in out:
+            found.sort()
+        return out
+
+
+def _pieces_of(name: str, block: Broadcast) -> Pieces:
+    """A block's pieces, for all tasks of a worker until another operator's or block's come."""
+    return kept(name, lambda: Pieces(block.value))
 
 
 def _search(block: Broadcast):
     name = uuid.uuid4().hex
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, automaton = _matcher(name, block)
+        known = _pieces_of(name, block)
+        own = known.own
         for batch in slices(batches, keeps=name):
             rows = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                line = plain(text)
-                coded = line.encode()
+            lines = [plain(text) for text in batch["text"].to_pylist()]
+            coded_lines = [line.encode() for line in lines]
+            for doc, line, coded, hits in zip(batch["doc_id"].to_pylist(), lines, coded_lines, known.hits(coded_lines)):
                 ascii_ = len(coded) == len(line)
-                found: dict[int, tuple[int, int, int]] = {}
+                found = {number: (0, 0, len(line)) for number in known.alone.get(line, ())}
                 tried, split = set(), None
-                for end, (size, where) in automaton.iter(coded.decode("latin-1")):
-                    at = end + 1 - size
+                for end, size, piece in hits:
+                    at = end + size  # the size is negative
                     if not ascii_:  # bytes to characters
                         at = len(coded[:at].decode(errors="ignore"))
-                    for number, start in where:
+                    for number, start in known.where[piece]:
                         unit = own[number]
                         if number in found and (found[number][0] == 0 or (number, at - start) in tried):
                             continue
-                        if unit.alone:
-                            if line == unit.text:
-                                found[number] = 0, 0, len(line)
-                            continue
                         place = None
                         if (number, at - start) not in tried:
                             tried.add((number, at - start))

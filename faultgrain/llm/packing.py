@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultgrain.llm.common import flat, kept, keyed, slices, unkeyed
+from faultgrain.llm.merges import PairMerges
 from faultgrain.session import materialize
 
 CAPACITY = 2048
@@ -35,6 +36,8 @@ _PLAIN[0x21:0x7F] = True
 _PLAIN[ord("'")] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
+# Words that the merges must give the tokenizer's ids for before they are used.
+_PROBES = ("a", "the", "naïve", "ça", "mississippi", "straße", "ÿé", "aaaaaaaaaaa", "internationalization")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -48,9 +51,10 @@ class WordIds:
 
     The tokenizer's own rules never join characters across a blank or a line feed, nor an ASCII
     letter with ASCII punctuation other than an apostrophe or with a digit, and fold A-Z. So
-    texts are folded and cut there, and each distinct word is encoded once while it stays in a cache of
-    bounded size. Texts that might hold a special token, which is found before all that, are only cut
-    at blanks and line feeds.
+    texts are folded and cut there, and the words of many texts are told apart in Arrow. Distinct words of Latin letters
+    alone, each a single piece, go through the tokenizer's merges together; any other is encoded once while it
+    stays in a cache of bounded size. Texts that might hold a special token, which is found before all that, are only
+    cut at blanks and line feeds.
     """
 
     def __init__(self, path: str, end: int = 0):
@@ -63,27 +67,38 @@ class WordIds:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         self.byte_names = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+        merges = PairMerges(path, self.byte_names)
+        self.merges = merges if merges.ready and self._agree(merges) else None
         self._clear()
 
+    def _agree(self, merges: PairMerges) -> bool:
+        coded = [word.encode() for word in _PROBES]
+        size = np.array([len(c) for c in coded])
+        ids, count = merges.ids(np.frombuffer(b"".join(coded), np.uint8), np.cumsum(size) - size, size)
+        want = [self._ids(word) for word in _PROBES]
+        return ids.tolist() == [i for one in want for i in one] and count.tolist() == [len(one) for one in want]
+
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[bytes, int] = {}
         self.flat = np.empty(0, np.uint32)
         self.begin = np.empty(0, np.int64)
         self.size = np.empty(0, np.int64)
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct ``words``, each with the blank after it."""
         new = [w for w in words if w not in self.number]
         if len(self.number) + len(new) > WORD_CACHE:
             self._clear()
-            new = list(words)
+            new = words
         self.number.update(zip(new, range(len(self.size), len(self.size) + len(new))))
         ids, sizes = [self.flat], [self.size]
         for start in range(0, len(new), 2000):
-            fresh = [self._ids(word) for word in new[start : start + 2000]]
+            fresh = [self._ids(word[:-1].decode()) for word in new[start : start + 2000]]
             ids.append(np.array([i for one in fresh for i in one], np.uint32))
             sizes.append(np.array([len(one) for one in fresh], np.int64))
         self.flat, self.size = np.concatenate(ids), np.concatenate(sizes)
         self.begin = np.cumsum(self.size) - self.size
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def _ids(self, word: str) -> list[int]:
         """A word's ids; one of Latin letters alone is a single piece and goes to the model at once."""
@@ -94,10 +109,9 @@ class WordIds:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     @staticmethod
-    def _split(texts: pa.Array) -> list[list[str]]:
+    def _split(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The words of all texts, told apart in Arrow, each with the blank after it; each text's first one (n + 1 numbers)."""
         data, at = flat(texts)
-        if not len(data):
-            return [[""] for _ in texts]
         special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
         letter, plain = _LETTER[data], _PLAIN[data]
         cut = (letter[1:] != letter[:-1]) & plain[1:] & plain[:-1]
@@ -105,23 +119,53 @@ class WordIds:
         for text in np.unique(np.searchsorted(at, special, "right") - 1).tolist():
             here = slice(at[text], at[text + 1])
             cut[here], folded[here] = False, data[here]
+        # A blank between any two words, and one after each text.
         places = np.flatnonzero(cut) + 1
-        folded = np.insert(folded, places, 0x20)
-        at = at + np.searchsorted(places, at, "right")
-        whole = folded.tobytes()
-        return [whole[a:b].decode().replace("\n", " ").split(" ") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        folded = np.insert(folded, np.concatenate([places, at[1:]]), 0x20)
+        at = at + np.searchsorted(places, at, "right") + np.arange(len(at))
+        folded[folded == 0x0A] = 0x20
+        ends = np.flatnonzero(folded == 0x20) + 1
+        cuts = np.concatenate([[0], ends]).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(cuts), pa.py_buffer(folded)])
+        return words.dictionary_encode(), np.searchsorted(cuts, at)
+
+    @staticmethod
+    def _latin(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words in lower case, and which are letters of ASCII and U+00C0 to U+00FF alone, but for the last byte."""
+        after = np.flatnonzero(data[:-1] == 0xC3) + 1
+        letter, small = _LETTER[data], _LOWER[data]
+        sign = (data[after] == 0x97) | (data[after] == 0xB7)
+        letter[after - 1] = letter[after] = ~sign
+        capital = after[(data[after] <= 0x9E) & ~sign]
+        small[capital] += 32
+        others = np.concatenate([[0], np.cumsum(~letter)])
+        return small, others[at[1:] - 1] == others[at[:-1]]
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each distinct word begin and how many it has."""
+        data, at = flat(words)
+        size = np.diff(at) - 1
+        small, once = self._latin(data, at)
+        once &= (size > 0) & (size <= PairMerges.longest) & (self.merges is not None)
+        ids, count = self.merges.ids(small, at[:-1][once], size[once]) if once.any() else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        number = self._learn(words.filter(pa.array(~once)).to_pylist())
+        begins, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begins[once], sizes[once] = np.cumsum(count) - count, count
+        begins[~once], sizes[~once] = self.begin[number] + len(ids), self.size[number]
+        return np.concatenate([ids, self.flat]), begins, sizes
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Each text's ids and the end id; the texts' words are learnt together."""
-        split = self._split(texts)
-        self._learn(set().union(*split))
-        for own in split:
-            at = np.array([self.number[w] for w in own], np.int64)
-            size = self.size[at]
+        words, first = self._split(texts)
+        ids, begins, sizes = self._encoded(words.dictionary)
+        number = words.indices.to_numpy()
+        for start, end in zip(first[:-1].tolist(), first[1:].tolist()):
+            at = number[start:end]
+            size = sizes[at]
             total = int(size.sum())
             before = np.cumsum(size) - size
             out = np.empty(total + 1, np.uint32)
-            out[:total] = self.flat[np.arange(total) + np.repeat(self.begin[at] - before, size)]
+            out[:total] = ids[np.arange(total) + np.repeat(begins[at] - before, size)]
             out[total] = self.end
             yield out
 

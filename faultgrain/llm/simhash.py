@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from faultgrain.llm.common import flat, hashes, keyed, mixed, owners, parts, slices, unkeyed, windows, words
 from faultgrain.llm.components import components
+from faultgrain.llm.xxh64 import xxh64
 from faultgrain.session import materialize
 
 RADIUS, SHINGLE = 3, 3
@@ -60,11 +61,53 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits((counts @ _BITS * 2 > len(h)).reshape(64), bitorder="little").view("<u8")[0])
 
 
+def _word_spans(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as words with a blank after each; starts and sizes of their shingles, and each text's first one (n + 1 numbers).
+
+    A text of fewer words is one shingle.
+    """
+    starts, ends, first = words(data, at)
+    size = ends - starts
+    after = np.cumsum(size + 1)
+    line = np.full(int(after[-1]) if len(after) else 0, 0x20, np.uint8)
+    inside = np.ones(len(line), bool)
+    inside[after - 1] = False
+    line[inside] = data[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    count = np.diff(first)
+    spans = np.where(count > shingle, count - shingle + 1, np.minimum(count, 1))
+    firsts = np.concatenate([[0], np.cumsum(spans)])
+    begin = np.arange(firsts[-1]) + np.repeat(first[:-1] - firsts[:-1], spans)
+    last = np.minimum(begin + shingle, np.repeat(first[1:], spans)) - 1
+    begins = (after - size - 1)[begin]
+    return line, begins, after[last] - 1 - begins, firsts
+
+
+def simhashes(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """``simhash`` of each text of a column; null is empty."""
+    data, at = flat(column)
+    line, begins, sizes, first = _word_spans(_LOWER[data], at, shingle)
+    h = xxh64(line, begins, sizes, 42)
+    count = np.diff(first)
+    # Eight counters side by side in a number hold up to 255 shingles.
+    filled = np.flatnonzero(count)
+    runs = -(-count[filled] // 255)
+    firsts = np.cumsum(runs) - runs
+    starts = np.repeat(first[filled] - 255 * firsts, runs) + 255 * np.arange(int(runs.sum()))
+    votes = np.zeros((len(count), 8, 8), np.int64)
+    for bit in range(8 if len(filled) else 0):
+        held = np.add.reduceat(h >> np.uint64(bit) & np.uint64(0x0101010101010101), starts).view(np.uint8).reshape(-1, 8)
+        votes[filled, :, bit] = np.add.reduceat(held, firsts, axis=0, dtype=np.int64)
+    more = votes.reshape(-1, 64) * 2 > count[:, None]
+    marks = np.packbits(more, axis=1, bitorder="little").view("<u8").ravel()
+    alone = filled[count[filled] == 1]  # a lone shingle's hash is the fingerprint
+    marks[alone] = h[first[alone]]
+    return marks
+
+
 def _fingerprints(shingle: int):
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch["text"].cast(pa.large_binary()).to_pylist()
-            marks = np.array([simhash(t or b"", shingle) for t in texts], dtype="<u8").view(np.int64)
+            marks = simhashes(batch["text"], shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(marks)], names=["doc_id", "mark"])
 
     return fingerprints
@@ -282,8 +325,7 @@ def minhash_bands(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _all_marks(shingle: int, marked: bool = True):
     def all_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch["text"].cast(pa.large_binary()).to_pylist() if marked else []
-            marks = np.array([simhash(t or b"") for t in texts], dtype="<u8").view(np.int64) if marked else np.zeros(batch.num_rows, np.int64)
+            marks = simhashes(batch["text"]).view(np.int64) if marked else np.zeros(batch.num_rows, np.int64)
             grams, first = _shingles(batch, shingle)
             n = np.diff(first)
             # Sums of two hashes of all shingles: texts that share both have the same shingles.

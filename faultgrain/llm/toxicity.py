@@ -49,17 +49,32 @@ def _lowered(data: np.ndarray) -> np.ndarray:
     return data
 
 
-def _levels(batch: pa.RecordBatch) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Each word's text number; from the shortest beginning to the word: (word numbers, node hashes)."""
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and each key's number among them."""
+    coded = pa.array(keys).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
+def _any_of(number: np.ndarray, n: int, values: np.ndarray) -> np.ndarray:
+    """For each of ``n`` numbers a value that goes with it."""
+    out = np.zeros(n, values.dtype)
+    out[number] = values
+    return out
+
+
+def _levels(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Each word's text number and its number among the distinct words; for those, from the shortest beginning to the word: (word numbers, node hashes)."""
     data, at = flat(batch["text"])
     starts, ends, first = words(data, at, _LETTER)
     data = _lowered(data)
+    whole, word = _numbered(hashes(data, starts, ends, seed=99))
+    starts, ends = _any_of(word, len(whole), starts), _any_of(word, len(whole), ends)
     levels = []
     for size in _BEGINNINGS:
         longer = np.flatnonzero(ends - starts > size)
         levels.append((longer, hashes(data, starts[longer], starts[longer] + size, seed=size)))
-    levels.append((np.arange(len(starts)), hashes(data, starts, ends, seed=99)))
-    return owners(first), levels
+    levels.append((np.arange(len(whole)), whole))
+    return owners(first), word, levels
 
 
 def _parents(n: int, levels: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -77,14 +92,27 @@ def _sums(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.nda
     return [k[new] for k in keys], [np.add.reduceat(v, new) if len(v) else v for v in values]
 
 
-def _once(owner: np.ndarray, at: np.ndarray, *nodes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each text's distinct nodes with what goes with them: text numbers, nodes, nodes above."""
-    who = owner[at]
-    order = np.lexsort((who, nodes[0]))
-    who, first = who[order], nodes[0][order]
-    new = np.ones(len(who), bool)
-    new[1:] = (first[1:] != first[:-1]) | (who[1:] != who[:-1])
-    return who[new], *(n[order][new] for n in nodes)
+def _pairs(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of numbers, those of ``b`` below ``n``."""
+    n = max(n, 1)
+    pairs = a * np.int64(n) + b
+    pairs = np.sort(pairs.astype(np.int32) if pairs.max(initial=0) < 1 << 31 else pairs)
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+    return pairs // n, pairs % n
+
+
+def _held_by(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per level: the distinct nodes, the nodes above them, and the texts that hold them as (text, number of a node), each once."""
+    owner, word, levels = _levels(batch)
+    distinct = len(levels[-1][1])
+    text, word = _pairs(owner, word, distinct)
+    for at, nodes, above in _parents(distinct, levels):
+        node, number = _numbered(nodes)
+        number_of = np.full(distinct, -1)
+        number_of[at] = number
+        held = number_of[word]
+        who, which = _pairs(text[held >= 0], held[held >= 0], len(node))
+        yield node, _any_of(number, len(node), above), who, which
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,11 +125,8 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(above.view(np.int64)), pa.array(n)], names=["node", "above", "n"])
 
     for batch in slices(batches):
-        owner, levels = _levels(batch)
-        for level in _parents(len(owner), levels):
-            who, nodes, above = _once(owner, *level)
-            (nodes, above), (n,) = _sums([nodes, above], [np.ones(len(who), np.int64)])
-            held.append((nodes, above, n))
+        for nodes, above, _, which in _held_by(batch):
+            held.append((nodes, above, np.bincount(which, minlength=len(nodes))))
             size += len(nodes)
         if size > _FLUSH:
             yield send()
@@ -113,11 +138,9 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Nodes, the nodes above them, and in how many documents of each class they are."""
     for batch in slices(batches):
-        owner, levels = _levels(batch)
         label = batch["toxic"].to_numpy(zero_copy_only=False).astype(np.int64)
-        for level in _parents(len(owner), levels):
-            who, nodes, above = _once(owner, *level)
-            (nodes, above), counts = _sums([nodes, above], [label[who], 1 - label[who]])
+        for nodes, above, who, which in _held_by(batch):
+            counts = [np.bincount(which, own[who], len(nodes)).astype(np.int64) for own in (label, 1 - label)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x) for x in (nodes.view(np.int64), above.view(np.int64), *counts)], names=["node", "above", "toxic", "ordinary"]
             )
@@ -131,6 +154,9 @@ class Model:
         node, above = node.view(np.uint64), above.view(np.uint64)
         order = np.argsort(node)
         self.nodes = node[order]
+        bits = max(1, len(self.nodes).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begins = np.searchsorted(self.nodes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
         above, share = above[order], (shared / np.maximum(below, 1))[order]
         every, group = np.unique(above, return_inverse=True)
         chances, leave = [], np.zeros(len(every))
@@ -155,19 +181,30 @@ class Model:
         self.leave[at] = leave[every != 0]
         self.leave_root = float(leave[every == 0][0]) if (every == 0).any() else 0.0
 
+    def _places(self, nodes: np.ndarray) -> np.ndarray:
+        """Where ``nodes`` are among the model's, which lie by their leading bits; -1 if they are not there."""
+        place, (at, end) = np.full(len(nodes), -1), (self.begins[(nodes >> self.shift).view(np.int64) + k] for k in (0, 1))
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            same = self.nodes[at] == nodes[left]
+            place[left[same]] = at[same]
+            more = ~same & (at + 1 < end)
+            left, at, end = left[more], at[more] + 1, end[more]
+        return place
+
     def words(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """Each word's text number and log ratio."""
-        owner, levels = _levels(batch)
-        ratio, open_ = np.full(len(owner), self.leave_root), np.ones(len(owner), bool)
-        if not len(self.nodes):
-            return owner, ratio
+        owner, word, levels = _levels(batch)
+        distinct = len(levels[-1][1])
+        ratio, open_ = np.full(distinct, self.leave_root), np.ones(distinct, bool)
         for at, nodes in levels:
             at, nodes = at[open_[at]], nodes[open_[at]]
-            place = np.minimum(np.searchsorted(self.nodes, nodes), len(self.nodes) - 1)
-            known = self.nodes[place] == nodes
+            place = self._places(nodes)
+            known = place >= 0
             ratio[at[known]] = self.ratio[place[known]] + self.leave[place[known]]
             open_[at[~known]] = False
-        return owner, ratio
+        return owner, ratio[word]
 
 
 def _features(model: Broadcast):
