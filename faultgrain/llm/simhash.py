@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultgrain.llm.common import flat, hashes, keyed, mixed, owners, parts, slices, unkeyed, windows, words
+from faultgrain.llm.common import NOT_SPACE, flat, hashes, keyed, mixed, owners, parts, slices, unkeyed, windows, words
 from faultgrain.llm.components import components
 from faultgrain.llm.xxh64 import xxh64
 from faultgrain.session import materialize
@@ -72,7 +72,7 @@ def _word_spans(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndar
     line = np.full(int(after[-1]) if len(after) else 0, 0x20, np.uint8)
     inside = np.ones(len(line), bool)
     inside[after - 1] = False
-    line[inside] = data[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    line[inside] = data[NOT_SPACE[data]]
     count = np.diff(first)
     spans = np.where(count > shingle, count - shingle + 1, np.minimum(count, 1))
     firsts = np.concatenate([[0], np.cumsum(spans)])
@@ -240,10 +240,14 @@ def _shards(block: int, blocks: int, levels: int, slack: int) -> Column:
     mask = ((1 << (high - low)) - 1) << low
     mask -= (mask >> 63) << 64
     part = F.col("mark").bitwiseAND(F.lit(mask))
+    distances = [
+        F.bit_count(part.bitwiseXOR(F.lit(int(_VANTAGE[level])).bitwiseAND(F.lit(mask)))) for level in range(levels)
+    ]
+    if not slack:  # one name, by plain expressions
+        return F.array(F.concat_ws(".", F.lit(f"{block}"), *distances))
     names = F.array(F.lit(f"{block}"))
-    for level in range(levels):
-        distance = F.bit_count(part.bitwiseXOR(F.lit(int(_VANTAGE[level])).bitwiseAND(F.lit(mask))))
-        names = _and_rings(names, F.sequence(distance - slack, distance + slack) if slack else F.array(distance))
+    for distance in distances:
+        names = _and_rings(names, F.sequence(distance - slack, distance + slack))
     return names
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK_SPANS = 16_384
+BLOCK_SPANS = 32_768
 _P1, _P2, _P3, _P4, _P5 = (
     np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 )
