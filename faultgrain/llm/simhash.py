@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultgrain.llm.common import NOT_SPACE, flat, hashes, keyed, mixed, owners, parts, slices, unkeyed, windows, words
+from faultgrain.llm.common import NOT_SPACE, SMALL_SLICE_BYTES, flat, hashes, keyed, mixed, owners, parts, slices, unkeyed, windows, words
 from faultgrain.llm.components import components
 from faultgrain.llm.xxh64 import xxh64
 from faultgrain.session import materialize
@@ -106,7 +106,7 @@ def simhashes(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 def _fingerprints(shingle: int):
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE_BYTES):
             marks = simhashes(batch["text"], shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(marks)], names=["doc_id", "mark"])
 
@@ -328,7 +328,7 @@ def minhash_bands(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _all_marks(shingle: int, marked: bool = True):
     def all_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE_BYTES):
             marks = simhashes(batch["text"]).view(np.int64) if marked else np.zeros(batch.num_rows, np.int64)
             grams, first = _shingles(batch, shingle)
             n = np.diff(first)
