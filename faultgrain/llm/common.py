@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
-SMALL_SLICE_BYTES = 2 << 20  # for work that larger slices make no faster
+SMALL_SLICE_BYTES = 2 << 20  # where larger ones make the work hardly faster
 
 # A null doc_id stands for one document that comes after all others.
 NULL_ID = (1 << 63) - 1

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultgrain.llm.common import flat, kept, keyed, slices, unkeyed
+from faultgrain.llm.common import SMALL_SLICE_BYTES, flat, kept, keyed, slices, unkeyed
 from faultgrain.llm.merges import PairMerges
 from faultgrain.session import materialize
 
@@ -178,7 +178,7 @@ def word_ids(path: str) -> WordIds:
 def _pieces(path: str, capacity: int, with_ids: bool):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path)
-        for batch in slices(batches, keeps=path):
+        for batch in slices(batches, most=SMALL_SLICE_BYTES, keeps=path):
             rows = []
             for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.encode_all(batch["text"])):
                 for piece, start in enumerate(range(0, len(ids), capacity)):

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultgrain.llm.common import flat, hashes, keyed, owners, slices, unkeyed, words
+from faultgrain.llm.common import SMALL_SLICE_BYTES, flat, hashes, keyed, owners, slices, unkeyed, words
 from faultgrain.session import materialize
 
 MODEL_ROWS, CALIBRATION_ROWS = 4000, 6000
@@ -32,7 +32,7 @@ THRESHOLD = 0.7
 HELD_OUT_FOLD = 1
 CALIBRATE_EVERY = 4
 _BEGINNINGS = (4, 6, 8)
-_FLUSH = 500_000
+_FLUSH = 300_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -116,23 +116,30 @@ def _held_by(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes, the nodes above them, and in how many documents they are."""
+    """Nodes, the nodes above them, and in how many documents they are; what is held is summed up before it is sent."""
     held, size = [], 0
 
-    def send() -> pa.RecordBatch:
+    def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         nodes, above, n = (np.concatenate(x) for x in zip(*held))
         (nodes, above), (n,) = _sums([nodes, above], [n])
+        return nodes, above, n
+
+    def send(nodes: np.ndarray, above: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(above.view(np.int64)), pa.array(n)], names=["node", "above", "n"])
 
-    for batch in slices(batches):
+    for batch in slices(batches, most=SMALL_SLICE_BYTES // 2):
         for nodes, above, _, which in _held_by(batch):
             held.append((nodes, above, np.bincount(which, minlength=len(nodes))))
             size += len(nodes)
         if size > _FLUSH:
-            yield send()
-            held, size = [], 0
+            held = [summed()]
+            size = len(held[0][0])
+            if size > _FLUSH // 2:
+                full, held, size = send(*held[0]), [], 0
+                yield full
+                del full
     if held:
-        yield send()
+        yield send(*summed())
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +216,7 @@ class Model:
 
 def _features(model: Broadcast):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SMALL_SLICE_BYTES // 2):
             owner, ratio = model.value.words(batch)
             n = np.bincount(owner, minlength=batch.num_rows)
             size = np.maximum(n, 1)
